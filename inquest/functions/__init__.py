@@ -1,0 +1 @@
+"""Column functions; every one stays inside the JVM."""

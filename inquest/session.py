@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that outlive an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
