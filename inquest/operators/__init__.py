@@ -1,0 +1 @@
+"""Detectors and the relational building blocks they share."""

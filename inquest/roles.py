@@ -296,33 +296,30 @@ def entity_columns(columns: list[str]) -> list[tuple[str, str]]:
 def profile_values(df: DataFrame) -> DataFrame:
     """One row per column: fill, distinct estimate, and shares of values by shape.
 
-    A single aggregation reads the table once for all columns.
+    The table is read once; rows turn into (column, text) pairs that are combined
+    on the map side, so the shuffle carries one record per column and task.
     """
-    measures = []
-    for c in df.columns:
-        s = F.trim(F.col(f"`{c}`").cast("string"))
-        filled = s.isNotNull() & (s != "")
-        number = s.try_cast("double")
-
-        def share(hit):
-            return F.avg(F.when(filled, F.coalesce(hit, F.lit(False)).cast("double")))
-
-        measures.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count("*").alias("row_count"),
-                F.count_if(filled).alias("filled"),
-                F.approx_count_distinct(s).alias("distinct_estimate"),
-                share(s.rlike(f"^{IPV4}$")).alias("ipv4_share"),
-                share(s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")).alias("email_share"),
-                share(s.rlike(r"^\d{4}-\d{2}-\d{2}") & s.try_cast("timestamp_ntz").isNotNull()).alias("time_share"),
-                share(number.isNotNull()).alias("number_share"),
-                share(number.between(-180.0, 180.0) & s.contains(".")).alias("coordinate_share"),
-                F.avg(F.length(s)).alias("mean_length"),
-            )
-        )
-    packed = df.agg(F.array(*measures).alias("m"))
-    return packed.select(F.inline("m"))
+    cells = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(f"`{c}`").cast("string")).alias("s")) for c in df.columns])).alias("cell")
+    ).select("cell.column", "cell.s")
+    s = F.col("s")
+    filled = s.isNotNull() & (s != "")
+    number = s.try_cast("double")
+
+    def share(hit):
+        return F.avg(F.when(filled, F.coalesce(hit, F.lit(False)).cast("double")))
+
+    return cells.groupBy("column").agg(
+        F.count("*").alias("row_count"),
+        F.count_if(filled).alias("filled"),
+        F.approx_count_distinct(s).alias("distinct_estimate"),
+        share(s.rlike(f"^{IPV4}$")).alias("ipv4_share"),
+        share(s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")).alias("email_share"),
+        share(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp_ntz").isNotNull())).alias("time_share"),
+        share(number.isNotNull()).alias("number_share"),
+        share(number.between(-180.0, 180.0) & s.contains(".")).alias("coordinate_share"),
+        F.avg(F.length(s)).alias("mean_length"),
+    )
 
 
 def profile_column_roles(
