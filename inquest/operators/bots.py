@@ -53,8 +53,8 @@ def _slot(ts: Column, minutes: int) -> Column:
     return F.date_format(start, "yyyy-MM-dd HH:mm:ss")
 
 
-def facets(df: DataFrame, roles: ColumnRoles, p: BotParams) -> DataFrame:
-    """Distinct (cluster_type, cluster_key, facet, value) over all rules, from one scan."""
+def facets(df: DataFrame, roles: ColumnRoles, p: BotParams, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """Distinct (cluster_type, cluster_key, facet, value) over the rules, from one scan."""
     role_columns = {
         "account": roles.user, "ts": roles.timestamp, "ip": roles.ip, "ua": roles.user_agent,
         "fp": roles.fingerprint, "email": roles.email, "name": roles.name,
@@ -84,7 +84,7 @@ def facets(df: DataFrame, roles: ColumnRoles, p: BotParams) -> DataFrame:
     }
     counted = {"humanoid_bot_ring": ("ip", "name"), "gmail_dot_trick": ("email",)}
     entries = []
-    for rule in RULES:
+    for rule in rules:
         for facet in ("account", *counted.get(rule, ())):
             value = F.col(facet)
             entries.append(
@@ -141,20 +141,23 @@ def _sized(entries: DataFrame, roles: ColumnRoles, p: BotParams) -> DataFrame:
     return kept
 
 
-def members(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), entries: DataFrame | None = None) -> DataFrame:
+def members(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), rules: tuple[str, ...] = RULES) -> DataFrame:
     """(cluster_type, cluster_key, account_id) of every qualified cluster."""
-    entries = entries if entries is not None else facets(df, roles, p)
+    entries = facets(df, roles, p, rules)
     accounts = entries.filter("facet = 'account'").select(*KEY, F.col("value").alias("account_id"))
     return accounts.join(_sized(entries, roles, p).select(*KEY), KEY, "left_semi")
 
 
-def clusters(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams()) -> DataFrame:
+def clusters(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), rules: tuple[str, ...] = RULES) -> DataFrame:
     """One row per cluster: type, key, size, signals, and the counts behind them."""
-    entries = facets(df, roles, p)
-    sized = _sized(entries, roles, p)
-    bursts = members(df, roles, p, entries.filter("cluster_type = 'time_burst'")).select(*KEY, "account_id")
-    runs = consecutive_suffixes(bursts, "account_id", KEY).select(*KEY).distinct().withColumn("sequential", F.lit(True))
-    marked = sized.join(runs, KEY, "left").withColumn("sequential", F.coalesce("sequential", F.lit(False)))
+    sized = _sized(facets(df, roles, p, rules), roles, p)
+    if "time_burst" in rules:
+        # The handles of burst members need the account and time columns only.
+        bursts = members(df, roles, p, ("time_burst",))
+        runs = consecutive_suffixes(bursts, "account_id", KEY).select(*KEY).distinct().withColumn("sequential", F.lit(True))
+        marked = sized.join(runs, KEY, "left").withColumn("sequential", F.coalesce("sequential", F.lit(False)))
+    else:
+        marked = sized.withColumn("sequential", F.lit(False))
     ring, dots = F.col("cluster_type") == "humanoid_bot_ring", F.col("cluster_type") == "gmail_dot_trick"
     return marked.select(
         *KEY, "size", _signals(roles, p).alias("signals"),

@@ -49,7 +49,7 @@ KEYS = {
 def _rule(key: str, rule: str) -> None:
     @query(key, f"WITH {PARTS} {RULE_SQL[rule]}", SESSIONS)
     def _(t):
-        return B.clusters(t.v_sessions, t.session_roles, HOURLY).filter(F.col("cluster_type") == rule)
+        return B.clusters(t.v_sessions, t.session_roles, HOURLY, (rule,))
 
 
 for _key, _name in KEYS.items():
