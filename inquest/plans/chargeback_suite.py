@@ -80,7 +80,7 @@ full_tv AS (SELECT *, ratio > 10 AND completed_n >= 3 AS seasoning, same_ip OR s
 
 
 # Averages of cents fall on rounding edges; their totals do not.
-COMPLETED_TOTAL = F.expr("round(avg_completed * completed_n, 2) AS completed_total")
+COMPLETED_TOTAL = "round(avg_completed * completed_n, 2) AS completed_total"
 
 
 def _raised(t):
@@ -90,7 +90,7 @@ def _raised(t):
 @query("cb_trust_velocity", f"WITH {TRUST} SELECT user_id, focal_transaction, round(focal_amount, 4) AS focal_amount, completed_n, round(avg_completed * completed_n, 2) AS completed_total, round(ratio, 6) AS ratio, seasoning FROM full_tv", TXN)
 def _(t):
     return _raised(t).select(
-        "user_id", "focal_transaction", F.round("focal_amount", 4).alias("focal_amount"), "completed_n", COMPLETED_TOTAL, F.round("ratio", 6).alias("ratio"), "seasoning"
+        "user_id", "focal_transaction", F.round("focal_amount", 4).alias("focal_amount"), "completed_n", F.expr(COMPLETED_TOTAL), F.round("ratio", 6).alias("ratio"), "seasoning"
     )
 
 
@@ -102,7 +102,7 @@ SELECT f.user_id, f.focal_amount, count(r.amount) AS completed_n, round(coalesce
 )
 def _(t):
     out = C.trust_velocity(t.v_txn, t.txn_roles.with_roles(status=None))
-    return out.select("user_id", "focal_amount", "completed_n", COMPLETED_TOTAL)
+    return out.select("user_id", "focal_amount", "completed_n", F.expr(COMPLETED_TOTAL))
 
 
 @query("cb_infra_consistency", f"WITH {TRUST} SELECT user_id, focal_transaction, focal_ip, focal_device, same_ip, same_device, consistent FROM full_tv", TXN)
