@@ -122,19 +122,27 @@ def running_total(df: DataFrame, order: str, values: list[str], band: Column) ->
     )
 
 
-def global_row_number(df: DataFrame, order: str, tie: str, bands: int = 4096, name: str = "row_number") -> DataFrame:
+def global_row_number(df: DataFrame, order: str, tie: str, cuts: int = 64, name: str = "row_number") -> DataFrame:
     """1-based position over the whole table, without moving all rows to one task.
 
-    Quantiles of the order column, from one sketch, cut it into bands of about equal
-    size; equal values are cut further by the hash-free order of ``tie`` inside a band.
+    Quantiles of the order column, from one sketch, cut the table into bands of about
+    equal size. A value so frequent that it is a cut twice gets bands of its own,
+    made from quantiles of ``tie``; so even a constant order column is spread. Both
+    columns are numeric.
     """
-    key = F.col(order)
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(10_000)).alias("cuts"))
-    at = cuts.scalar()
-    placed = df.withColumn("_band", F.size(F.filter(at, lambda c: c < key)))
-    sizes = placed.groupBy("_band").agg(F.count("*").alias("_n"))
-    below = W.orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_band", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
-    inside = W.partitionBy("_band").orderBy(key, F.col(tie))
-    ranked = placed.withColumn("_in", F.row_number().over(inside)).join(offsets, "_band")
-    return ranked.withColumn(name, F.col("_in") + F.col("_off")).drop("_band", "_in", "_off")
+    marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    sketch = df.agg(F.struct(F.percentile_approx(order, marks, F.lit(10_000)).alias("o"), F.percentile_approx(tie, marks, F.lit(10_000)).alias("t")).alias("c"))
+    key, second = F.col(order), F.col(tie)
+    seen = df.withColumn("_cuts", sketch.scalar())
+    placed = seen.withColumns({
+        "_band": F.size(F.filter("_cuts.o", lambda c: c < key)),
+        "_hot": F.size(F.filter("_cuts.o", lambda c: c == key)) >= 2,
+        "_sub": F.size(F.filter("_cuts.t", lambda c: c < second)),
+    }).withColumn("_sub", F.when(F.col("_hot"), F.col("_sub")).otherwise(0)).drop("_cuts")
+    band = ["_band", "_hot", "_sub"]
+    sizes = placed.groupBy(*band).agg(F.count("*").alias("_n"))
+    below = W.orderBy(*band).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*band, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*band).orderBy(key, second)
+    ranked = placed.withColumn("_in", F.row_number().over(inside)).join(offsets, band)
+    return ranked.withColumn(name, F.col("_in") + F.col("_off")).drop(*band, "_in", "_off")

@@ -60,13 +60,10 @@ SELECT 'case_' || CAST(s_suppkey % 13 AS VARCHAR(20)) || CASE WHEN s_suppkey < 1
  CASE WHEN s_suppkey % 4 = 0 THEN 'Bot sweep ' ELSE 'Review ' END || s_name AS case_name,
  CASE s_suppkey % 5 WHEN 0 THEN 'FLAGGED' WHEN 1 THEN 'cleared' WHEN 2 THEN ' investigating ' WHEN 3 THEN 'odd' END AS status,
  'tenant_' || CAST(s_nationkey % 2 AS VARCHAR(20)) AS tenant_id,
- TIMESTAMP_NTZ '2024-01-01 00:00:00' + CAST(s_suppkey AS INT) * INTERVAL 7 HOUR AS created_at FROM {supplier}""",
+ TIMESTAMP_NTZ '2024-01-01 00:00:00' + CAST(s_suppkey AS INT) * INTERVAL 7 HOUR AS created_at, s_suppkey AS case_no FROM {supplier}""",
     # Share list: an owner case opens its rows to a viewer case.
     "v_shares": """
-SELECT a.case_id AS owner_case_id, b.case_id AS viewer_case_id, a.created_at AS shared_at FROM {supplier} s
- JOIN {v_cases} a ON a.case_name LIKE '%' || s.s_name
- JOIN {supplier} t ON t.s_suppkey = (s.s_suppkey * 3 + 1) % 13
- JOIN {v_cases} b ON b.case_name LIKE '%' || t.s_name""",
+SELECT a.case_id AS owner_case_id, b.case_id AS viewer_case_id, a.created_at AS shared_at FROM {v_cases} a JOIN {v_cases} b ON b.case_no = (a.case_no * 3 + 1) % 13""",
     # Leads and the audit trail, taken from the event stream.
     "v_leads": """
 SELECT event_id AS lead_id, 'case_' || CAST(user_id % 7 AS VARCHAR(20)) AS case_id, event_type AS pin_kind,
@@ -74,7 +71,7 @@ SELECT event_id AS lead_id, 'case_' || CAST(user_id % 7 AS VARCHAR(20)) AS case_
  CASE event_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'VERIFIED' WHEN 2 THEN 'DISMISSED' ELSE 'ESCALATED' END AS status, ts AS created_at FROM {events}""",
     "v_audit": """
 SELECT event_id AS audit_id, 'case_' || CAST(user_id % 7 AS VARCHAR(20)) AS case_id, event_type AS action,
- CASE WHEN event_id % 3 = 0 THEN props END AS code, event_type || ' ' || props AS notes, ts AS at FROM {events}""",
+ CASE WHEN event_id % 3 = 0 THEN props END AS code, event_type || ' ' || props AS notes, ts AS logged_at FROM {events}""",
     # A score per labelled document, for the threshold queries.
     "v_scores": """
 SELECT d.doc_id, CAST(l.toxic AS INT) AS label, CAST(d.n_chars % 997 AS DOUBLE) / 997.0 AS score

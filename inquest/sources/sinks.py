@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inquest.functions.scalar import clamp, clean_key
+from inquest.sources.files import clustered
 
 
 def sink_graph_tables(nodes: DataFrame, edges: DataFrame, folder: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,7 @@ def sink_graph_tables(nodes: DataFrame, edges: DataFrame, folder: str, fmt: str
 
 def sink_evidence_packages(manifests: DataFrame, folder: str, by: str) -> DataFrame:
     """One JSON line per transaction, in folders per ``by``."""
-    manifests.write.mode("overwrite").partitionBy(by).json(folder)
+    clustered(manifests, by).write.mode("overwrite").partitionBy(by).json(folder)
     # The partition value is in the path, and the reader puts it last.
     fields = [f for f in manifests.schema.fields if f.name != by]
     schema = type(manifests.schema)([*fields, manifests.schema[by]])
