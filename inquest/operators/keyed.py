@@ -128,17 +128,23 @@ def global_row_number(df: DataFrame, order: str, tie: str, cuts: int = 64, name:
     Quantiles of the order column, from one sketch, cut the table into bands of about
     equal size. A value so frequent that it is a cut twice gets bands of its own,
     made from quantiles of ``tie``; so even a constant order column is spread. Both
-    columns are numeric.
+    columns are numeric and filled.
     """
     marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     sketch = df.agg(F.struct(F.percentile_approx(order, marks, F.lit(10_000)).alias("o"), F.percentile_approx(tie, marks, F.lit(10_000)).alias("t")).alias("c"))
     key, second = F.col(order), F.col(tie)
-    seen = df.withColumn("_cuts", sketch.scalar())
-    placed = seen.withColumns({
-        "_band": F.size(F.filter("_cuts.o", lambda c: c < key)),
-        "_hot": F.size(F.filter("_cuts.o", lambda c: c == key)) >= 2,
-        "_sub": F.size(F.filter("_cuts.t", lambda c: c < second)),
-    }).withColumn("_sub", F.when(F.col("_hot"), F.col("_sub")).otherwise(0)).drop("_cuts")
+    # The cuts, ``2 * cuts`` numbers, become constants: both uses below must agree on
+    # them, and two runs of a sketch need not.
+    found = sketch.first()["c"]
+    if found["o"] is None:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    first, then = (F.array(*[F.lit(x) for x in found[k]]) for k in ("o", "t"))
+    hot = F.size(F.filter(first, lambda c: c == key)) >= 2
+    placed = df.withColumns({
+        "_band": F.size(F.filter(first, lambda c: c < key)),
+        "_hot": hot,
+        "_sub": F.when(hot, F.size(F.filter(then, lambda c: c < second))).otherwise(0),
+    })
     band = ["_band", "_hot", "_sub"]
     sizes = placed.groupBy(*band).agg(F.count("*").alias("_n"))
     below = W.orderBy(*band).rowsBetween(W.unboundedPreceding, -1)

@@ -48,9 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files that outlive an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and read it back: the plan restarts from files.
+
+    A table is used rather than ``checkpoint()``, whose result keeps the size guess
+    of the plan behind it. In a loop of joins those guesses multiply without bound;
+    files have their true size, so joins are planned by what is really there.
+    """
+    path = shared_scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
