@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inquest.operators.ml_features import feature_columns, feature_frame
 from inquest.operators.thresholds import metrics_at, recall_threshold, roc_points, youden_threshold
+from inquest.session import cut_lineage
 
 SEED = 42
 
@@ -80,10 +81,11 @@ def fit_forest(df: DataFrame, target: str, row_id: str, p: ForestParams = Forest
 
 def evaluate(scores: DataFrame) -> DataFrame:
     """Counts, recall, fpr, average precision and ROC area at the Youden threshold."""
-    points = roc_points(scores, "label", "score")
+    # Scores are written once: the curve reads them more than once, and a model is dear to run again.
+    points = roc_points(cut_lineage(scores), "label", "score")
     return metrics_at(points, youden_threshold(points).select("threshold").scalar())
 
 
 def choose_threshold(scores: DataFrame, objective: str = "youden") -> DataFrame:
-    points = roc_points(scores, "label", "score")
+    points = roc_points(cut_lineage(scores), "label", "score")
     return recall_threshold(points) if objective.startswith("min_fpr_at_recall") else youden_threshold(points)
