@@ -40,7 +40,7 @@ def sniff_csv(spark: SparkSession, path: str, lines: int = 200) -> CsvLayout | N
             blob.decode("utf-8")
             encoding = "UTF-8"
         except UnicodeDecodeError:
-            encoding = "windows-1252"
+            encoding = "ISO-8859-1"
     rows = blob.decode(encoding, errors="replace").splitlines()
     head = rows[0].lstrip("﻿")
 
