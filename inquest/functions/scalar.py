@@ -110,15 +110,19 @@ def gmail_normal_local(local: Column, domain: Column) -> Column:
 
 def shannon_entropy(s: Column) -> Column:
     """Bits per character: log2(n) - sum(k * log2 k) / n over character counts k."""
-    n = F.length(s).cast("double")
-    chars = F.array_distinct(F.filter(F.split(s, ""), lambda ch: ch != ""))
 
-    def add(acc: Column, ch: Column) -> Column:
-        k = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))).cast("double")
-        return acc + k * F.log2(k)
+    def bits(x: Column) -> Column:
+        n = F.length(x).cast("double")
+        chars = F.array_distinct(F.filter(F.split(x, ""), lambda ch: ch != ""))
 
-    weighted = F.aggregate(chars, F.lit(0.0), add)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)
+        def add(acc: Column, ch: Column) -> Column:
+            k = (F.length(x) - F.length(F.replace(x, ch, F.lit("")))).cast("double")
+            return acc + k * F.log2(k)
+
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - F.aggregate(chars, F.lit(0.0), add) / n)
+
+    # The text is bound to a lambda variable, so an expression behind it runs once per row.
+    return F.get(F.transform(F.array(s), bits), F.lit(0))
 
 
 def chrome_major(ua: Column) -> Column:

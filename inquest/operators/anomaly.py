@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquest.operators.keyed import quantile_by_key
+from inquest.session import cut_lineage
 
 # Trees, rows per tree, share of anomalies, seed.
 N_TREES = 200
@@ -69,16 +70,16 @@ class Forest:
     norm: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score: near -1 is odd, near 0 is ordinary."""
+        """Minus the anomaly score: near -1 is odd, near 0 is ordinary.
+
+        A leaf leads to itself, so all rows take ``depth`` steps and none is asked where it is.
+        """
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         for root in self.roots:
             at = np.full(len(x), root)
             for _ in range(self.depth):
-                f = self.feature[at]
-                inner = f >= 0
-                goes_left = x[rows, np.where(inner, f, 0)] < self.split[at]
-                at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
+                at = np.where(flat[first + self.feature[at]] < self.split[at], self.left[at], self.right[at])
             total += self.path[at]
         return -np.exp2(-(total / len(self.roots)) / self.norm)
 
@@ -89,7 +90,7 @@ def fit_forest(df: DataFrame, features: list[str], n_trees: int = N_TREES, rows_
     The draw keeps about ``n_trees * rows_per_tree`` rows whatever the size of the
     table, one tree per drawn row; a small table lends each row to several trees.
     """
-    x = df.select(F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]).alias("x"))
+    x = df.select(F.array(*_filled(features)).alias("x"))
     total = x.count()
     if total < 10:
         raise ValueError("an isolation forest needs ten rows at least")
@@ -112,10 +113,10 @@ def fit_forest(df: DataFrame, features: list[str], n_trees: int = N_TREES, rows_
     start = nodes.groupby("tree", sort=True).size().cumsum().shift(fill_value=0)
     base = nodes["tree"].map(start).to_numpy()
     leaf = nodes["feature"].to_numpy() < 0
-    shift = lambda c: np.where(leaf, 0, nodes[c].to_numpy() + base)
+    shift = lambda c: np.where(leaf, np.arange(len(nodes)), nodes[c].to_numpy() + base)
     path = nodes["depth"].to_numpy() + np.array([mean_path(s) for s in nodes["size"]])
     return Forest(
-        nodes["feature"].to_numpy(), nodes["split"].to_numpy(), shift("left"), shift("right"), path,
+        np.where(leaf, 0, nodes["feature"].to_numpy()), nodes["split"].to_numpy(), shift("left"), shift("right"), path,
         start.to_numpy(), int(nodes["depth"].max()), mean_path(psi) or 1.0,
     )
 
@@ -125,13 +126,16 @@ def score_rows(df: DataFrame, features: list[str], forest: Forest, name: str = "
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = shared.value
-        for s in batches:
-            yield pd.Series(model.scores(np.stack(s.to_numpy())) if len(s) else [])
+        for columns in batches:
+            yield pd.Series(model.scores(np.column_stack([c.to_numpy(dtype="float64") for c in columns])))
+
+    return df.withColumn(name, score(*_filled(features)))
+
 
-    x = F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
-    return df.withColumn(name, score(x))
+def _filled(features: list[str]) -> list:
+    return [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
 
 
 def isolation_scan(
@@ -142,7 +146,8 @@ def isolation_scan(
     The offset is the exact ``contamination`` quantile of the raw scores.
     """
     share = min(0.5, max(0.001, contamination))
-    raw = score_rows(df, features, fit_forest(df, features, n_trees, seed=seed), "_raw")
+    # Written once: the quantile and the result both read the scores.
+    raw = cut_lineage(score_rows(df, features, fit_forest(df, features, n_trees, seed=seed), "_raw"))
     offset = quantile_by_key(raw.select(F.lit(1).alias("_all"), "_raw"), ["_all"], "_raw", share, "q").select("q").scalar()
     return raw.withColumn("if_score", F.col("_raw") - offset).drop("_raw").withColumn("is_anomaly", F.col("if_score") < 0)
 
@@ -158,7 +163,7 @@ def contamination_cv(
     rows = None
     for k in range(folds):
         forest = fit_forest(folded.filter(F.col("_fold") != k), features, n_trees, seed=seed + k)
-        held = score_rows(folded.filter(F.col("_fold") == k), features, forest, "s").select("_fold", "s")
+        held = cut_lineage(score_rows(folded.filter(F.col("_fold") == k), features, forest, "s").select("_fold", "s"))
         spread = held.groupBy("_fold").agg(F.stddev_pop("s").alias("stability"))
         for c in grid:
             q = quantile_by_key(held, ["_fold"], "s", c, "threshold").join(spread, "_fold").withColumn("contamination", F.lit(c))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inquest.functions import scalar as S
 from inquest.operators.keyed import top_per_key
-from inquest.operators.relational import activity_after_dispute, postal_mismatch, trailing_disputes
+from inquest.operators.relational import activity_after_dispute, postal_differs, postal_mismatch, trailing_disputes
 from inquest.roles import ColumnRoles
 
 
@@ -83,28 +83,32 @@ def strong_checks(df: DataFrame, r: ColumnRoles) -> DataFrame:
     )
 
 
-def evidence_counts(df: DataFrame, r: ColumnRoles, strictly_prior: bool = True, case: str | None = None) -> DataFrame:
-    """Signals per user (or per ``case`` column of a user's rows): one row with five counts and the disputed rows."""
-    key = "user_id"
+def evidence_counts(df: DataFrame, r: ColumnRoles, strictly_prior: bool = True) -> DataFrame:
+    """One row per user: counts of the five kinds of signal, and the disputed rows.
 
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.count("*").alias("n")).select(key, F.lit(name).alias("kind"), "n")
+    What a row shows by itself is counted in one aggregate; only prior matches and
+    velocity, which compare rows, take a pass of their own.
+    """
+    names = ("ip_device", "post_dispute", "velocity", "ship_bill", "avs_cvv", "disputed_rows")
 
-    prior = prior_matches(df, r, strictly_prior)
-    if not strictly_prior:
-        prior_n = prior.groupBy(key).agg(F.sum("clean_rows").alias("n")).select(key, F.lit("ip_device").alias("kind"), "n")
-    else:
-        prior_n = counted(prior, "ip_device")
+    def yes(hit: Column) -> Column:
+        return F.coalesce(hit, F.lit(False)).cast("long")
+
+    d = F.col(r.dispute_date)
+    own = {
+        "post_dispute": sum((yes(F.col(c) > d) for c in (r.login, r.access) if c), F.lit(0).cast("long")),
+        "ship_bill": yes(postal_differs(r.billing_zip, r.shipping_zip)),
+        "avs_cvv": sum((yes(S.check_is_strong(F.col(c))) for c in (r.avs, r.cvv) if c), F.lit(0).cast("long")),
+        "disputed_rows": F.lit(1).cast("long"),
+    }
+    prior_n = F.count("*") if strictly_prior else F.sum("clean_rows")
     parts = [
-        prior_n, counted(post_dispute_activity(df, r), "post_dispute"), counted(dispute_velocity(df, r), "velocity"),
-        counted(ship_bill_mismatch(df, r), "ship_bill"), counted(strong_checks(df, r), "avs_cvv"),
-        counted(df.filter(S.is_disputed(F.col(r.disputed))).select(F.col(r.user).alias(key)), "disputed_rows"),
+        df.filter(S.is_disputed(F.col(r.disputed))).groupBy(F.col(r.user).alias("user_id")).agg(*[F.sum(v).alias(n) for n, v in own.items()]),
+        prior_matches(df, r, strictly_prior).groupBy("user_id").agg(prior_n.alias("ip_device")),
+        dispute_velocity(df, r).groupBy("user_id").agg(F.count("*").alias("velocity")),
     ]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    names = ("ip_device", "post_dispute", "velocity", "ship_bill", "avs_cvv", "disputed_rows")
-    return long.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+    wide = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return wide.groupBy("user_id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 def evidence_scores(counts: DataFrame, w: EvidenceWeights = EvidenceWeights()) -> DataFrame:

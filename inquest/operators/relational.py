@@ -28,9 +28,13 @@ def search_rows_text(rows: DataFrame, needle: str, limit: int | None = None) ->
     return found.orderBy("upload_timestamp", "source_case_id").limit(limit) if limit else found
 
 
+def postal_differs(billing: str, shipping: str) -> Column:
+    """Both codes are filled and not the same."""
+    return F.nullif(norm_postal(F.col(billing)), F.lit("")) != F.nullif(norm_postal(F.col(shipping)), F.lit(""))
+
+
 def postal_mismatch(df: DataFrame, billing: str, shipping: str, disputed: str) -> DataFrame:
-    b, s = F.nullif(norm_postal(F.col(billing)), F.lit("")), F.nullif(norm_postal(F.col(shipping)), F.lit(""))
-    return df.filter(is_disputed(F.col(disputed)) & (b != s))
+    return df.filter(is_disputed(F.col(disputed)) & postal_differs(billing, shipping))
 
 
 def activity_after_dispute(df: DataFrame, disputed: str, dispute_date: str, activities: dict[str, str]) -> DataFrame:

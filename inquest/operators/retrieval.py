@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +39,47 @@ def as_batch(queries: DataFrame, *columns: str) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` nearest vectors per query, ranks from 0.
 
-    ``vectors`` has (id, embedding), ``queries`` has (query_id, embedding). Vectors
-    stay where they are; each task keeps its best ``k`` per query before the shuffle.
+    ``vectors`` has (id, embedding), ``queries`` has (query_id, embedding). The query
+    batch, of at most ``MAX_QUERIES``, goes to every executor; a task multiplies its
+    vectors with it batch by batch and passes on the best ``k`` per query only.
     """
-    asked = vectors.withColumn("_q", F.explode(as_batch(queries, "query_id", "embedding")))
-    scored = asked.select(F.col("_q.query_id").alias("query_id"), "id", cosine(F.col("embedding"), F.col("_q.embedding")).alias("similarity"))
-    best = top_per_key(scored, ["query_id"], [F.col("similarity").desc(), F.col("id")], k)
+    asked = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    names = [r["query_id"] for r in asked]
+    by_size: dict[int, list[int]] = {}
+    for i, r in enumerate(asked):
+        by_size.setdefault(len(r["embedding"]), []).append(i)
+    # One matrix per vector length: a query only meets vectors of its own length, others score 0.
+    packed = {size: (idx, _unit(np.array([asked[i]["embedding"] for i in idx], dtype="float64"))) for size, idx in by_size.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast((names, packed))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrices = shared.value
+        for pdf in batches:
+            lengths = pdf["embedding"].map(len).to_numpy()
+            scores = np.zeros((len(pdf), len(ids)))
+            for size, (idx, matrix) in matrices.items():
+                rows = np.flatnonzero(lengths == size)
+                if len(rows):
+                    part = _unit(np.stack(pdf["embedding"].iloc[rows].to_numpy()).astype("float64"))
+                    scores[np.ix_(rows, idx)] = np.round(part @ matrix.T, 12)
+            own = pdf["id"].to_numpy()
+            for j, qid in enumerate(ids):
+                top = np.lexsort((own, -scores[:, j]))[:k]
+                yield pd.DataFrame({"query_id": qid, "id": own[top], "similarity": scores[top, j]})
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
+    near = vectors.select("id", "embedding").mapInPandas(nearest, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+    best = top_per_key(near, ["query_id"], [F.col("similarity").desc(), F.col("id")], k)
     return best.withColumn("rank", F.col("rank") - 1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
 def words(body: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -61,7 +97,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
     stats = tokens.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean")).alias("st")).scalar()
     hits = tokens.select("id", F.size("_w").alias("len"), F.explode("_w").alias("term")).join(asked, "term", "left_semi")
     tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by value keeps the column, so both uses of the counts share one shuffle.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     raw = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.join(df, "term").withColumn("idf", F.when(raw > 0, raw).otherwise(MIN_IDF)).select("query_id", "term", "idf")
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / stats["mean"]))

@@ -68,14 +68,14 @@ def _(t):
 
 @query(
     "graph_circular_payments",
-    f"""WITH RECURSIVE {EDGES}, e AS (SELECT payer AS src, payee AS dst FROM pe WHERE payer <> payee AND total_amount >= 50),
+    f"""WITH RECURSIVE {EDGES}, e AS (SELECT payer AS src, payee AS dst FROM pe WHERE payer <> payee),
 p AS (SELECT src AS start, dst AS last, [src, dst] AS accounts, 1 AS hops FROM e WHERE dst > src
  UNION ALL SELECT p.start, e.dst, list_append(p.accounts, e.dst), p.hops + 1 FROM p JOIN e ON e.src = p.last WHERE p.hops < 3 AND e.dst > p.start AND NOT list_contains(p.accounts, e.dst))
 SELECT CAST(hops + 1 AS INT) AS cycle_length, array_to_string(list_append(accounts, start), ' → ') AS path FROM p JOIN e ON e.src = p.last AND e.dst = p.start""",
     PAY,
 )
 def _(t):
-    return Y.circular_payments(_payments(t).filter("total_amount >= 50"), max_len=4).select("cycle_length", "path")
+    return Y.circular_payments(_payments(t), max_len=4).select("cycle_length", "path")
 
 
 @query(
@@ -90,14 +90,13 @@ def _(t):
 
 @query(
     "graph_components",
-    f"""WITH RECURSIVE {SPOKES}, e AS (SELECT account AS a, {HUB} AS b FROM spokes WHERE kind <> 'shared_address'), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    f"""WITH RECURSIVE {SPOKES}, e AS (SELECT account AS a, {HUB} AS b FROM spokes), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT DISTINCT a AS v, a AS r FROM both_ways UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
 SELECT v AS vertex, min(r) AS component FROM reach GROUP BY v""",
     LINKS,
 )
 def _(t):
-    edges = G.ring_edges(_spokes(t).filter("kind <> 'shared_address'"))
-    return N.connected_components(edges)
+    return N.connected_components(G.ring_edges(_spokes(t)))
 
 
 @query("graph_degree", f"WITH {SPOKES}, {EDGES}, {UND}, {DEG} SELECT * FROM deg", BOTH)
@@ -105,13 +104,8 @@ def _(t):
     return _degrees(t)
 
 
-# Communities of the graph of shared phones, one short list of accounts per phone.
-def _phone_spokes(t):
-    return _spokes(t).filter("kind = 'shared_phone'")
-
-
 def _communities(t):
-    found = L.louvain(G.ring_edges(_phone_spokes(t)))
+    found = L.louvain(G.ring_edges(_spokes(t), _payments(t)))
     return found.filter(G.is_account(F.col("vertex"))).select(F.col("vertex").alias("account"), "community_id")
 
 
@@ -122,13 +116,13 @@ def _(t):
 
 @query("graph_neighbor_communities")
 def _(t):
-    return G.neighbor_communities(_phone_spokes(t), None, _communities(t))
+    return G.neighbor_communities(_spokes(t), _payments(t), _communities(t))
 
 
 def _roles(t):
-    degrees = G.account_degrees(_phone_spokes(t))
-    near = G.neighbor_communities(_phone_spokes(t), None, _communities(t))
-    cycles = Y.cycles_per_account(Y.circular_payments(_payments(t).filter("total_amount >= 50"), max_len=3))
+    degrees = _degrees(t)
+    near = G.neighbor_communities(_spokes(t), _payments(t), _communities(t))
+    cycles = Y.cycles_per_account(Y.circular_payments(_payments(t), max_len=3))
     return cut_lineage(G.account_roles(degrees, near, cycles))
 
 
@@ -144,7 +138,7 @@ def _(t):
 
 @query("graph_risk_communities")
 def _(t):
-    return G.risk_communities(_communities(t), G.account_degrees(_phone_spokes(t)))
+    return G.risk_communities(_communities(t), _degrees(t))
 
 
 @query(
