@@ -118,12 +118,14 @@ def _(t):
 
 @query(
     "ato_behavior_stats",
-    f'WITH {PROFILE}, {STATS} SELECT "user", event_count, round(avg_amount, 6) AS avg_amount, max_amount, samples, round(mean_duration, 6) AS mean_duration, round(median_duration, 6) AS median_duration FROM stats',
+    f'WITH {PROFILE}, {STATS} SELECT "user", event_count, round(avg_amount * samples, 2) AS amount_total, max_amount, samples, round(mean_duration, 6) AS mean_duration, round(median_duration, 6) AS median_duration FROM stats',
     SESSIONS,
 )
 def _(t):
     out = A.behavior_stats(_history(t), _roles(t))
-    return out.withColumns({c: F.round(c, 6) for c in ("avg_amount", "mean_duration", "median_duration")})
+    # Averages of cents fall on rounding edges; their totals do not.
+    total = F.round(F.col("avg_amount") * F.col("samples"), 2).alias("amount_total")
+    return out.select("user", "event_count", total, "max_amount", "samples", *[F.round(c, 6).alias(c) for c in ("mean_duration", "median_duration")])
 
 
 @query(

