@@ -303,14 +303,14 @@ def _(t):
 @query(
     "win_above_threshold_runs",
     """WITH h AS (SELECT source_case_id, date_trunc('hour', upload_timestamp) AS hb, sum(amount) AS y FROM v_case_rows GROUP BY ALL),
-a AS (SELECT *, y > 60.0 AS above FROM h), s AS (SELECT *, CASE WHEN above = lag(above) OVER w THEN 0 ELSE 1 END AS new_run FROM a WINDOW w AS (PARTITION BY source_case_id ORDER BY hb)),
+a AS (SELECT *, y > 700.0 AS above FROM h), s AS (SELECT *, CASE WHEN above = lag(above) OVER w THEN 0 ELSE 1 END AS new_run FROM a WINDOW w AS (PARTITION BY source_case_id ORDER BY hb)),
 r AS (SELECT *, sum(new_run) OVER (PARTITION BY source_case_id ORDER BY hb) AS run FROM s)
 SELECT source_case_id, run::BIGINT AS run, above, min(hb) AS start, max(hb) AS stop, count(*) AS n_points FROM r GROUP BY ALL""",
     CASES,
 )
 def _(t):
     hourly = t.v_case_rows.groupBy("source_case_id", S.truncate_ts(F.col("upload_timestamp"), "hour").alias("hb")).agg(F.sum("amount").alias("y"))
-    return R.threshold_runs(hourly, ["source_case_id"], "hb", "y", F.lit(60.0))
+    return R.threshold_runs(hourly, ["source_case_id"], "hb", "y", F.lit(700.0))
 
 
 @query(

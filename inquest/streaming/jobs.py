@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from inquest.functions import scalar as S
 from inquest.operators.ato import agent_mismatch, high_value, is_sensitive, isp_mismatch, value_mismatch
@@ -55,20 +56,24 @@ def lead_feed(leads: DataFrame, folder: str) -> DataFrame:
     """Leads that open something new, one per key, kept in a table of open leads.
 
     Repeats inside the watermark go first; the rest is held against the table. A
-    batch writes its own folder, so a batch that runs again replaces itself.
+    batch is a partition of its own, so a batch that runs again replaces itself.
     """
     spark = leads.sparkSession
     unique = event_time(leads, "created_at").dropDuplicatesWithinWatermark(list(LEAD_KEY))
     schema = unique.schema
 
+    columns = schema.names
+    table = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())]))
+    path = f"{folder}/leads"
+    # An empty first part, so that the table can be read before any batch has come.
+    spark.createDataFrame([], unique.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        table = spark.read.schema(schema).option("recursiveFileLookup", "true")
-        earlier = [f"{folder}/leads/b{i}" for i in range(batch_id)]
-        known = table.parquet(*earlier) if earlier else spark.createDataFrame([], schema)
-        new_leads(batch, known).select(*schema.names).write.mode("overwrite").parquet(f"{folder}/leads/b{batch_id}")
+        known = table.parquet(path).filter(F.col("batch") < batch_id)
+        new_leads(batch, known).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_batches(unique, folder, each)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/leads")
+    return table.parquet(path).select(*columns)
 
 
 def burst_tumbling(events: DataFrame, ts: str, user: str, width: str = "1 minute", least: int = 8) -> DataFrame:
