@@ -32,6 +32,11 @@ FINDINGS = {
     "SENSITIVE_CHAIN_HIGH_VALUE": ("account_change_chain", "critical", "Account change followed by high-value movement"),
     "NAVIGATION_SPEED_ANOMALY": ("checkout_duration_seconds", "medium", "Session timing: unusually fast navigation vs baseline"),
 }
+# Headlines of a session's verdict.
+HEADLINE_TRAVEL = "Physically impossible travel vs prior session"
+HEADLINE_HIGH = "Elevated account takeover risk"
+HEADLINE_MEDIUM = "Moderate environment drift vs baseline"
+HEADLINE_LOW = "Limited automated ATO signals"
 # Least amount, and multiple of the average, of a high-value movement.
 HIGH_VALUE_FLOOR = 500.0
 HIGH_VALUE_MULTIPLE = 3
@@ -252,8 +257,8 @@ def risk_scores(findings: DataFrame) -> DataFrame:
         F.max(F.col("code") == "IMPOSSIBLE_TRAVEL").alias("_travel"),
     )
     headline = (
-        F.when(F.col("_travel"), "Physically impossible travel vs prior session").when(F.col("risk") >= 60, "Elevated account takeover risk")
-        .when(F.col("risk") >= 35, "Moderate environment drift vs baseline").otherwise("Limited automated ATO signals")
+        F.when(F.col("_travel"), HEADLINE_TRAVEL).when(F.col("risk") >= 60, HEADLINE_HIGH)
+        .when(F.col("risk") >= 35, HEADLINE_MEDIUM).otherwise(HEADLINE_LOW)
     )
     return per.select("session_id", "user", "n_flags", "risk", (100.0 - F.col("risk")).alias("safety"), headline.alias("headline"))
 

@@ -36,6 +36,23 @@ class BotParams:
     max_clusters_per_rule: int | None = None
 
 
+# Signals per rule, and the extra one a rule can add.
+SIGNALS = {
+    "time_burst": ("TIME_BURST", "SEQUENTIAL_ID_PATTERN"),
+    "humanoid_bot_ring": ("HUMANOID_BOT_RING,CANVAS_HARDWARE_COLLISION", None),
+    "infrastructure_ua": ("SHARED_SUBNET_UA", "STALE_CHROME_UA"),
+    "infrastructure_canvas": ("SHARED_SUBNET_CANVAS", None),
+    "disposable_email": ("DISPOSABLE_EMAIL_DOMAIN", None),
+    "gmail_dot_trick": ("GMAIL_DOT_VARIANTS", None),
+    "high_entropy_email_subnet": ("HIGH_ENTROPY_LOCAL,INFRA_GEO_CONTEXT", None),
+}
+# Texts of the hardware verdict.
+SPOOFING_LABEL = "High-Confidence Hardware Spoofing Ring"
+VERDICT_CRITICAL = "CRITICAL: HARDWARE SPOOFING DETECTED"
+VERDICT_RING = "Verified Bot Ring (High Confidence)"
+VERDICT_STRONG = "Strong Hardware Concentration"
+VERDICT_REVIEW = "Review Canvas / IP Distribution"
+
 RULES = (
     "time_burst",
     "humanoid_bot_ring",
@@ -97,18 +114,14 @@ def facets(df: DataFrame, roles: ColumnRoles, p: BotParams, rules: tuple[str, ..
     return long.distinct()
 
 
-def _signals(roles: ColumnRoles, p: BotParams) -> Column:
+def _signals(p: BotParams) -> Column:
     stale = S.chrome_is_stale(F.element_at(F.split("cluster_key", r" \| "), 2), p.chrome_stale_below)
-    rule = F.col("cluster_type")
-    return (
-        F.when(rule == "time_burst", F.when(F.col("sequential"), F.lit("TIME_BURST,SEQUENTIAL_ID_PATTERN")).otherwise("TIME_BURST"))
-        .when(rule == "humanoid_bot_ring", "HUMANOID_BOT_RING,CANVAS_HARDWARE_COLLISION")
-        .when(rule == "infrastructure_ua", F.when(stale, F.lit("SHARED_SUBNET_UA,STALE_CHROME_UA")).otherwise("SHARED_SUBNET_UA"))
-        .when(rule == "infrastructure_canvas", "SHARED_SUBNET_CANVAS")
-        .when(rule == "disposable_email", "DISPOSABLE_EMAIL_DOMAIN")
-        .when(rule == "gmail_dot_trick", "GMAIL_DOT_VARIANTS")
-        .otherwise("HIGH_ENTROPY_LOCAL,INFRA_GEO_CONTEXT")
-    )
+    extra = {"time_burst": F.col("sequential"), "infrastructure_ua": stale}
+    out = F.lit(None).cast("string")
+    for rule, (base, more) in SIGNALS.items():
+        text = F.when(extra[rule], f"{base},{more}").otherwise(base) if more else F.lit(base)
+        out = F.when(F.col("cluster_type") == rule, text).otherwise(out)
+    return out
 
 
 def _qualifies(roles: ColumnRoles, p: BotParams) -> Column:
@@ -160,7 +173,7 @@ def clusters(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), rule
         marked = sized.withColumn("sequential", F.lit(False))
     ring, dots = F.col("cluster_type") == "humanoid_bot_ring", F.col("cluster_type") == "gmail_dot_trick"
     return marked.select(
-        *KEY, "size", _signals(roles, p).alias("signals"),
+        *KEY, "size", _signals(p).alias("signals"),
         F.when(ring, F.col("n_ip")).alias("distinct_ips"), F.when(ring, F.col("n_name")).alias("distinct_names"),
         F.when(dots, F.col("n_email")).alias("raw_addresses"),
     )
@@ -213,7 +226,7 @@ def hardware_spoofing(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     """The top fingerprint, if it covers nearly all rows from many addresses."""
     top = canvas_distribution(df, roles, 1)
     hit = _diverse(95.0, 5, 0.45) & (F.col("row_count") >= 5)
-    return top.filter(hit).withColumn("label", F.lit("High-Confidence Hardware Spoofing Ring"))
+    return top.filter(hit).withColumn("label", F.lit(SPOOFING_LABEL))
 
 
 def hardware_forensics(df: DataFrame, roles: ColumnRoles) -> DataFrame:
@@ -227,8 +240,8 @@ def hardware_forensics(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     critical = (F.col("share_pct") >= 99.5) | ((n_prints == 1) & (F.col("row_count") >= 0.99 * n_rows))
     pin = spoofed | _diverse(90.0, 5, 0.0) & (F.col("distinct_ips") >= F.greatest(F.lit(3), F.floor(0.15 * F.col("row_count"))))
     verdict = (
-        F.when(critical, "CRITICAL: HARDWARE SPOOFING DETECTED").when(spoofed, "Verified Bot Ring (High Confidence)")
-        .when(F.col("share_pct") >= 80.0, "Strong Hardware Concentration").otherwise("Review Canvas / IP Distribution")
+        F.when(critical, VERDICT_CRITICAL).when(spoofed, VERDICT_RING)
+        .when(F.col("share_pct") >= 80.0, VERDICT_STRONG).otherwise(VERDICT_REVIEW)
     )
     rotation = F.col("distinct_ips") >= F.greatest(F.lit(10), F.floor(F.col("row_count") / 2))
     return top.select(

@@ -131,6 +131,10 @@ def evidence_scores(counts: DataFrame, w: EvidenceWeights = EvidenceWeights()) -
 SEASONING_RATIO = 10.0
 SEASONING_MIN_COMPLETED = 3
 NEAR_FOCAL = 0.99
+# Texts of the verdict.
+VERDICT_SEASONED = "High risk: potential account seasoning, device or address consistent with warm-up"
+VERDICT_ELEVATED = "Elevated friendly-fraud / seasoning risk"
+VERDICT_REVIEW = "Review recommended"
 
 
 def trust_velocity(df: DataFrame, r: ColumnRoles) -> DataFrame:
@@ -180,8 +184,8 @@ def seasoning_risk(tv: DataFrame) -> DataFrame:
     warm = F.least(F.lit(100.0), base + F.when(F.col("consistent"), 15.0).otherwise(0.0))
     full = F.least(F.lit(100.0), warm + F.when(F.col("seasoning"), 12.0).otherwise(0.0))
     verdict = (
-        F.when(F.col("seasoning") & F.col("consistent"), "High risk: potential account seasoning, device or address consistent with warm-up")
-        .when(F.col("seasoning"), "Elevated friendly-fraud / seasoning risk").otherwise("Review recommended")
+        F.when(F.col("seasoning") & F.col("consistent"), VERDICT_SEASONED)
+        .when(F.col("seasoning"), VERDICT_ELEVATED).otherwise(VERDICT_REVIEW)
     )
     return tv.withColumn("risk_score", F.bround(full).cast("int")).withColumn("verdict", verdict)
 

@@ -196,12 +196,14 @@ def entities_touching(entities: DataFrame, occurrences: DataFrame, allowed: Data
 
 # ---- overlap --------------------------------------------------------------------
 
-# Fixed value: more other cases than this make a repeat offender.
+# More other cases than this make a repeat offender, and the three priorities.
 RECIDIVIST_OVER = 2
+PRIORITIES = ("Recidivist Fraudster", "Elevated", "Normal")
 
 
 def overlap_priority(others: Column) -> Column:
-    return F.when(others > RECIDIVIST_OVER, "Recidivist Fraudster").when(others > 0, "Elevated").otherwise("Normal")
+    repeat, elevated, normal = PRIORITIES
+    return F.when(others > RECIDIVIST_OVER, repeat).when(others > 0, elevated).otherwise(normal)
 
 
 def entity_overlap(occurrences: DataFrame, entities: DataFrame | None = None) -> DataFrame:
