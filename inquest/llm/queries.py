@@ -60,3 +60,101 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     report = quality_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return report.select("doc_id", *(F.col(f"q_{x}").alias(x) for x in names))
+
+
+#: Rules of the URL query: host, path, verdict.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+_URL_SQL = r"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+parts AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+hits AS (
+  SELECT r, max_by(h || p, [length(h || p), length(h)]) AS rule, max_by(v, [length(h || p), length(h)]) AS v
+  FROM cut JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM cut LEFT JOIN hits USING (r)
+""".format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
+
+
+@corpus_query("op9_url_filters", _URL_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    from inquest.llm.urlrules import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", *(F.col(f"u_{x}").alias(x) for x in ("host", "path", "rule", "verdict")))
+
+
+SHARDS = 16
+
+
+def _sharding_sql() -> str:
+    from inquest.llm.permute import permuted_sql
+    from inquest.llm.sharding import SEED
+
+    placed = permuted_sql("r", "n", str(SEED), "rows", "doc_id, size, bytes")
+    return f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+rows AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes,
+    row_number() OVER (ORDER BY doc_id NULLS LAST) - 1 AS r, count(*) OVER () AS n FROM documents),
+placed AS ({placed})
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
+  'rows' AS law, (place % {SHARDS})::INT AS shard, (place // {SHARDS})::INT AS slot, NULL::INT AS grown_shard
+FROM placed, crc_table"""
+
+
+@corpus_query("op4_sharding", _sharding_sql())
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law of equal row counts."""
+    from inquest.llm.sharding import shard_rows
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = shard_rows(docs, SHARDS, ("doc_id", "text_crc32", "size"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@corpus_query("op2_source_mixing")
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of each document's source and the words that the mix takes from the document."""
+    from inquest.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+_DECONTAM_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, w[i:i + least(len(w), 10) - 1] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM items WHERE len(w) > 0)),
+spots AS (
+  SELECT r, i, k, w[i:i + k - 1] AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wins))),
+found AS (SELECT r, i, k, item_id FROM spots JOIN wins USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)"""
+
+
+@corpus_query("op10_benchmark_decontamination", _DECONTAM_SQL)
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside ten-word windows of benchmark items."""
+    from inquest.llm.decontam import contamination
+
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ","), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
