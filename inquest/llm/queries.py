@@ -188,3 +188,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inquest.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@corpus_query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenize all documents, write the files, and read start, count and checksum of each document from them."""
+    import public_tokenizers
+
+    from inquest.llm.common import scratch
+    from inquest.llm.tokenfile import read_tokens, write_tokens
+
+    path = scratch(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return read_tokens(spark, path, digest=True)
