@@ -201,3 +201,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return read_tokens(spark, path, digest=True)
+
+
+@corpus_query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a model of the labelled ones that are not held out."""
+    from inquest.llm.toxicity import is_held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, prefix="t_")
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"))
