@@ -212,3 +212,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model, prefix="t_")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"))
+
+
+@corpus_query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from inquest.llm.extraction import extract
+
+    texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
