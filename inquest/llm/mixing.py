@@ -30,7 +30,8 @@ DRAW_DIGITS = 13
 class Mix:
     """The parts of a mix; all frames are read from the shared folder.
 
-    ``docs``: the documents with ``m_rank`` (of the source), ``m_size``, ``m_start`` (words of the source before it) and ``m_row``.
+    ``docs``: the documents with ``m_row``, a number of their own, and ``m_size``, their words.
+    ``places``: m_row, m_rank (of the source), m_size, m_start (words of the source before it).
     ``sources``: rank, source, size, weight, target, blocks, quota (blocks taken).
     ``counts``: shard, rank, first, taken: the shard takes the source's blocks number first to first + taken - 1.
     ``slots``: shard, rank, slot, block: which block each of these is.
@@ -38,6 +39,7 @@ class Mix:
     """
 
     docs: DataFrame
+    places: DataFrame
     sources: DataFrame
     counts: DataFrame
     slots: DataFrame
@@ -123,9 +125,9 @@ def mix_documents(
     )
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("m_part").alias("o_part"), "before", F.col("rank").alias("m_rank"))
     within = Window.partitionBy("m_part", source).orderBy("m_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("m_start", F.coalesce(F.sum("m_size").over(within), F.lit(0)))
+    placed = dealt.select("m_row", "m_part", source, "m_size").withColumn("m_start", F.coalesce(F.sum("m_size").over(within), F.lit(0)))
     placed = placed.join(offsets, (F.col("m_part") == F.col("o_part")) & F.col(source).eqNullSafe(F.col("o_source")))
-    placed = placed.withColumn("m_start", F.col("m_start") + F.col("before")).drop("o_source", "o_part", "before", "m_part")
+    placed = land(placed.select("m_row", "m_rank", "m_size", (F.col("m_start") + F.col("before")).alias("m_start")), f"{folder}/places")
 
     first, last = F.col("m_start"), F.col("m_start") + F.col("m_size") - 1
     spans = placed.filter("m_size > 0").select(
@@ -137,10 +139,12 @@ def mix_documents(
 
     total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     counts = land(_shard_counts(sources, total, shard_blocks, seed), f"{folder}/counts")
-    slots = counts.join(sources.select("rank", "blocks"), "rank").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("taken") - 1)))
+    # A row of counts stands for thousands of slots, so the rows are spread before they are taken apart.
+    tasks = max(spark.sparkContext.defaultParallelism, total // 200_000 + 1)
+    slots = counts.repartition(tasks, "shard", "rank").join(sources.select("rank", "blocks"), "rank").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("taken") - 1)))
     time = ((F.col("slot") - F.col("slot") % F.col("blocks")) / F.col("blocks")).cast("long")
     slots = slots.select("shard", "rank", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed) + F.col("rank") * 1009 + time * 104729).alias("block"))
-    return Mix(placed, sources, counts, slots, pieces)
+    return Mix(dealt.drop("m_part"), placed, sources, counts, slots, pieces)
 
 
 def _shard_counts(sources: DataFrame, total: int, shard_blocks: int, seed: int) -> DataFrame:
@@ -169,7 +173,7 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("m_size"))
     mix = mix_documents(slim, source="source", **options)
     about = mix.sources.select(F.col("rank").alias("m_rank"), F.col("size").alias("source_size"), "target")
-    rows = mix.docs.join(about, "m_rank").join(mix.taken(), "m_row", "left")
+    rows = mix.places.join(about, "m_rank").join(mix.docs.select("m_row", "doc_id"), "m_row").join(mix.taken(), "m_row", "left")
     return rows.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -180,8 +184,8 @@ def mixed_copies(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     its number of words. Columns are those of ``docs``.
     """
     mix = mix_documents(docs, seed=seed, **options)
-    rows = mix.docs.join(mix.taken(), "m_row")
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("m_row")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("taken") / F.col("m_size") + chance).cast("int")
-    rows = rows.withColumn("m_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    taken = mix.places.join(mix.taken(), "m_row").select("m_row", copies.alias("m_copies")).filter("m_copies > 0")
+    rows = mix.docs.join(land(taken, scratch(docs.sparkSession, "copies")), "m_row").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
