@@ -16,20 +16,20 @@ from inquest.sources import external, files, sinks
 
 def _events_csv(t, sep: str) -> str:
     path = shared_scratch(t.spark, "events-csv")
-    files.sink_csv(t.events.select("event_id", "ts", "user_id", "event_type", "value"), path, sep)
+    files.sink_csv(t.events.select("event_id", "ts", "user_id", "event_type", "value", "props"), path, sep)
     return path
 
 
-@query("scan_csv_tolerant", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("scan_csv_tolerant", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(t):
     rows, _rejected = files.scan_csv_tolerant(t.spark, _events_csv(t, ";"))
     return rows
 
 
-@query("scan_csv_typed_dates", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("scan_csv_typed_dates", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(t):
     path = _events_csv(t, ",")
-    return files.scan_csv_typed(t.spark, path, "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE")
+    return files.scan_csv_typed(t.spark, path, "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING")
 
 
 @query("preview_rows")

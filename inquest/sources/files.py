@@ -20,43 +20,41 @@ class CsvLayout:
     delimiter: str
     encoding: str
     header: tuple[str, ...]
+    head: str
 
 
-def sniff_csv(spark: SparkSession, path: str, lines: int = 200) -> CsvLayout | None:
-    """Delimiter, encoding and header from the first lines; ``None`` for an empty file.
+def sniff_csv(spark: SparkSession, path: str) -> CsvLayout | None:
+    """Delimiter, encoding and header of a file from all of its lines; ``None`` for an empty one.
 
-    ``read.text`` keeps the raw bytes of a line, so the sample also shows bytes
-    that are not UTF-8. The sample has a fixed number of lines.
+    ``read.text`` keeps the raw bytes of a line, so bytes that are not UTF-8 are seen wherever they stand. The header
+    is the first line that is not blank; the delimiter is the one that most lines have as often as the header.
     """
-    sample = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(lines).collect()]
-    sample = [b for b in sample if b.strip()]
-    if not sample:
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    first = lines.select(F.col("value").cast("binary").alias("b")).first()
+    if first is None:
         return None
-    blob = b"\n".join(sample)
-    if blob[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        encoding = "UTF-16"
+    start = bytes(first["b"])
+    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        encoding, head = "UTF-16", spark.read.options(encoding="UTF-16", sep="\u0001").csv(path).first()[0]
+        counts = {d: 1 for d in DELIMITERS}
     else:
-        try:
-            blob.decode("utf-8")
-            encoding = "UTF-8"
-        except UnicodeDecodeError:
-            encoding = "ISO-8859-1"
-    rows = blob.decode(encoding, errors="replace").splitlines()
-    head = rows[0].lstrip("﻿")
-
-    def fit(d: str) -> tuple[int, int]:
-        counts = [r.count(d) for r in rows]
-        agree = sum(1 for c in counts if c == counts[0] and c > 0)
-        return agree, counts[0]
-
-    delimiter = max(DELIMITERS, key=fit)
+        number = {d: start.count(d.encode()) for d in DELIMITERS}
+        same = [
+            F.count_if(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) == n).alias(str(i)) if n else F.lit(0).alias(str(i))
+            for i, (d, n) in enumerate(number.items())
+        ]
+        found = lines.agg(F.every(F.is_valid_utf8("value")).alias("utf8"), *same).first()
+        encoding = "UTF-8" if found["utf8"] else "ISO-8859-1"
+        head = start.decode(encoding)
+        counts = {d: found[str(i)] for i, d in enumerate(DELIMITERS)}
+    head = head.lstrip("\ufeff").rstrip("\r")
+    delimiter = max(DELIMITERS, key=lambda d: (counts[d], head.count(d)))
     header = tuple(h.strip().strip('"') for h in head.split(delimiter))
-    return CsvLayout(delimiter, encoding, header)
+    return CsvLayout(delimiter, encoding, header, head)
 
 
-def infer_types(raw: DataFrame, rows: int = 50_000) -> T.StructType:
-    """Types that every non-empty cell of a bounded sample can take: long, double, timestamp, else string."""
-    sample = raw.limit(rows)
+def infer_types(raw: DataFrame) -> T.StructType:
+    """Types that every non-empty cell of the whole frame can take: long, double, timestamp, else string."""
     tests = []
     for c in raw.columns:
         k = clean_key(F.col(f"`{c}`"))
@@ -69,23 +67,43 @@ def infer_types(raw: DataFrame, rows: int = 50_000) -> T.StructType:
             F.when(all_cast("bigint"), "bigint").when(all_cast("double"), "double")
             .when(looks_like_time & all_cast("timestamp_ntz"), "timestamp_ntz").otherwise("string")
         )
-    kinds = sample.agg(F.array(*tests).alias("kinds")).first()["kinds"]
+    kinds = raw.agg(F.array(*tests).alias("kinds")).first()["kinds"]
     return T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(raw.columns, kinds)])
 
 
+def _csv_lines(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:
+    """The data lines as text: no blank ones and no header."""
+    if layout.encoding == "UTF-16":
+        # ``read.text`` cuts lines at single bytes; the CSV reader with a delimiter that no text has gives whole lines.
+        lines = spark.read.options(encoding="UTF-16", sep="\u0001", quote="").schema("line string").csv(path)
+    else:
+        lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), layout.encoding).alias("line"))
+    plain = F.rtrim(F.ltrim("line", F.lit("\ufeff")), F.lit("\r"))
+    return lines.select(plain.alias("line")).filter((F.trim("line") != "") & (F.col("line") != layout.head))
+
+
 def scan_csv_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected): unknown delimiter, encoding and types; bad lines are kept apart, not lost."""
+    """(rows, rejected): unknown delimiter, encoding and types; bad lines are kept apart, not lost.
+
+    Types come from all lines, so a value that fits no earlier one widens its column instead of being rejected.
+    """
     layout = sniff_csv(spark, path)
     if layout is None:
         empty = spark.createDataFrame([], T.StructType([]))
         return empty, spark.createDataFrame([], f"{CORRUPT} string")
-    options = {"header": "true", "sep": layout.delimiter, "encoding": layout.encoding, "mode": "PERMISSIVE", "enforceSchema": "true"}
-    strings = T.StructType([T.StructField(h, T.StringType()) for h in layout.header])
-    typed = infer_types(spark.read.options(**options).schema(strings).csv(path))
-    full = T.StructType([*typed.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = spark.read.options(columnNameOfCorruptRecord=CORRUPT, **options).schema(full).csv(path)
-    good = clean_headers(parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
-    return good, parsed.filter(F.col(CORRUPT).isNotNull()).select(*parsed.columns)
+    lines = _csv_lines(spark, path, layout)
+
+    def parsed(fields: list[T.StructField]) -> DataFrame:
+        schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        options = {"sep": layout.delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        return lines.select(F.from_csv("line", ddl, options).alias("r")).select("r.*")
+
+    texts = parsed([T.StructField(h, T.StringType()) for h in layout.header])
+    typed = infer_types(texts.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    rows = parsed(typed.fields)
+    good = clean_headers(rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    return good, rows.filter(F.col(CORRUPT).isNotNull())
 
 
 def scan_csv_typed(spark: SparkSession, path: str, schema: str, n_rows: int | None = None, **options: str) -> DataFrame:

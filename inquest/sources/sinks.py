@@ -52,20 +52,9 @@ def new_leads(incoming: DataFrame, existing: DataFrame, order: str = "created_at
     return first.drop("_n").withColumn("severity", clamp(F.col("severity"), 0, 1)).withColumn("status", F.lit("OPEN"))
 
 
-# Longest code and note kept in an audit row.
-AUDIT_CODE_CHARS = 24_000
-AUDIT_NOTE_CHARS = 8_000
-
-
-def audit_rows(actions: DataFrame) -> DataFrame:
-    """Rows for the append-only audit table."""
-    return actions.withColumns(
-        {"code": F.substring("code", 1, AUDIT_CODE_CHARS), "notes": F.substring("notes", 1, AUDIT_NOTE_CHARS)}
-    )
-
-
 def append_audit(actions: DataFrame, path: str) -> DataFrame:
-    audit_rows(actions).write.mode("append").parquet(path)
+    """Append to the audit table; code and notes are kept whole."""
+    actions.write.mode("append").parquet(path)
     return actions.sparkSession.read.parquet(path)
 
 

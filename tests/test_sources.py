@@ -2,7 +2,7 @@ import pytest
 
 from inquest.operators.graph import graph_tables
 from inquest.sources import external, files
-from inquest.sources.sinks import audit_rows, sink_graph_tables
+from inquest.sources.sinks import append_audit, sink_graph_tables
 
 
 def put(tmp_path, name, data: bytes):
@@ -53,6 +53,20 @@ def test_graph_tables_in_other_formats(spark, tmp_path, fmt):
     assert edges.count() == 2 and {r.node_class for r in nodes.collect()} == {"account", "device"}
 
 
-def test_audit_rows_are_cut(spark):
-    row = audit_rows(spark.createDataFrame([("c" * 30_000, "n" * 9_000)], "code string, notes string")).first()
-    assert (len(row.code), len(row.notes)) == (24_000, 8_000)
+def test_audit_rows_are_whole(spark, tmp_path):
+    row = append_audit(spark.createDataFrame([("c" * 30_000, "n" * 9_000)], "code string, notes string"), str(tmp_path / "audit")).first()
+    assert (len(row.code), len(row.notes)) == (30_000, 9_000)
+
+
+def test_late_values_widen_types_and_quotes_hold(spark, tmp_path):
+    lines = ["id,amount,body"] + [f'{i},{i},"{{\\"a\\": {i}, \\"b\\": \\"x\\"}}"' for i in range(60_000)] + [f"{i},{i}.5,late" for i in range(60_000, 60_005)]
+    rows, rejected = files.scan_csv_tolerant(spark, put(tmp_path, "d.csv", "\n".join(lines).encode()))
+    assert dict(rows.dtypes) == {"id": "bigint", "amount": "double", "body": "string"}
+    assert rows.count() == 60_005 and rejected.count() == 0
+    assert rows.filter("id = 7").first().body == '{"a": 7, "b": "x"}'
+
+
+def test_a_late_byte_sets_the_encoding(spark, tmp_path):
+    data = "\n".join(["name|n", *(f"plain|{i}" for i in range(500)), "Zoë|500"]).encode("cp1252")
+    rows, _ = files.scan_csv_tolerant(spark, put(tmp_path, "e.csv", data))
+    assert rows.filter("n = 500").first().name == "Zoë" and rows.count() == 501
