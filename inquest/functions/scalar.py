@@ -178,8 +178,10 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def is_disputed(c: Column) -> Column:
+    """Text that says so, or a number other than 0: a 0/1 flag with gaps is often read as a double."""
     s = F.lower(F.trim(text(c)))
-    return F.coalesce(s.isin(*DISPUTED_WORDS), F.lit(False))
+    number = F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)") & (text(c).try_cast("double") != 0)
+    return F.coalesce(s.isin(*DISPUTED_WORDS), F.lit(False)) | F.coalesce(number, F.lit(False))
 
 
 def status_class(c: Column) -> Column:

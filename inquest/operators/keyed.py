@@ -23,9 +23,10 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, span_us: int) -> Dat
 
     Equal instants are merged first. An instant is then placed in its own slot of
     one span's width and, as context only, in the next; a window per (key, slot)
-    sees all that can lie within one span back.
+    sees all that can lie within one span back. Rows without a key or a time belong
+    to nobody and have no row here.
     """
-    merged = df.filter(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count("*").alias("n"))
+    merged = df.dropna(subset=[*keys, ts]).groupBy(*keys, ts).agg(F.count("*").alias("n"))
     at = merged.withColumn("_us", epoch_us(F.col(ts)))
     home = F.floor(F.col("_us") / span_us)
     placed = at.withColumn("_home", home).withColumn("_slot", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
@@ -40,11 +41,15 @@ def previous_row(
     """Adds struct ``name`` with ``ts``, ``tie`` and ``payload`` of the latest row strictly before.
 
     Rows where ``usable`` is false get an answer but are never one. Rows of one
-    instant do not see each other.
+    instant do not see each other. A row without a key gets no answer and is none;
+    such rows are spread by their ``tie``, however many there are.
     """
-    ok = usable if usable is not None else F.lit(True)
+    ok, keyed = usable if usable is not None else F.lit(True), F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    ok = ok & keyed
     seen = F.when(ok, F.struct(F.col("_us").alias("us"), F.col(tie).alias(tie), F.col(ts).alias(ts), *[F.col(c).alias(c) for c in payload]))
-    rows = df.withColumn("_us", epoch_us(F.col(ts))).withColumn("_slot", F.floor(F.col("_us") / bucket_us)).withColumn("_seen", seen)
+    rows = df.withColumn("_us", epoch_us(F.col(ts))).withColumn("_slot", F.when(keyed, F.floor(F.col("_us") / bucket_us)).otherwise(F.xxhash64(tie))).withColumn("_seen", seen)
     inside = W.partitionBy(*keys, "_slot").orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.max("_seen").over(inside))
     # One row per key and bucket: the last usable row of all earlier buckets.

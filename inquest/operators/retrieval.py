@@ -19,8 +19,8 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 MIN_IDF = 1e-6
 ROUTE_FLOOR = 0.15
-# A batch of queries travels with every task; beyond this the caller splits it.
-MAX_QUERIES = 1000
+# Queries that travel with a task at a time; more of them go in blocks of about this size, each a pass over the vectors.
+BLOCK_QUERIES = 1000
 
 
 def replace_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
@@ -29,23 +29,28 @@ def replace_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
     return old.join(again, source, "left_anti").unionByName(new)
 
 
-def as_batch(queries: DataFrame, *columns: str) -> Column:
-    """The queries as one array, from a one-row subquery; fails above ``MAX_QUERIES``."""
-    packed = F.array_sort(F.collect_list(F.struct(*columns)))
-    checked = F.when(F.count("*") <= MAX_QUERIES, packed).otherwise(F.raise_error(F.lit(f"more than {MAX_QUERIES} queries in a batch")))
-    return queries.agg(checked.alias("batch")).scalar()
+def query_blocks(queries: DataFrame, key: str, size: int = BLOCK_QUERIES) -> list[DataFrame]:
+    """The queries in parts of about ``size`` rows, by a hash of their key."""
+    blocks = -(-queries.count() // size)
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [queries]
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = HITS, block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` nearest vectors per query, ranks from 0.
 
-    ``vectors`` has (id, embedding), ``queries`` has (query_id, embedding). The query
-    batch, of at most ``MAX_QUERIES``, goes to every executor; a task multiplies its
-    vectors with it batch by batch and passes on the best ``k`` per query only.
+    ``vectors`` has (id, embedding), ``queries`` has (query_id, embedding). A block of
+    queries goes to every executor; a task multiplies its vectors with it batch by batch,
+    keeps the best ``k`` per query, and passes those on when it has seen all of its vectors.
     """
-    asked = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    parts = [_block_topk(vectors, part, k) for part in query_blocks(queries, "query_id", block)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.select("query_id", "embedding").orderBy("query_id").collect()
     names = [r["query_id"] for r in asked]
     by_size: dict[int, list[int]] = {}
     for i, r in enumerate(asked):
@@ -56,6 +61,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = HITS) -> DataFr
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrices = shared.value
+        kept = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "similarity": pd.Series(dtype="float64")})
         for pdf in batches:
             lengths = pdf["embedding"].map(len).to_numpy()
             scores = np.zeros((len(pdf), len(ids)))
@@ -64,10 +70,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = HITS) -> DataFr
                 if len(rows):
                     part = _unit(np.stack(pdf["embedding"].iloc[rows].to_numpy()).astype("float64"))
                     scores[np.ix_(rows, idx)] = np.round(part @ matrix.T, 12)
-            own = pdf["id"].to_numpy()
-            for j, qid in enumerate(ids):
-                top = np.lexsort((own, -scores[:, j]))[:k]
-                yield pd.DataFrame({"query_id": qid, "id": own[top], "similarity": scores[top, j]})
+            # Rows below the k-th best of the batch are out; those that tie with it stay until ids decide.
+            least = -np.partition(-scores, min(k, len(pdf)) - 1, axis=0)[min(k, len(pdf)) - 1]
+            row, q = np.nonzero(scores >= least)
+            found = pd.DataFrame({"q": q, "id": pdf["id"].to_numpy()[row], "similarity": scores[row, q]})
+            both = pd.concat([kept, found]) if len(kept) else found
+            kept = both.sort_values(["q", "similarity", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        yield pd.DataFrame({"query_id": [ids[j] for j in kept["q"]], "id": kept["id"], "similarity": kept["similarity"]})
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
     near = vectors.select("id", "embedding").mapInPandas(nearest, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
@@ -127,10 +136,12 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
 def prototype_route(vectors: DataFrame, prototypes: DataFrame, fallback: str, floor: float = ROUTE_FLOOR) -> DataFrame:
     """(id, route, similarity): class of the nearest prototype, or ``fallback`` below the floor.
 
-    ``prototypes`` has (route, embedding), a short list that travels as one array.
+    ``prototypes`` has (route, embedding). A block of them travels as one array; the
+    best of each block meet in the row.
     """
-    listed = vectors.withColumn("_p", as_batch(prototypes, "route", "embedding"))
-    scored = F.transform("_p", lambda p: F.struct(cosine(F.col("embedding"), p["embedding"]).alias("s"), p["route"].alias("route")))
-    best = listed.select("id", F.array_max(scored).alias("b"))
+    packs = [part.agg(F.array_sort(F.collect_list(F.struct("route", "embedding")))).scalar() for part in query_blocks(prototypes, "embedding")]
+    listed = vectors.select("id", "embedding", *(p.alias(f"_p{i}") for i, p in enumerate(packs)))
+    nearest = lambda c: F.array_max(F.transform(c, lambda p: F.struct(cosine(F.col("embedding"), p["embedding"]).alias("s"), p["route"].alias("route"))))
+    best = listed.select("id", F.array_max(F.array(*(nearest(F.col(f"_p{i}")) for i in range(len(packs))))).alias("b"))
     route = F.when(F.col("b.s") >= floor, F.col("b.route").cast("string")).otherwise(fallback)
     return best.select("id", route.alias("route"), F.col("b.s").alias("similarity"))
