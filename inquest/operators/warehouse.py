@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inquest.functions.scalar import case_status_label, month_label, row_json
 from inquest.operators.keyed import packed_members
 from inquest.operators.relational import search_rows_text
 from inquest.roles import entity_columns
+from inquest.session import cut_lineage
 from inquest.sources.files import clustered
 
 ENTITY = ["entity_type", "entity_value"]
@@ -23,24 +24,36 @@ ENTITY = ["entity_type", "entity_value"]
 # ---- ledger ------------------------------------------------------------------
 
 
+def numbered(rows: DataFrame, case: str) -> DataFrame:
+    """Adds ``_row_index``, gapless from 0 in each case: places inside a part, and the row counts of the parts before it."""
+    parts = cut_lineage(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    earlier = Window.partitionBy(case).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(case, "_part").agg(F.count("*").alias("_n"))
+    offsets = offsets.select(F.col(case).alias("_case"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(case, "_part").orderBy("_at")) - 1
+    placed = parts.withColumn("_in", inside).join(offsets, F.col(case).eqNullSafe(F.col("_case")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn("_row_index", F.col("_in") + F.col("_before")).select(*rows.columns, "_row_index")
+
+
 def append_events(rows: DataFrame, case: str, uploaded: str, row_index: str | None = None, filename: str | None = None) -> DataFrame:
     """Ledger rows: case, upload time, file name, row index, and the row as JSON text.
 
-    Without an index column rows get a unique, increasing number that needs no
-    pass over the data; it has gaps between tasks.
+    Without an index column the rows of a case are numbered 0, 1, ... in the order they are read; the rows are
+    written to the shared folder first, so that the numbers stand.
     """
+    if row_index is None:
+        rows, row_index = numbered(rows, case), "_row_index"
     body = [c for c in rows.columns if c not in (case, uploaded, row_index, filename)]
     name = F.col(filename) if filename else F.concat(F.col(case), F.lit(".csv"))
-    index = F.col(row_index).cast("long") if row_index else F.monotonically_increasing_id()
+    index = F.col(row_index).cast("long")
     return rows.select(
         F.col(case).alias("source_case_id"), F.col(uploaded).alias("upload_timestamp"), name.alias("source_filename"),
         index.alias("row_index"), row_json(body).alias("row_json"),
     )
 
 
-# Texts that stand for a missing value, and the longest value kept.
+# Texts that stand for a missing value.
 EMPTY_WORDS = ("null", "none", "nan")
-VALUE_CHARS = 512
 
 
 def extract_entities(rows: DataFrame, case: str, uploaded: str, columns: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -50,7 +63,7 @@ def extract_entities(rows: DataFrame, case: str, uploaded: str, columns: list[tu
     value) pairs is kept inside the row, without a shuffle.
     """
     found = columns if columns is not None else entity_columns([c for c in rows.columns if c not in (case, uploaded)])
-    value = lambda c: F.substring(F.trim(F.col(c).cast("string")), 1, VALUE_CHARS)
+    value = lambda c: F.trim(F.col(c).cast("string"))
     cells = F.array(*[F.struct(F.lit(k).alias("t"), value(c).alias("v"), F.lit(c).alias("c")) for k, c in found])
     filled = F.filter(cells, lambda e: e["v"].isNotNull() & (e["v"] != "") & ~F.lower(e["v"]).isin(*EMPTY_WORDS))
     rows = rows.withColumn("_cells", filled)
@@ -112,17 +125,24 @@ class Ledger:
     def occurrences(self, spark: SparkSession | None = None) -> DataFrame:
         return (spark or self.spark).read.parquet(f"{self.root}/occurrences")
 
-    def query(self, sql: str, allowed: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    def query(self, sql: str, allowed: list[str] | DataFrame | None = None, limit: int | None = None) -> DataFrame:
         """A read-only query over views that show the allowed cases only.
 
-        It runs in a session of its own, where nothing but the three views has a
-        name and files cannot be named in SQL.
+        It runs in a session of its own. The parsed query may name the three views and its own common table
+        expressions; any other name, of a catalog table, a global view or a file, is refused. ``allowed`` is a
+        list of cases or a frame with ``source_case_id``.
         """
         text = readonly_query(sql)
         scoped = self.spark.newSession()
         scoped.conf.set("spark.sql.runSQLOnFiles", "false")
+        strange = named_relations(scoped, text) - set(VIEW_NAMES)
+        if strange:
+            raise ValueError(f"query names {sorted(strange)}; it may read {', '.join(VIEW_NAMES)}")
         events, seen = self.events(scoped), self.occurrences(scoped)
-        if allowed is not None:
+        if isinstance(allowed, DataFrame):
+            mine = allowed.select("source_case_id").distinct()
+            events, seen = (d.join(mine, "source_case_id", "left_semi") for d in (events, seen))
+        elif allowed is not None:
             events, seen = (d.filter(F.col("source_case_id").isin(*allowed)) for d in (events, seen))
         events.createOrReplaceTempView("warehouse_events")
         seen.createOrReplaceTempView("entity_occurrences")
@@ -131,6 +151,17 @@ class Ledger:
         return out.limit(limit) if limit else out
 
 
+VIEW_NAMES = ("warehouse_events", "entity_occurrences", "entity_map")
+
+
+def named_relations(spark: SparkSession, sql: str) -> set[str]:
+    """Names of the tables that a parsed query reads, subqueries included, without its own common table expressions."""
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    own = {x.strip().lower() for m in re.findall(r"CTE \[([^\]]*)\]", tree) for x in m.split(",")}
+    read = {".".join(x.strip().lower() for x in m.split(",")) for m in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)}
+    return read - own
+
+
 # Words that a read-only query does not contain, and its greatest length.
 FORBIDDEN_WORDS = (
     "insert|update|delete|drop|alter|attach|detach|copy|pragma|export|import|"
