@@ -5,7 +5,7 @@ tokens of other terms can be in no match. It is partitioned by document, as it i
 no posting is shuffled, and a frequent term is spread over all parts. An item is looked up by its rarest terms: every
 window of an item goes by the term of it that has the fewest postings; posting position minus term offset is where the
 item would begin. Such alignments are then intersected, term by term at their offsets, with the postings of the
-documents found, and runs of matching offsets as long as a window are exact occurrences.
+documents found, the second rarest first, and runs of matching offsets as long as a window are exact occurrences.
 """
 
 from __future__ import annotations
@@ -64,11 +64,27 @@ def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def rarest_terms(index: Index, window: int = WINDOW) -> DataFrame:
-    """(item, n, off, tid): the rarest term of each window of each item; windows with a term that no document has go."""
+    """(item, n, off, tid, off2, tid2): the two rarest terms of each window of each item.
+
+    Windows with a term that no document has go. A window of one word has no second term.
+    """
     items = index.items.join(index.frequency, "tid", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     first, last = F.greatest(F.lit(0), F.col("off") - window + 1), F.greatest(F.lit(0), F.least("off", F.col("n") - window))
-    windows = items.withColumn("start", F.explode(F.sequence(first, last))).groupBy("item", "start").agg(F.min(F.struct("df", "off", "tid", "n")).alias("r"))
-    return windows.filter("r.df > 0").select("item", "r.n", "r.off", "r.tid").distinct()
+    windows = items.withColumn("start", F.explode(F.sequence(first, last))).groupBy("item", "n", "start")
+    windows = windows.agg(F.sort_array(F.collect_list(F.struct("df", "off", "tid"))).alias("r")).filter("r[0].df > 0")
+    return windows.select("item", "n", F.expr("r[0].off AS off"), F.expr("r[0].tid AS tid"), F.expr("get(r, 1).off AS off2"), F.expr("get(r, 1).tid AS tid2")).distinct()
+
+
+def alignments(index: Index, window: int = WINDOW) -> DataFrame:
+    """(row, item, n, begin, off): the item would begin at ``begin``, and both rarest terms of a window around ``off`` are where it wants them."""
+    rare = land(rarest_terms(index, window), f"{index.folder}/rare")
+    # Only the lists of rare terms are read on; most postings are of other terms.
+    asked = rare.select("tid").union(rare.filter("tid2 IS NOT NULL").select("tid2")).distinct()
+    lists = land(index.postings.filter("tid IS NOT NULL").select("row", "pos", "tid").join(land(asked, f"{index.folder}/asked"), "tid", "left_semi"), f"{index.folder}/lists")
+    found = lists.join(rare, "tid").select("row", "item", "n", (F.col("pos") - F.col("off")).alias("begin"), "off", "off2", "tid2")
+    second = lists.select(F.col("row").alias("row2"), F.col("pos").alias("pos2"), F.col("tid").alias("t2"))
+    both = found.join(second, (F.col("row") == F.col("row2")) & (F.col("begin") + F.col("off2") == F.col("pos2")) & (F.col("tid2") == F.col("t2")), "left_semi")
+    return both.unionByName(found.filter("tid2 IS NULL")).select("row", "item", "n", "begin", "off")
 
 
 def exact_matches(index: Index, window: int = WINDOW) -> DataFrame:
@@ -76,16 +92,13 @@ def exact_matches(index: Index, window: int = WINDOW) -> DataFrame:
 
     A run has at least ``window`` words, or the whole item if that is shorter.
     """
-    postings = index.postings.filter("tid IS NOT NULL").select("row", "pos", "tid")
-    rare = land(rarest_terms(index, window), f"{index.folder}/rare")
-    # Offset-adjusted lists: where an item would begin, and which of its offsets a window with the rare term can touch.
-    aligned = postings.join(rare, "tid").select("row", "item", "n", (F.col("pos") - F.col("off")).alias("begin"), "off")
-    aligned = land(aligned, f"{index.folder}/aligned")
-    near = postings.join(aligned.select("row").distinct(), "row", "left_semi")
+    aligned = land(alignments(index, window), f"{index.folder}/aligned")
+    rows = land(aligned.select("row").distinct(), f"{index.folder}/rows")
+    near = index.postings.filter("tid IS NOT NULL").select("row", "pos", "tid").join(rows, "row", "left_semi")
     offsets = F.sequence(F.greatest(F.lit(0), F.col("off") - window + 1), F.least(F.col("n") - 1, F.col("off") + window - 1))
     wanted = aligned.select("row", "item", "begin", F.explode(offsets).alias("off")).distinct()
     wanted = wanted.join(index.items.select("item", "item_id", "n", "off", "tid"), ["item", "off"]).withColumn("pos", F.col("begin") + F.col("off"))
-    hits = wanted.join(near, ["row", "pos", "tid"]).select("row", "item", "item_id", "n", "begin", "off", "pos")
+    hits = wanted.join(land(near, f"{index.folder}/near"), ["row", "pos", "tid"]).select("row", "item", "item_id", "n", "begin", "off", "pos")
     line = Window.partitionBy("row", "item", "begin").orderBy("off")
     runs = hits.withColumn("run", F.col("off") - F.row_number().over(line))
     runs = runs.groupBy("row", "item", "item_id", "n", "begin", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
