@@ -77,21 +77,31 @@ def is_account(v: Column) -> Column:
     return ~v.rlike("^(device|address|phone|employee):")
 
 
-def account_degrees(spokes: DataFrame, payments: DataFrame | None = None, touches: DataFrame | None = None) -> DataFrame:
-    """(account, degree): co-members of shared values, payment partners and staff links.
+#: Groups of shared values up to this size are taken apart into their members when neighbours are counted.
+EXACT_GROUP = 200
 
-    Two accounts that share two values count once per value.
+
+def account_degrees(spokes: DataFrame, payments: DataFrame | None = None, touches: DataFrame | None = None, exact_group: int = EXACT_GROUP) -> DataFrame:
+    """(account, degree, degree_exact): distinct neighbours by shared values, payments and staff links.
+
+    Members of a group of at most ``exact_group`` accounts meet pairwise, so n accounts in such groups give at most
+    ``exact_group`` * n rows. Of a larger group each member gets the others by number; there a neighbour that is also one in
+    another way may count twice, and ``degree_exact`` is false.
     """
-    parts = [spokes.select("account", (F.col("group_size") - 1).alias("d"))]
+    small, large = spokes.filter(F.col("group_size") <= exact_group), spokes.filter(F.col("group_size") > exact_group)
+    here = small.select("kind", "value", "account")
+    near = [here.join(here.withColumnRenamed("account", "other"), ["kind", "value"]).filter("account <> other").select("account", "other")]
     if payments is not None:
         p = undirected_payments(payments)
-        parts += [p.select(F.col("src").alias("account"), F.lit(1).cast("long").alias("d")), p.select(F.col("dst").alias("account"), F.lit(1).cast("long").alias("d"))]
+        near += [p.select(F.col("src").alias("account"), F.col("dst").alias("other")), p.select(F.col("dst").alias("account"), F.col("src").alias("other"))]
     if touches is not None:
-        parts.append(touches.select(F.col("account_id").alias("account"), F.lit(1).cast("long").alias("d")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return long.groupBy("account").agg(F.sum("d").alias("degree"))
+        near.append(touches.select(F.col("account_id").alias("account"), F.concat(F.lit("employee:"), F.col("employee_id").cast("string")).alias("other")))
+    pairs = near[0]
+    for p in near[1:]:
+        pairs = pairs.unionByName(p)
+    one = pairs.distinct().groupBy("account").agg(F.count("*").alias("d")).withColumn("exact", F.lit(True))
+    more = large.groupBy("account").agg(F.sum(F.col("group_size") - 1).alias("d")).withColumn("exact", F.lit(False))
+    return one.unionByName(more).groupBy("account").agg(F.sum("d").alias("degree"), F.every("exact").alias("degree_exact"))
 
 
 def neighbor_communities(spokes: DataFrame, payments: DataFrame | None, communities: DataFrame) -> DataFrame:

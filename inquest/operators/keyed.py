@@ -62,35 +62,36 @@ def previous_row(
     return joined.withColumn(name, packed).drop("_us", "_slot", "_seen", "_local", "_carry")
 
 
+#: Rank error of the sketch is one in so many rows; keys of fewer rows are ranked whole.
+SKETCH = 10_000
+
+
 def quantile_by_key(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
-    """Exact continuous quantile per key by two passes over value counts.
+    """Exact continuous quantile per key.
 
-    Values fall into bands that grow with their size; the bands that hold the two
-    ranks in question are found from band counts, and only their values are ranked.
+    A sketch per key, combined on the map side, gives two values that the wanted ranks surely lie between; rows
+    below are counted, and only the few values between are ranked. So one key may hold nearly all rows, in any
+    range of values. Rows without a key have no quantile.
     """
     v = F.col(value).try_cast("double")
-    counts = df.select(*keys, v.alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    banded = counts.withColumn("_band", (F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 64)).cast("long"))
-    bands = banded.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"))
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy("_band").rowsBetween(W.unboundedPreceding, 0)
-    placed = bands.select(*keys, "_band", (F.sum("_bn").over(upto) - F.col("_bn")).alias("_before"), "_bn", F.sum("_bn").over(whole).alias("_total"))
+    rows = df.select(*keys, v.alias("_v")).dropna()
+    ends = F.array(F.lit(max(0.0, q - 3 / SKETCH)), F.lit(min(1.0, q + 3 / SKETCH)))
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", ends, F.lit(SKETCH)).alias("_c"), F.count("*").alias("_total"))
+    few = F.col("_total") <= SKETCH
+    sketch = sketch.select(*keys, "_total", F.when(few, float("-inf")).otherwise(F.col("_c")[0]).alias("_from"), F.when(few, float("inf")).otherwise(F.col("_c")[1]).alias("_to"))
+    near = rows.join(sketch, keys).filter("_v <= _to")
+    # Values below the range are one row per key, under the name of the range's beginning.
+    below = F.col("_v") < F.col("_from")
+    counts = near.groupBy(*keys, "_total", below.alias("_below"), F.when(~below, F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(*keys).orderBy(F.desc("_below"), "_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.withColumn("_at", F.sum("_n").over(upto) - F.col("_n")).filter("NOT _below")
     at = (F.col("_total") - 1) * F.lit(float(q))
-    ranked = placed.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_frac", at - F.floor(at))
-
-    def holds(rank: str, before: Column, n: str) -> Column:
-        return (F.col(rank) >= before) & (F.col(rank) < before + F.col(n))
-
-    kept = ranked.filter(holds("_lo", F.col("_before"), "_bn") | holds("_hi", F.col("_before"), "_bn")).drop("_bn", "_total")
-    near = banded.join(kept, [*keys, "_band"])
-    inner = W.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    near = near.withColumn("_at", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
-    ends = near.groupBy(*keys).agg(
-        F.max(F.when(holds("_lo", F.col("_at"), "_n"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(holds("_hi", F.col("_at"), "_n"), F.col("_v"))).alias("_vhi"),
-        F.max("_frac").alias("_frac"),
+    placed = placed.withColumns({"_lo": F.floor(at), "_hi": F.ceil(at), "_frac": at - F.floor(at)})
+    holds = lambda rank: (F.col(rank) >= F.col("_at")) & (F.col(rank) < F.col("_at") + F.col("_n"))
+    found = placed.groupBy(*keys).agg(
+        F.max(F.when(holds("_lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(holds("_hi"), F.col("_v"))).alias("_vhi"), F.max("_frac").alias("_frac")
     )
-    return ends.select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(name))
+    return found.select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(name))
 
 
 def packed_members(df: DataFrame, keys: list[str], member: str, chunk: int = 1000) -> DataFrame:
@@ -127,14 +128,15 @@ def running_total(df: DataFrame, order: str, values: list[str], band: Column) ->
     )
 
 
-def global_row_number(df: DataFrame, order: str, tie: str, cuts: int = 64, name: str = "row_number") -> DataFrame:
+def global_row_number(df: DataFrame, order: str, tie: str, cuts: int | None = None, name: str = "row_number") -> DataFrame:
     """1-based position over the whole table, without moving all rows to one task.
 
     Quantiles of the order column, from one sketch, cut the table into bands of about
     equal size. A value so frequent that it is a cut twice gets bands of its own,
     made from quantiles of ``tie``; so even a constant order column is spread. Both
-    columns are numeric and filled.
+    columns are numeric and filled. There are as many bands as shuffle partitions, 64 at least.
     """
+    cuts = cuts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     sketch = df.agg(F.struct(F.percentile_approx(order, marks, F.lit(10_000)).alias("o"), F.percentile_approx(tie, marks, F.lit(10_000)).alias("t")).alias("c"))
     key, second = F.col(order), F.col(tie)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inquest.operators.keyed import running_total
 
-BANDS = 4096
+BANDS = 1024
 # Recall that must be reached, and the guard against empty sums.
 MIN_RECALL = 0.8
 EPS = 1e-9
@@ -16,15 +16,17 @@ EPS = 1e-9
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, pos, neg, cum_pos, cum_neg, tpr, fpr): one row per distinct score, taken as threshold.
 
-    Rows are counted per score first. The running totals go band by band over the
-    range of scores, so no task has to hold the whole curve.
+    Rows are counted per score first. The running totals go band by band; bands hold
+    about as many scores each, wherever those lie, so no task has to hold the whole curve.
     """
     per = df.groupBy(F.col(score).try_cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg")
     ).filter("score IS NOT NULL")
-    span = per.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("s")).scalar()
-    width = F.greatest(span["hi"] - span["lo"], F.lit(1e-300))
-    band = F.floor((F.col("score") - span["lo"]) / width * BANDS)
+    span = per.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("s")).scalar()
+    # The cuts, ``BANDS`` numbers at most, become constants: both uses of the band must agree on them.
+    marks = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+    cuts = sorted(set(per.agg(F.percentile_approx("score", marks, F.lit(10 * BANDS))).first()[0] or []))
+    band = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("score")))
     curve = running_total(per, "score", ["pos", "neg"], band)
     return curve.withColumns({"tpr": F.col("cum_pos") / span["p"], "fpr": F.col("cum_neg") / span["n"]})
 

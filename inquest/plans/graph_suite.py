@@ -19,7 +19,7 @@ SPOKES = """pairs AS (SELECT DISTINCT 'shared_device' AS kind, device_id AS valu
 spokes AS (SELECT *, count(*) OVER (PARTITION BY kind, value) AS group_size FROM pairs QUALIFY group_size >= 2)"""
 EDGES = """pe AS (SELECT 'U_' || payer AS payer, 'U_' || payee AS payee, count(*) AS transfer_count, sum(amount) AS total_amount FROM v_payments GROUP BY ALL)"""
 UND = """und AS (SELECT least(payer, payee) AS src, greatest(payer, payee) AS dst, sum(transfer_count)::BIGINT AS pay_count FROM pe WHERE payer <> payee GROUP BY ALL)"""
-DEG = """deg AS (SELECT account, sum(d)::BIGINT AS degree FROM (SELECT account, group_size - 1 AS d FROM spokes UNION ALL SELECT src, 1 FROM und UNION ALL SELECT dst, 1 FROM und) GROUP BY account)"""
+DEG = """deg AS (SELECT account, count(DISTINCT other) AS degree FROM (SELECT a.account, b.account AS other FROM spokes a JOIN spokes b USING (kind, value) WHERE a.account <> b.account UNION ALL SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und) GROUP BY account)"""
 
 
 def _spokes(t):
@@ -32,7 +32,7 @@ def _payments(t):
 
 
 def _degrees(t):
-    return G.account_degrees(_spokes(t), _payments(t))
+    return G.account_degrees(_spokes(t), _payments(t)).select("account", "degree")
 
 
 HUB = "replace(kind, 'shared_', '') || ':d:' || substr(sha256('d:' || value), 1, 14)"

@@ -12,7 +12,7 @@ from inquest.plans.registry import query
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("ml_select_features")
+@query("ml_select_features", "SELECT doc_id, toxic AS label, 4 AS n_features FROM v_features", ("v_features",))
 def _(t):
     columns = M.feature_columns(t.v_features, ("toxic", "doc_id"))
     frame = M.feature_frame(t.v_features, columns, ("doc_id",), "toxic")
@@ -28,7 +28,7 @@ def _(t):
 
 def _scan(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *LINE_FEATURES)
-    return I.isolation_scan(rows, LINE_FEATURES, n_trees=50)
+    return I.isolation_scan(rows, LINE_FEATURES)
 
 
 @query("ml_isolation_forest")
@@ -43,16 +43,16 @@ def _(t):
 
 @query("ml_contamination_cv")
 def _(t):
-    return I.contamination_cv(t.v_features.select("doc_id", "n_chars", "n_spaces", "n_stops"), ["n_chars", "n_spaces", "n_stops"], "doc_id", n_trees=32)
+    return I.contamination_cv(t.v_features.select("doc_id", "n_chars", "n_spaces", "n_stops"), ["n_chars", "n_spaces", "n_stops"], "doc_id")
 
 
 @query("ml_gbt_fraud")
 def _(t):
-    scores, _top = V.fit_boosted(t.v_features, "quality", "doc_id", V.BoostParams(rounds=10))
+    scores, _top = V.fit_boosted(t.v_features, "quality", "doc_id")
     return V.evaluate(scores)
 
 
 @query("ml_random_forest")
 def _(t):
-    scores, _top = V.fit_forest(t.v_features, "quality", "doc_id", V.ForestParams(trees=30, depth=8))
+    scores, _top = V.fit_forest(t.v_features, "quality", "doc_id")
     return V.choose_threshold(scores, "min_fpr_at_recall")

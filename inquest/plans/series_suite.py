@@ -119,7 +119,7 @@ def _docs(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
 
-@query("rag_vector_topk", f'WITH {QUERIES}, {NEAR} SELECT query_id, id, round(similarity, 6) AS similarity, "rank" FROM near')
+@query("rag_vector_topk", f'WITH {QUERIES}, {NEAR} SELECT query_id, id, round(round(similarity, 12), 6) AS similarity, "rank" FROM near')
 def _(t):
     return P.vector_topk(_vectors(t), _queries(t)).withColumn("similarity", F.round("similarity", 6))
 
