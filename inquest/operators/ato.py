@@ -196,20 +196,26 @@ def session_findings(
     hosting_flag: str | None = None,
     changed_flags: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per session and deviation: code, field, severity, label, baseline and current value."""
+    """One row per session and deviation: code, field, severity, label, baseline and current value.
+
+    A check whose columns the tables do not have is skipped; user, time and row id are needed.
+    """
     lists = baseline_lists(behavior_profile(history, roles))
     stats = behavior_stats(history, roles)
-    positions = [roles.latitude, roles.longitude]
-    placed = history.filter(F.col(roles.latitude).isNotNull() & F.col(roles.longitude).isNotNull())
+    positions = [c for c in (roles.latitude, roles.longitude) if c]
     needed = [c for c in ("avg_amount", "median_duration") if c in stats.columns]
-    seen = asof_history(sessions, placed, roles.user, roles.timestamp, positions, roles.row_id)
-    s = travel_speed(seen, roles, "as_of").withColumn("user", S.text(F.col(roles.user)))
+    s = sessions
+    if len(positions) == 2:
+        placed = history.dropna(subset=positions)
+        s = travel_speed(asof_history(sessions, placed, roles.user, roles.timestamp, positions, roles.row_id), roles, "as_of")
+    s = s.withColumn("user", S.text(F.col(roles.user)))
     joined = s.join(lists, "user", "left").join(stats.select("user", *needed), "user", "left")
 
-    ua, isp = S.clean_key(F.col(roles.user_agent)), S.clean_key(F.col(roles.isp))
-    screen = S.screen_resolution(F.col(roles.screen_w), F.col(roles.screen_h)) if roles.screen_w else F.lit(None).cast("string")
-    hw = S.text(F.col(roles.hardware))
-    hosting = S.is_hosting_isp(isp)
+    own = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    ua, isp = S.clean_key(own(roles.user_agent)), S.clean_key(own(roles.isp))
+    screen = S.screen_resolution(F.col(roles.screen_w), F.col(roles.screen_h)) if roles.screen_w and roles.screen_h else F.lit(None).cast("string")
+    hw = S.text(own(roles.hardware))
+    hosting = F.coalesce(S.is_hosting_isp(isp), F.lit(False))
     if hosting_flag:
         hosting = hosting | F.coalesce(F.col(hosting_flag).cast("boolean"), F.lit(False))
     changed = has_sensitive_event(F.col(events)) if events else F.lit(False)
@@ -233,6 +239,8 @@ def session_findings(
         "SENSITIVE_CHAIN_HIGH_VALUE": (changed & high_value(amount, avg_amount), F.format_string("avg %.2f", avg_amount), F.format_string("%.2f", amount)),
         "NAVIGATION_SPEED_ANOMALY": ((median > SPEED_MIN_MEDIAN) & (csec < median * SPEED_RATIO), F.format_string("%.1f", median), F.format_string("%.1f", csec)),
     }
+    if len(positions) < 2:
+        del tests["IMPOSSIBLE_TRAVEL"]
     found = []
     for code, (hit, base, now) in tests.items():
         field, severity, label = FINDINGS[code]

@@ -36,8 +36,9 @@ def prior_matches(df: DataFrame, r: ColumnRoles, strictly_prior: bool = True) ->
     """
     kinds = {k: c for k, c in (("ip", r.ip), ("device", r.device)) if c}
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), S.text(F.col(c)).alias("value")) for k, c in kinds.items()])
+    own = lambda c, kind: F.col(c) if c else F.lit(None).cast(kind)
     long = df.select(
-        F.col(r.transaction).alias("transaction_id"), F.col(r.user).alias("user_id"), F.col(r.amount).alias("amount"),
+        own(r.transaction, "string").alias("transaction_id"), F.col(r.user).alias("user_id"), own(r.amount, "double").alias("amount"),
         F.col(r.timestamp).alias("ts"), S.is_disputed(F.col(r.disputed)).alias("bad"), F.explode(cells).alias("c"),
     ).select("transaction_id", "user_id", "amount", "ts", "bad", "c.kind", "c.value").filter("value IS NOT NULL")
     clean = long.filter("NOT bad").groupBy("user_id", "kind", "value").agg(F.min("ts").alias("first_clean"), F.count("*").alias("clean_rows"))
@@ -87,27 +88,34 @@ def evidence_counts(df: DataFrame, r: ColumnRoles, strictly_prior: bool = True)
     """One row per user: counts of the five kinds of signal, and the disputed rows.
 
     What a row shows by itself is counted in one aggregate; only prior matches and
-    velocity, which compare rows, take a pass of their own.
+    velocity, which compare rows, take a pass of their own. A signal whose columns the
+    table does not have is skipped and counts 0; user and disputed flag are needed.
     """
     names = ("ip_device", "post_dispute", "velocity", "ship_bill", "avs_cvv", "disputed_rows")
 
     def yes(hit: Column) -> Column:
         return F.coalesce(hit, F.lit(False)).cast("long")
 
-    d = F.col(r.dispute_date)
+    none = F.lit(0).cast("long")
+    later = [c for c in (r.login, r.access) if c and r.dispute_date]
     own = {
-        "post_dispute": sum((yes(F.col(c) > d) for c in (r.login, r.access) if c), F.lit(0).cast("long")),
-        "ship_bill": yes(postal_differs(r.billing_zip, r.shipping_zip)),
+        "post_dispute": sum((yes(F.col(c) > F.col(r.dispute_date)) for c in later), none),
+        "ship_bill": yes(postal_differs(r.billing_zip, r.shipping_zip)) if r.billing_zip and r.shipping_zip else none,
         "avs_cvv": sum((yes(S.check_is_strong(F.col(c))) for c in (r.avs, r.cvv) if c), F.lit(0).cast("long")),
         "disputed_rows": F.lit(1).cast("long"),
     }
     prior_n = F.count("*") if strictly_prior else F.sum("clean_rows")
     parts = [
         df.filter(S.is_disputed(F.col(r.disputed))).groupBy(F.col(r.user).alias("user_id")).agg(*[F.sum(v).alias(n) for n, v in own.items()]),
-        prior_matches(df, r, strictly_prior).groupBy("user_id").agg(prior_n.alias("ip_device")),
-        dispute_velocity(df, r).groupBy("user_id").agg(F.count("*").alias("velocity")),
     ]
-    wide = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    if (r.ip or r.device) and r.timestamp:
+        parts.append(prior_matches(df, r, strictly_prior).groupBy("user_id").agg(prior_n.alias("ip_device")))
+    if r.dispute_date:
+        parts.append(dispute_velocity(df, r).groupBy("user_id").agg(F.count("*").alias("velocity")))
+    wide = parts[0]
+    for part in parts[1:]:
+        wide = wide.unionByName(part, allowMissingColumns=True)
+    wide = wide.withColumns({n: F.lit(None).cast("long") for n in names if n not in wide.columns})
     return wide.groupBy("user_id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 

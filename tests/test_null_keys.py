@@ -40,3 +40,20 @@ def test_many_queries_go_in_blocks(spark):
     assert one == many and len(one) == 6_000
     routes = q.limit(1_500).select(F.col("query_id").cast("string").alias("route"), "embedding")
     assert prototype_route(v, routes, "none", floor=-1.0).count() == 60
+
+
+def test_signals_without_their_columns_are_skipped(spark):
+    from inquest.operators.ato import session_findings
+    from inquest.operators.chargeback import evidence_counts
+    from inquest.roles import ColumnRoles
+
+    rows = [("u1", "yes", T0, "1.1.1.1"), ("u1", "no", T0 - dt.timedelta(days=2), "1.1.1.1"), ("u2", "no", T0, "2.2.2.2")]
+    tx = spark.createDataFrame(rows, "who string, disputed string, at timestamp_ntz, ip string")
+    counts = evidence_counts(tx, ColumnRoles(user="who", disputed="disputed", timestamp="at", ip="ip"))
+    assert [(r.user_id, r.ip_device, r.velocity, r.ship_bill, r.avs_cvv, r.post_dispute) for r in counts.collect()] == [("u1", 1, 0, 0, 0, 0)]
+    assert evidence_counts(tx, ColumnRoles(user="who", disputed="disputed")).first().disputed_rows == 1
+
+    history = spark.createDataFrame([("u1", T0, 1, "agent one"), ("u1", T0, 2, "agent one")], "who string, at timestamp_ntz, n int, ua string")
+    now = spark.createDataFrame([("u1", T0 + dt.timedelta(days=1), 3, "agent two")], "who string, at timestamp_ntz, n int, ua string")
+    found = session_findings(now, history, ColumnRoles(user="who", timestamp="at", row_id="n", user_agent="ua"))
+    assert [r.code for r in found.collect()] == ["USER_AGENT_MISMATCH"]
