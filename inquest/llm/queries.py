@@ -126,7 +126,35 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@corpus_query("op2_source_mixing")
+def _mixing_sql() -> str:
+    from inquest.llm.mixing import BLOCK_WORDS as B
+    from inquest.llm.permute import permuted_sql
+
+    placed = permuted_sql("slot % blocks", "blocks", "7 + rank * 1009 + slot // blocks * 104729", "slots", "rank")
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS_SQL})::BIGINT AS size FROM documents),
+sized AS (
+  SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, (size * 2)::DOUBLE AS most FROM sized),
+levels AS (
+  SELECT *, ((sum(size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
+free AS (SELECT level AS v FROM levels WHERE level * weight < most ORDER BY most / weight, rank LIMIT 1),
+targets AS (SELECT *, coalesce(least((SELECT v FROM free) * weight, most), most) AS target, (size + {B - 1}) // {B} AS blocks FROM levels),
+quotas AS (SELECT *, least(coalesce(round(target * blocks / nullif(size, 0)), 0)::BIGINT, blocks * 2) AS quota FROM targets),
+slots AS (SELECT rank, blocks, unnest(range(quota)) AS slot FROM quotas),
+uses AS (SELECT rank, place AS block, count(*) AS uses FROM ({placed}) GROUP BY ALL),
+starts AS (
+  SELECT r, doc_id, d.source, d.size, rank, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+pieces AS (SELECT *, unnest(range(a // {B}, (a + size - 1) // {B} + 1)) AS block FROM starts WHERE size > 0),
+taken AS (
+  SELECT r, sum((least(a + size - 1, (block + 1) * {B} - 1) - greatest(a, block * {B}) + 1) * uses)::BIGINT AS taken FROM pieces JOIN uses USING (rank, block) GROUP BY r)
+SELECT doc_id, s.size, q.size AS source_size, q.target, coalesce(taken, 0) AS taken
+FROM starts s JOIN quotas q USING (rank) LEFT JOIN taken USING (r)"""
+
+
+@corpus_query("op2_source_mixing", _mixing_sql())
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target of each document's source and the words that the mix takes from the document."""
     from inquest.llm.mixing import mix_report
