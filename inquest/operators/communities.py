@@ -24,8 +24,8 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return 0.0 if total == 0 else float(row[1]) / total - float(row[2]) / (total * total)
 
 
-def _one_level(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Local moves on one graph: (v, c). ``edges`` has both directions; loops carry inner weight."""
+def _one_level(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
+    """Local moves on one graph: (v, c), and whether they came to rest. ``edges`` has both directions; loops carry inner weight."""
     weight = edges.groupBy(F.col("u").alias("v")).agg(F.sum("w").alias("k"))
     total = float(weight.agg(F.sum("k")).first()[0])
     state = cut_lineage(weight.withColumn("c", F.col("v")))
@@ -54,22 +54,24 @@ def _one_level(edges: DataFrame, max_rounds: int) -> DataFrame:
             break
     # A community is named after its least vertex.
     names = state.groupBy("c").agg(F.min("v").alias("name"))
-    return state.join(names, "c").select("v", F.col("name").alias("c"))
+    return state.join(names, "c").select("v", F.col("name").alias("c")), quiet == 2
 
 
-def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 4, max_rounds: int = 4, min_gain: float = 1e-6) -> DataFrame:
-    """(vertex, community_id): community ids are the least vertex of the community.
+def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 4, max_rounds: int = 6, min_gain: float = 1e-6) -> DataFrame:
+    """(vertex, community_id, settled): community ids are the least vertex of the community.
 
     Vertices of either half move in turn, so two neighbours do not swap places for
-    ever. A level is kept only if it raises modularity; nothing is random.
+    ever. A level is kept only if it raises modularity; nothing is random. Rounds go on
+    until nobody moves and levels until none helps; ``settled`` is false if a bound was met first.
     """
     base = cut_lineage(_both_ways(edges, src, dst))
     members = cut_lineage(base.select(F.col("u").alias("v")).distinct().withColumn("c", F.col("v")))
     if members.isEmpty():
-        return members.toDF("vertex", "community_id")
-    quality, level = modularity(base, members), base
+        return members.toDF("vertex", "community_id").withColumn("settled", F.lit(True))
+    quality, level, settled = modularity(base, members), base, True
     for _ in range(max_levels):
-        moved = cut_lineage(_one_level(level, max_rounds))
+        moved, rest = _one_level(level, max_rounds)
+        settled, moved = settled and rest, cut_lineage(moved)
         merged = cut_lineage(members.withColumnRenamed("c", "old").join(moved.toDF("old", "c"), "old").select("v", "c"))
         better = modularity(base, merged)
         if better <= quality + min_gain:
@@ -77,4 +79,6 @@ def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: in
         quality, members = better, merged
         named = level.join(moved.toDF("u", "cu"), "u").join(moved.toDF("v", "cv"), "v")
         level = cut_lineage(named.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    return members.toDF("vertex", "community_id")
+    else:
+        settled = False
+    return members.toDF("vertex", "community_id").withColumn("settled", F.lit(settled))
