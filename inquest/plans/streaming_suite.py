@@ -70,9 +70,9 @@ def _(t):
 
 @query(
     "stream_impossible_travel",
-    """WITH o AS (SELECT acc_id AS "user", event_id, latitude, longitude, created_at, lag(event_id) OVER w AS previous_event_id, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon, lag(created_at) OVER w AS pts FROM v_sessions WINDOW w AS (PARTITION BY acc_id ORDER BY created_at, event_id)),
+    f"""WITH o AS (SELECT acc_id AS "user", event_id, latitude, longitude, created_at, lag(event_id) OVER w AS previous_event_id, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon, lag(created_at) OVER w AS pts FROM v_sessions WINDOW w AS (PARTITION BY acc_id ORDER BY created_at, event_id)),
 d AS (SELECT *, pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2) AS h, (epoch_us(created_at) - epoch_us(pts)) / 3.6e9::DOUBLE AS hours FROM o WHERE pts IS NOT NULL)
-SELECT "user", event_id, previous_event_id, round(2 * 3958.7613 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h))), 4) AS miles FROM d WHERE hours > 1e-6 AND 2 * 3958.7613 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h))) / hours > 500""",
+SELECT "user", event_id, previous_event_id, round(2 * 3958.7613 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h))), 4) AS miles FROM d WHERE hours > 1e-6 AND 2 * 3958.7613 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h))) / hours > 500 AND created_at <= {MARK}""",
     SESSIONS,
 )
 def _(t):

@@ -100,36 +100,45 @@ def ratio_5m(events: DataFrame, ts: str, user: str, flagged: DataFrame) -> DataF
 
 
 TRAVEL_OUT = "user string, event_id long, previous_event_id long, miles double, hours double"
-TRAVEL_STATE = "us long, event_id long, lat double, lon double"
+TRAVEL_STATE = "us array<long>, event_id array<long>, lat array<double>, lon array<double>"
 
 
 def impossible_travel(events: DataFrame, user: str, ts: str, lat: str, lon: str, event_id: str, mph: float = 500.0, forget: str = "30 days") -> DataFrame:
-    """Consecutive positions too far apart, with the last position per user as state.
+    """Consecutive positions too far apart, in the order of event time, whatever the order of arrival.
 
-    Distances come from the same column function as in batch; Python only pairs each
-    row with the one before it. The state of a silent user is dropped after ``forget``.
+    A row waits in the state of its user until the watermark has passed it, so no row before it can still come; then
+    it is paired with the latest row that is earlier. The state holds the last row that was paired and those that
+    wait, and is dropped when a user is silent for ``forget``. Distances come from the same column function as in
+    batch; Python only pairs rows.
     """
-    rows = event_time(events, ts).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    rows = event_time(events, ts).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(ts).isNotNull())
     slim = rows.select(F.col(user).cast("string").alias("user"), ts, F.unix_micros(ts).alias("us"), F.col(event_id).alias("event_id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    slim = slim.filter("user IS NOT NULL")
     hold_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    cols = ["us", "event_id", "lat", "lon"]
 
     def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        cols = ["us", "event_id", "lat", "lon"]
+        parts = [] if state.hasTimedOut else [f[cols] for f in frames]
         if state.exists:
-            head = pd.DataFrame([state.get], columns=cols)
-            pdf = pd.concat([head, pdf[cols]], ignore_index=True)
+            parts.insert(0, pd.DataFrame(dict(zip(cols, state.get))))
+        rows = pd.concat(parts, ignore_index=True).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
+        mark = state.getCurrentWatermarkMs()
+        passed = int((rows["us"] // 1000 <= mark).sum())
+        waiting = rows.iloc[passed:]
+        # Of the rows behind the watermark the last stays, for the next one to be paired with.
+        kept = rows.iloc[max(0, passed - 1) :]
+        if waiting.empty and state.hasTimedOut and int(kept["us"].iloc[-1]) // 1000 + hold_ms <= mark:
+            state.remove()
         else:
-            pdf = pdf[cols].reset_index(drop=True)
-        last = pdf.iloc[-1]
-        if not state.exists or int(last["us"]) >= state.get[0]:
-            state.update((int(last["us"]), int(last["event_id"]), float(last["lat"]), float(last["lon"])))
-        state.setTimeoutTimestamp(max(int(last["us"]) // 1000, state.getCurrentWatermarkMs()) + hold_ms)
-        before = pdf.shift(1).iloc[1:]
-        now = pdf.iloc[1:]
+            state.update(tuple(kept[c].tolist() for c in cols))
+            alarm = int(waiting["us"].iloc[0]) // 1000 - 1 if len(waiting) else int(kept["us"].iloc[-1]) // 1000 + hold_ms
+            state.setTimeoutTimestamp(max(alarm, mark))
+        now = rows.iloc[:passed]
+        at = now["us"].searchsorted(now["us"], side="left") - 1
+        # The row that was kept from before was paired then.
+        fresh = at >= 0
+        now, before = now[fresh], now.iloc[at[fresh]].reset_index(drop=True)
+        now = now.reset_index(drop=True)
         yield pd.DataFrame({
             "user": key[0], "event_id": now["event_id"].astype("int64"), "previous_event_id": before["event_id"].astype("int64"),
             "us": now["us"].astype("int64"), "us0": before["us"].astype("int64"),
