@@ -37,7 +37,14 @@ def _(t):
     return files.preview_rows(t.events, 5)
 
 
-@query("preview_schema")
+_EVENT_KINDS = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query(
+    "preview_schema",
+    f"""SELECT unnest({list(_EVENT_KINDS)}) AS column_name, unnest({list(_EVENT_KINDS.values())}) AS dtype,
+ unnest([{", ".join(f"first({c}::VARCHAR) FILTER ({c} IS NOT NULL)" for c in _EVENT_KINDS)}]) AS sample FROM (SELECT * FROM events LIMIT 5)""",
+)
 def _(t):
     return files.preview_schema(t.events)
 
@@ -52,16 +59,21 @@ def _(t):
     return stored.groupBy("case_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("total"))
 
 
+_TXN_KINDS = {
+    "transaction_id": "string", "user_id": "bigint", "amount": "double", "disputed": "boolean", "status": "string", "ip": "string", "device_id": "string",
+    "transaction_date": "timestamp_ntz", "dispute_date": "timestamp_ntz", "login_ts": "timestamp_ntz", "access_ts": "timestamp_ntz",
+    "billing_zip": "string", "shipping_zip": "string", "avs": "string", "cvv": "string", "segment": "string", "employee_id": "string",
+}
+
+
 @query(
     "schema_summary",
-    """SELECT unnest(['transaction_id', 'user_id', 'amount', 'dispute_date', 'login_ts', 'access_ts', 'avs']) AS column_name,
- unnest(['string', 'bigint', 'double', 'timestamp_ntz', 'timestamp_ntz', 'timestamp_ntz', 'string']) AS dtype,
- unnest([count(*) - count(transaction_id), count(*) - count(user_id), count(*) - count(amount), count(*) - count(dispute_date), count(*) - count(login_ts), count(*) - count(access_ts), count(*) - count(avs)]) AS null_count,
- count(*) AS row_count FROM v_txn""",
+    f"""SELECT unnest({list(_TXN_KINDS)}) AS column_name, unnest({list(_TXN_KINDS.values())}) AS dtype,
+ unnest([{", ".join(f"count(*) - count({c})" for c in _TXN_KINDS)}]) AS null_count, count(*) AS row_count FROM v_txn""",
     ("v_txn",),
 )
 def _(t):
-    return files.schema_summary(t.v_txn.select("transaction_id", "user_id", "amount", "dispute_date", "login_ts", "access_ts", "avs"))
+    return files.schema_summary(t.v_txn)
 
 
 @query(
