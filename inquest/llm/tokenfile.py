@@ -27,11 +27,13 @@ from inquest.llm.common import scratch
 
 #: Ids that are coded or decoded at a time.
 CHUNK_IDS = 1 << 20
-#: Pieces of text whose ids a task remembers; it begins anew when there are more.
-MEMORY = 400_000
+#: Pieces of text that a task remembers since it last began to forget; it also knows as many from the time before.
+MEMORY = 500_000
 #: Between a character that is no white space and a space before another: no token of a byte-level BPE with word
 #: splitting goes over such a place, so the pieces between can be encoded one by one and remembered.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space other than single spaces and line feeds.
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
 
@@ -51,33 +53,58 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        # Pieces with one space, at their front, have one token that begins with a space, their first: many of them can
-        # be encoded as one text and told apart again.
-        plain = [p for p in pieces if p[0] == " " and p.count(" ") == 1]
-        rest = [p for p in pieces if not (p[0] == " " and p.count(" ") == 1)]
+        #: Ids of pieces, without the space that a piece of the first kind begins with.
+        self.after_space: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def _learn(self, spaced: list[str], others: list[str]) -> None:
+        # A piece with one space, at its front, has one token that begins with a space, its first: many of them can be
+        # encoded as one text and told apart again.
+        plain = [p for p in spaced if " " not in p]
         runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for run, coded in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+        alone = [p for p in spaced if " " in p]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(coded.ids, self.dtype)
             first = np.flatnonzero(self.begins[ids])
             if len(first) != len(run):
-                rest.extend(run)
+                alone.extend(run)
                 continue
             raw, cuts = ids.tobytes(), (np.append(first, len(ids)) * self.dtype.itemsize).tolist()
-            self.known.update(zip(run, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[piece] = np.array(coded.ids, self.dtype).tobytes()
+            self.after_space.update(zip(run, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        for store, pieces, front in ((self.after_space, alone, " "), (self.others, others, "")):
+            for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast([front + p for p in pieces], add_special_tokens=False)):
+                store[piece] = np.array(coded.ids, self.dtype).tobytes()
+
+    @staticmethod
+    def _pieces(text: str) -> tuple[str, list[str], list[str]]:
+        """The first piece, pieces that begin with a space (without it), and in texts with other spacing all but the first."""
+        if "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " " and not _ODD_SPACE.search(text):
+            first, *rest = text.split(" ")
+            return first, rest, []
+        first, *rest = _CUT.split(text)
+        return first, [], rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        pieces = [_CUT.split(t) if t else [] for t in texts]
-        wanted = set().union(*pieces)
-        if len(self.known) + len(wanted) > MEMORY:
-            self.known.clear()
-        self._learn([p for p in wanted if p not in self.known])
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        pieces = [self._pieces(t) for t in texts]
+        spaced = set().union(*(p[1] for p in pieces))
+        others = {p[0] for p in pieces}.union(*(p[2] for p in pieces))
+        others.discard("")
+        if len(self.after_space) + len(self.others) + len(spaced) + len(others) > MEMORY:
+            # What has not been met since the last time is forgotten; frequent pieces stay.
+            self.before = self.after_space, self.others
+            self.after_space, self.others = {}, {}
+        missing = []
+        for wanted, now, old in ((spaced, self.after_space, self.before[0]), (others, self.others, self.before[1])):
+            lacking = wanted.difference(now)
+            again = lacking.intersection(old) if old else ()
+            now.update(zip(again, map(old.__getitem__, again)))
+            missing.append(list(lacking.difference(again)))
+        self._learn(*missing)
+        self.others[""] = b""
+        one, two = self.others, self.after_space
+        return [one[first] + b"".join(map(two.__getitem__, rest)) + b"".join(map(one.__getitem__, odd)) for first, rest, odd in pieces]
 
 
 _encoders: dict[str, PieceEncoder] = {}
