@@ -30,6 +30,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by id and text, the same in every pass over a table."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), doc_id, text)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place that ``spark.checkpoint.dir`` names."""
     return shared_scratch(spark, name)

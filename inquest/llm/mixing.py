@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inquest.llm.common import land, scratch, words
+from inquest.llm.common import land, row_keys, scratch, words
 from inquest.llm.permute import permuted
 
 BLOCK_WORDS = 128
@@ -115,7 +115,7 @@ def mix_documents(
     sizes = parts.groupBy("source").agg(F.sum("n").alias("size"))
     blocks = _blocks(F.col("size"), block_words)
     targets = source_targets(sizes, weights, share, most).withColumn("blocks", blocks)
-    quota = F.least(F.coalesce(F.round(F.col("target") * F.col("blocks") / F.col("size")), F.lit(0)).cast("long"), F.col("blocks") * most)
+    quota = F.least(F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("size"))), F.lit(0)).cast("long"), F.col("blocks") * most)
     sources = land(targets.withColumn("quota", quota), f"{folder}/sources")
 
     # Words before a document in its source: those of earlier parts, then those of earlier rows of its part.
@@ -177,15 +177,21 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     return rows.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_copies(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+def mixed_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
     """The documents that the mix takes, each as often as its words are taken, in whole documents.
 
-    A document of which a share is taken comes in with that chance, decided by a hash of its row, so each source keeps
-    its number of words. Columns are those of ``docs``.
+    A document of which a share is taken comes in with that chance, decided by a hash of its id and text, so each source
+    keeps its number of words. Rows that are equal in id and text come equally often. Columns are those of ``docs``. The mix
+    is drawn without the texts, which meet the counts in one join.
     """
-    mix = mix_documents(docs, seed=seed, **options)
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("m_row")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(F.col("taken") / F.col("m_size") + chance).cast("int")
-    taken = mix.places.join(mix.taken(), "m_row").select("m_row", copies.alias("m_copies")).filter("m_copies > 0")
-    rows = mix.docs.join(land(taken, scratch(docs.sparkSession, "copies")), "m_row").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    first, second = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    slim = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("m_size"), first.alias("m_a"), second.alias("m_b")
+    )
+    mix = mix_documents(slim, source="source", order=("doc_id", "m_a", "m_b"), seed=seed, **options)
+    taken = mix.docs.join(mix.taken(), "m_row").groupBy("m_a", "m_b").agg((F.sum("taken") / F.sum("m_size")).alias("share"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "m_a", "m_b"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = taken.select("m_a", "m_b", F.floor(F.col("share") + chance).cast("int").alias("m_copies")).filter("m_copies > 0")
+    copies = land(copies, scratch(docs.sparkSession, "copies"))
+    rows = docs.withColumns({"m_a": first, "m_b": second}).join(copies, ["m_a", "m_b"])
+    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import land, scratch
+from inquest.llm.common import land, row_keys, scratch
 from inquest.operators.components import connected_components
 
 SEED = 42
@@ -195,11 +195,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the least id, with its own columns.
 
-    Rows that share an id (repeated rows, null ids) are told apart by a number that is written down first.
+    Rows without an id come after those with one, rows that share an id in the order of a hash. Of rows that are equal in
+    id and text one stays, the least in its other columns. The texts meet the list of those that stay in one join.
     """
-    folder = scratch(docs.sparkSession, "near")
-    number = "".join(docs.columns) + "_n"
-    rows = land(docs.withColumn(number, F.monotonically_increasing_id()), f"{folder}/rows")
-    groups = near_duplicates(rows.select(F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{number}`").alias("n")).alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
-    kept = land(groups.filter("doc_id = component_id").select(F.col("doc_id.n").alias("kept_n")), f"{folder}/kept")
-    return rows.join(kept, rows[number] == kept["kept_n"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    folder, names = scratch(docs.sparkSession, "near"), ["".join(docs.columns) + x for x in ("_a", "_b")]
+    first, second = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    rows = docs.withColumns({names[0]: first, names[1]: second})
+    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("doc"), F.col(names[0]).alias("a"), F.col(names[1]).alias("b"))
+    groups = near_duplicates(rows.select(key.alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id.a").alias("kept_a"), F.col("doc_id.b").alias("kept_b")).agg(F.count("*").alias("times"))
+    kept = land(kept, f"{folder}/kept")
+    same = (rows[names[0]] == F.col("kept_a")) & (rows[names[1]] == F.col("kept_b"))
+    once = rows.join(kept.filter("times = 1"), same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = rows.join(land(kept.filter("times > 1"), f"{folder}/repeated"), same, "left_semi")
+    least = repeated.groupBy(*names).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return once.unionByName(least.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
