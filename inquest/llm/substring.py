@@ -171,23 +171,35 @@ def _window_rows(window: int):
                 order = np.lexsort((pp, xx, oo, chk, grp))
                 grp, chk, oo, xx, pp, = (c[order] for c in (grp, chk, oo, xx, pp))
                 # kind 1: an earlier equal window is in this chunk, so the row is settled and goes on as it is.
-                later = np.r_[False, (grp[1:] == grp[:-1]) & (chk[1:] == chk[:-1])]
+                later = _beyond_first(np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (chk[1:] != chk[:-1])]), oo, xx, pp)
                 key = np.where(later, _mix(grp, (pp.astype(np.uint64) << np.uint64(20)) ^ xx.view(np.uint64)), grp)
                 yield _batch(["grp", "chk", "kind", "o", "x", "pos"], key, chk, later.astype(np.int8), oo, xx, pp)
 
     return run
 
 
+def _beyond_first(begins: np.ndarray, o: np.ndarray, x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows of the runs are at another place than their run's first row; a repeated row of the table is not."""
+    head = np.repeat(begins, np.diff(np.r_[begins, len(o)]))
+    return (o != o[head]) | (x != x[head]) | (pos != pos[head])
+
+
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by kind, hash and place, all of kind 1 and of kind 0 those that are not the first of their hash."""
-    last = None
+    first = None
     for batch in batches:
-        grp, chk, kind, o, x, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(grp):
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
             continue
-        again = np.r_[last == (kind[0], grp[0], chk[0]), (grp[1:] == grp[:-1]) & (chk[1:] == chk[:-1]) & (kind[1:] == kind[:-1])]
-        last = (kind[-1], grp[-1], chk[-1])
-        stays = (kind == 1) | again
+        if first is not None:
+            # The first row of the run that the last batch ended in goes before, and out again.
+            rows = [np.concatenate([f, c]) for f, c in zip(first, rows)]
+        grp, chk, kind, o, x, pos = rows
+        begins = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (chk[1:] != chk[:-1]) | (kind[1:] != kind[:-1])])
+        stays = (kind == 1) | _beyond_first(begins, o, x, pos)
+        if first is not None:
+            stays[0] = False
+        first = [c[begins[-1] : begins[-1] + 1] for c in rows]
         yield _batch(["o", "x", "pos"], o[stays], x[stays], pos[stays])
 
 
