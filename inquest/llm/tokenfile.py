@@ -45,7 +45,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -53,6 +52,8 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        #: Texts with one of these go through the tokenizer whole: added tokens are cut out before words are split.
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of pieces, without the space that a piece of the first kind begins with.
         self.after_space: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
@@ -87,6 +88,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
+        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            out = self._in_pieces(["" if i in whole else t for i, t in enumerate(texts)])
+            for i, coded in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
+                out[i] = np.array(coded.ids, self.dtype).tobytes()
+            return out
+        return self._in_pieces(texts)
+
+    def _in_pieces(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
         spaced = set().union(*(p[1] for p in pieces))
         others = {p[0] for p in pieces}.union(*(p[2] for p in pieces))

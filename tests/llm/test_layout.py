@@ -124,6 +124,20 @@ def test_pieces_are_encoded_like_whole_texts():
         assert np.frombuffer(blob, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_of_the_file_are_kept(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tokenizer, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"one document {end} next document", end, f"{end}{end} a", "no such token", f"  two{end}\n\nthree ", "<|endoftext| >", ""]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = PieceEncoder(path)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), path, end=2)
+    got = sorted(read_tokens(spark, str(tmp_path / "t")).collect())
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [[*x, 2] for x in want]
+
+
 def test_token_files(spark, tmp_path):
     path, data = tokenizer_path(), rows()
     write_tokens(frame(spark, data), str(tmp_path / "t"), path, end=2)
