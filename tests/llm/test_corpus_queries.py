@@ -29,13 +29,13 @@ def test_query_equals_sql(spark, key):
 
 def test_all_are_registered():
     keys = entry.queries()
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert set(QUERIES) <= set(keys) and "pipeline" in keys
 
 
 def test_pipeline(spark, tmp_path):
-    from tests.llm.test_duplicates import plain_fingerprint, sets_of
     from tests.llm.test_filters import plain_contamination
+    from tests.llm.test_nearcopies import plain_groups
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
@@ -47,7 +47,7 @@ def test_pipeline(spark, tmp_path):
         ids = {r.doc_id for r in new}
         assert {(r.doc_id, r.text) for r in new} <= {(r.doc_id, r.text) for r in old}
         if name == "near_duplicates":
-            group = sets_of([plain_fingerprint(r.text) for r in old], lambda a, b: (a ^ b).bit_count() <= 3)
+            group = plain_groups([r.text for r in old])
             assert sorted(ids) == sorted({min(r.doc_id for r, h in zip(old, group) if h == g) for g in set(group)})
         elif name == "decontamination":
             assert ids == {r.doc_id for r in old if not plain_contamination(r.text, items)[1]}
