@@ -249,3 +249,58 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _merkle_sql(levels: int = 7, group_levels: int = 3) -> str:
+    """Trees of at most 8 ** levels leaves a language, and as many languages as three levels hold."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, n: int) -> str:
+        steps = []
+        for k in range(n):
+            run = f"PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+            steps.append(f"""
+{name}_side{k} AS (
+  SELECT g, i, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+    CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {name}{k}),
+{name}{k + 1} AS (
+  SELECT g, i // 8 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h, (max(n) + 7) // 8 AS n FROM {name}{k} GROUP BY ALL)""")
+        return ",".join(steps)
+
+    def climb(name: str, n: int, at: str, key: str, start: str) -> str:
+        steps = []
+        for k in range(n):
+            steps.append(f"""
+{start}{k + 1} AS (
+  SELECT a.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || fold || s.r) ELSE fold END AS fold, proof || s.l || s.r AS proof)
+  FROM {start}{k} a JOIN {name}_side{k} s ON s.g IS NOT DISTINCT FROM a.{key} AND s.i = a.{at} // {8**k})""")
+        return ",".join(steps)
+
+    return f"""
+WITH crc_table AS (SELECT {_CRC_TABLE_SQL} AS t),
+docs AS (
+  SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf(lower)} AS low,
+    list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+leaves AS (
+  SELECT doc_id, lang, leaf, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS i,
+    CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 0 THEN low ELSE leaf END AS start
+  FROM docs, crc_table),
+doc0 AS (SELECT lang AS g, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves),{tree('doc', levels)},
+top0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, g AS lang FROM doc{levels}),
+lang0 AS (SELECT g, i, h, n FROM top0),{tree('lang', group_levels)},
+up0 AS (SELECT *, start AS fold, '' AS proof FROM leaves),{climb('doc', levels, 'i', 'lang', 'up')},
+over0 AS (SELECT u.*, top0.i AS k, 0 AS one, top0.h AS subroot FROM up{levels} u JOIN top0 ON top0.lang IS NOT DISTINCT FROM u.lang),{climb('lang', group_levels, 'k', 'one', 'over')}
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = top.h AS verified FROM over{group_levels}, lang{group_levels} AS top"""
+
+
+@corpus_query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that a tampered third of them leads to."""
+    from inquest.llm.merkle import verify_documents
+
+    return verify_documents(table(spark, sf_dir, "documents")).drop("tampered_leaf")
