@@ -304,3 +304,25 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inquest.llm.merkle import verify_documents
 
     return verify_documents(table(spark, sf_dir, "documents")).drop("tampered_leaf")
+
+
+_LEXICAL_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({text}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex({text}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM docs WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+parts AS (
+  SELECT item_id, tf.r, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w) * N) // L))) AS part
+  FROM items JOIN tf USING (term) JOIN df USING (term) JOIN docs ON docs.r = tf.r, total),
+scores AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM parts GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM scores JOIN docs USING (r) QUALIFY rank <= 50""".replace("{text}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+@corpus_query("op12_lexical_search", _LEXICAL_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    from inquest.llm.lexical import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
