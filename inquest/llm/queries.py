@@ -326,3 +326,25 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inquest.llm.lexical import build_index, search
 
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+_NEAR_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+grams AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*)::BIGINT AS n FROM grams GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y WHERE 100 * k >= 85 * (s.n + t.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS v, r AS x FROM docs UNION SELECT reach.v, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.x),
+least AS (SELECT v, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.x GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN least ON least.v = docs.r LEFT JOIN sizes ON sizes.r = docs.r"""
+
+
+@corpus_query("op11_hyperminhash_near_dedup", _NEAR_SQL)
+def op11_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and near-duplicate class of every document."""
+    from inquest.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
