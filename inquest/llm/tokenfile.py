@@ -15,10 +15,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,16 +28,63 @@ from inquest.llm.common import scratch
 
 #: Ids that are coded or decoded at a time.
 CHUNK_IDS = 1 << 20
-#: Pieces of text that a task remembers since it last began to forget; it also knows as many from the time before.
-MEMORY = 500_000
+#: Pieces of text that a task remembers; beyond that it forgets those it has not met again since it last forgot some.
+MEMORY = 1_000_000
+#: Bytes of text that are encoded at a time (one text at least).
+CHUNK_BYTES = 1 << 24
 #: Between a character that is no white space and a space before another: no token of a byte-level BPE with word
 #: splitting goes over such a place, so the pieces between can be encoded one by one and remembered.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: White space other than single spaces and line feeds.
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Texts that have more between words than single spaces, or line feeds without a space beside them.
+_ODD = (
+    r"\A |  | \n|\n | \z|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
 
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices starts[i] to starts[i] + lengths[i] - 1, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class PieceMemory:
+    """Ids of distinct pieces: ``ids`` holds them all, ``starts`` and ``lengths`` where those of a piece are."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: np.dtype):
+        self.learn, self.pieces = learn, pa.array([], pa.string())
+        self.ids, self.starts, self.lengths, self.met = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        which = np.flatnonzero(self.met)
+        which = which[: 0 if len(which) > MEMORY // 2 else None]
+        self.pieces, self.ids, self.lengths = self.pieces.take(pa.array(which)), self.ids[_gather(self.starts[which], self.lengths[which])], self.lengths[which]
+        self.starts, self.met = np.cumsum(self.lengths) - self.lengths, np.zeros(len(which), bool)
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(distinct, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in ``ids``, and how many they are."""
+        coded = pieces.dictionary_encode()
+        place = self._places(coded.dictionary)
+        self.met[place[place >= 0]] = True
+        if len(self.pieces) + int((place < 0).sum()) > MEMORY:
+            self._forget()
+            place = self._places(coded.dictionary)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            lacking = coded.dictionary.take(pa.array(new))
+            ids, lengths = self.learn(lacking.to_pylist())
+            place[new] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, lacking])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
+        of = place[coded.indices.to_numpy()]
+        return self.starts[of], self.lengths[of]
+
+
 class PieceEncoder:
     """Encodes whole texts with a tokenizer file, each distinct piece of text once."""
 
@@ -54,67 +102,68 @@ class PieceEncoder:
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         #: Texts with one of these go through the tokenizer whole: added tokens are cut out before words are split.
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of pieces, without the space that a piece of the first kind begins with.
-        self.after_space: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def _learn(self, spaced: list[str], others: list[str]) -> None:
-        # A piece with one space, at its front, has one token that begins with a space, its first: many of them can be
-        # encoded as one text and told apart again.
-        plain = [p for p in spaced if " " not in p]
-        runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        alone = [p for p in spaced if " " in p]
+        #: Pieces that come after a space, without it; pieces as they are.
+        self.spaced, self.plain = PieceMemory(self._after_space, self.dtype), PieceMemory(self._alone, self.dtype)
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        ids = [coded.ids for coded in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for one in ids for i in one], self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Each has one token that begins with a space, its first: many can be encoded as one text and told apart again.
+        out, sizes = [], []
+        runs = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
         for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(coded.ids, self.dtype)
             first = np.flatnonzero(self.begins[ids])
+            lengths = np.diff(np.append(first, len(ids)))
             if len(first) != len(run):
-                alone.extend(run)
-                continue
-            raw, cuts = ids.tobytes(), (np.append(first, len(ids)) * self.dtype.itemsize).tolist()
-            self.after_space.update(zip(run, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-        for store, pieces, front in ((self.after_space, alone, " "), (self.others, others, "")):
-            for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast([front + p for p in pieces], add_special_tokens=False)):
-                store[piece] = np.array(coded.ids, self.dtype).tobytes()
-
-    @staticmethod
-    def _pieces(text: str) -> tuple[str, list[str], list[str]]:
-        """The first piece, pieces that begin with a space (without it), and in texts with other spacing all but the first."""
-        if "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " " and not _ODD_SPACE.search(text):
-            first, *rest = text.split(" ")
-            return first, rest, []
-        first, *rest = _CUT.split(text)
-        return first, [], rest
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``dtype``."""
-        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        if whole:
-            out = self._in_pieces(["" if i in whole else t for i, t in enumerate(texts)])
-            for i, coded in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
-                out[i] = np.array(coded.ids, self.dtype).tobytes()
-            return out
-        return self._in_pieces(texts)
-
-    def _in_pieces(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        spaced = set().union(*(p[1] for p in pieces))
-        others = {p[0] for p in pieces}.union(*(p[2] for p in pieces))
-        others.discard("")
-        if len(self.after_space) + len(self.others) + len(spaced) + len(others) > MEMORY:
-            # What has not been met since the last time is forgotten; frequent pieces stay.
-            self.before = self.after_space, self.others
-            self.after_space, self.others = {}, {}
-        missing = []
-        for wanted, now, old in ((spaced, self.after_space, self.before[0]), (others, self.others, self.before[1])):
-            lacking = wanted.difference(now)
-            again = lacking.intersection(old) if old else ()
-            now.update(zip(again, map(old.__getitem__, again)))
-            missing.append(list(lacking.difference(again)))
-        self._learn(*missing)
-        self.others[""] = b""
-        one, two = self.others, self.after_space
-        return [one[first] + b"".join(map(two.__getitem__, rest)) + b"".join(map(one.__getitem__, odd)) for first, rest, odd in pieces]
+                ids, lengths = self._alone([" " + p for p in run])
+            out.append(ids)
+            sizes.append(lengths)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each followed by ``end``, and how many each has."""
+        # 0: cut at each space; 1: with other spacing; 2: with an added token.
+        kind = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(np.int8)
+        for token in self.added:
+            kind[pc.match_substring(texts, token).to_numpy(zero_copy_only=False)] = 2
+        rows = [np.flatnonzero(kind == k) for k in range(3)]
+        some = [texts.take(pa.array(r)) for r in rows]
+
+        split = pc.split_pattern(some[0], " ")
+        cuts = split.offsets.to_numpy().astype(np.int64)
+        flat = split.values.slice(cuts[0], cuts[-1] - cuts[0])
+        odd = [_CUT.split(t) for t in some[1].to_pylist()]
+        whole, sizes = self._alone(some[2].to_pylist())
+        starts, lengths = self.spaced.find(flat)
+        first = cuts[:-1] - cuts[0]
+        # First pieces have no space in front of them.
+        others = self.plain.find(pa.concat_arrays([flat.take(pa.array(first)), pa.array([p for o in odd for p in o], pa.string())]))
+        begin = np.cumsum([0, len(self.spaced.ids), len(self.plain.ids)])
+        starts[first], lengths[first] = others[0][: len(first)] + begin[1], others[1][: len(first)]
+        pool = np.concatenate([self.spaced.ids, self.plain.ids, whole, np.array([] if end is None else [end], self.dtype)])
+        starts = np.concatenate([starts, others[0][len(first) :] + begin[1], begin[2] + np.cumsum(sizes) - sizes, [len(pool) - 1]])
+        lengths = np.concatenate([lengths, others[1][len(first) :], sizes, [1]])
+        # Pieces of the texts in the order of the table, each text with the end as its last piece.
+        counts = np.zeros(len(texts), np.int64)
+        counts[rows[0]], counts[rows[1]], counts[rows[2]] = np.diff(cuts), [len(o) for o in odd], 1
+        order = np.concatenate(rows)
+        from_ = np.zeros(len(texts), np.int64)
+        from_[order] = np.cumsum(counts[order]) - counts[order]
+        piece = _gather(from_, counts)
+        if end is not None:
+            piece = np.insert(piece, np.cumsum(counts), len(starts) - 1)
+            counts = counts + 1
+        starts, lengths = starts[piece], lengths[piece]
+        ends = np.r_[0, np.cumsum(lengths)]
+        return pool[_gather(starts, lengths)], np.diff(ends[np.r_[0, np.cumsum(counts)]])
+
+
+def _text_chunks(texts: pa.Array) -> Iterator[slice]:
+    return _groups(pc.binary_length(texts).to_numpy(zero_copy_only=False), CHUNK_BYTES)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -134,16 +183,15 @@ def _binary(cuts: np.ndarray, raw: np.ndarray) -> pa.Array:
 def _tokenized(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], encoder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                blobs = [x + tail for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
-                n = np.array([len(x) // encoder.dtype.itemsize for x in blobs], np.int64)
+            texts = pc.fill_null(batch.column(1), "")
+            for rows in _text_chunks(texts):
+                ids, n = encoder.encode(texts[rows.start : rows.stop], end)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
+                cuts = np.r_[0, np.cumsum(n)] * encoder.dtype.itemsize
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), some.column(0), pa.array(n), pa.array(blobs, pa.binary())],
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column(0)[rows.start : rows.stop], pa.array(n), _binary(cuts, ids.view(np.uint8))],
                     ["part", "start", "doc_id", "n", "ids"],
                 )
 
@@ -162,11 +210,11 @@ def _counted(size: int, dtype: str):
     return run
 
 
-def _groups(n: np.ndarray) -> Iterator[slice]:
-    """Rows of about ``CHUNK_IDS`` ids together, one row at least."""
-    at, ends = 0, np.cumsum(n)
+def _groups(n: np.ndarray, most: int = CHUNK_IDS) -> Iterator[slice]:
+    """Rows of sizes ``n`` that have ``most`` at most together, one row at least."""
+    at, ends = 0, np.cumsum(n, dtype=np.int64)
     while at < len(n):
-        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_IDS, "right")))
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield slice(at, until)
         at = until
 

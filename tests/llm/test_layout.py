@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from inquest.llm import tokenfile
 from inquest.llm.mixing import mix_documents, mix_report, mixed_copies
 from inquest.llm.permute import permuted
 from inquest.llm.sharding import shard_rows
@@ -117,22 +119,39 @@ def tokenizer_path():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_pieces_are_encoded_like_whole_texts():
-    encoder = PieceEncoder(tokenizer_path())
-    texts = [x[1] or "" for x in rows()] + ["  two  spaces ", "\u00a0a\u3000b \u2003c", "x\n y\n\n  z", "don't  <|endoftext|> stop", " lead", "trail ", "\x1c a\x85 b", "1 2,3 4"]
-    for text, blob in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(blob, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+def encoded(path, texts, end=None):
+    ids, n = PieceEncoder(path).encode(pa.array(texts, pa.string()), end)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
-def test_added_tokens_of_the_file_are_kept(spark, tmp_path):
+def plain_ids(path, texts):
+    """By the library alone."""
     from tokenizers import Tokenizer
 
-    path = tokenizer_path()
-    tokenizer, end = Tokenizer.from_file(path), "<|endoftext|>"
+    tokenizer = Tokenizer.from_file(path)
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_encoded_like_whole_texts(monkeypatch):
+    texts = [x[1] or "" for x in rows()] + ["  two  spaces ", "\u00a0a\u3000b \u2003c", "x\n y\n\n  z", "don't  <|endoftext|> stop", " lead", "trail ", "\x1c a\x85 b", "1 2,3 4", "a\n\nb c\n", "\n"]
+    want = plain_ids(tokenizer_path(), texts)
+    assert encoded(tokenizer_path(), texts) == want
+    assert encoded(tokenizer_path(), texts, 7) == [[*x, 7] for x in want]
+    assert encoded(tokenizer_path(), []) == []
+    # A memory that forgets all the time gives the same ids.
+    monkeypatch.setattr(tokenfile, "MEMORY", 30)
+    encoder, got = PieceEncoder(tokenizer_path()), []
+    for i in range(0, len(texts), 4):
+        ids, n = encoder.encode(pa.array(texts[i : i + 4], pa.string()))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == want
+
+
+def test_added_tokens_of_the_file_are_kept(spark, tmp_path):
+    path, end = tokenizer_path(), "<|endoftext|>"
     texts = [f"one document {end} next document", end, f"{end}{end} a", "no such token", f"  two{end}\n\nthree ", "<|endoftext| >", ""]
-    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    encoder = PieceEncoder(path)
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    want = plain_ids(path, texts)
+    assert encoded(path, texts) == want
     write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), path, end=2)
     got = sorted(read_tokens(spark, str(tmp_path / "t")).collect())
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [[*x, 2] for x in want]
@@ -143,8 +162,7 @@ def test_token_files(spark, tmp_path):
     write_tokens(frame(spark, data), str(tmp_path / "t"), path, end=2)
     got = read_tokens(spark, str(tmp_path / "t")).collect()
     sums = {(r.start, r.n_tokens): r.ids_crc32 for r in read_tokens(spark, str(tmp_path / "t"), digest=True).collect()}
-    tokenizer = PieceEncoder(path).tokenizer
-    want = Counter((x[0], np.array([*tokenizer.encode(x[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for x in data)
+    want = Counter((x[0], np.array([*ids, 2], "<u4").tobytes()) for x, ids in zip(data, plain_ids(path, [x[1] or "" for x in data])))
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
     at = 0
     for r in sorted(got, key=lambda r: r.start):
