@@ -1,11 +1,11 @@
-"""Communities by modularity: local moves in halves, then contraction (Blondel et al., 2008)."""
+"""Communities by modularity: local moves of a frontier, then contraction (Blondel et al., 2008)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.session import cut_lineage
+from inquest.session import cut_lineage, replace_step
 
 
 def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -24,45 +24,62 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return 0.0 if total == 0 else float(row[1]) / total - float(row[2]) / (total * total)
 
 
+#: Rounds in which a like share of the frontier decides; then half as many vertices decide at a time.
+SAME_SHARE = 24
+
+
+def _decided(state: DataFrame, links: DataFrame, total: float, turn: Column) -> DataFrame:
+    """(v, to): the best community of each vertex of the frontier whose turn it is; of equal ones staying first, then the least."""
+    tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
+    asked = state.filter(F.col("active") & turn).select(F.col("v").alias("u"), "k", F.col("c").alias("own"))
+    placed = state.select("v", "c").join(tot, "c")
+    near = links.join(asked.select("u"), "u").join(placed, "v").select("u", "c", "tot", "w")
+    # Staying is a choice like the others, with the own weight taken out of the total.
+    stay = asked.join(tot, asked["own"] == tot["c"]).select("u", "c", "tot", F.lit(0.0).alias("w"))
+    options = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("kc"), F.max("tot").alias("tot"))
+    rated = options.join(asked, "u")
+    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("kc") - F.col("k") * rest / total, 9)
+    best = F.min_by("c", F.struct((-gain).alias("g"), (F.col("c") != F.col("own")).alias("moves"), F.col("c")))
+    return rated.groupBy(F.col("u").alias("v")).agg(best.alias("to"))
+
+
 def _one_level(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
-    """Local moves on one graph: (v, c), and whether they came to rest. ``edges`` has both directions; loops carry inner weight."""
+    """Local moves on one graph: (v, c), and whether they came to rest. ``edges`` has both directions; loops carry inner weight.
+
+    Only vertices of the frontier decide: all at first, then those with a neighbour that moved to another community than theirs.
+    In a round a share of the frontier decides, the largest of those that a hash makes which changes from round to round, so
+    neighbours do not swap places for ever; shares are halved every ``SAME_SHARE`` rounds. The end is an empty frontier.
+    """
     weight = edges.groupBy(F.col("u").alias("v")).agg(F.sum("w").alias("k"))
     total = float(weight.agg(F.sum("k")).first()[0])
-    state = cut_lineage(weight.withColumn("c", F.col("v")))
+    state = cut_lineage(weight.withColumns({"c": F.col("v"), "active": F.lit(True)}))
     links = edges.filter("u <> v")
-    quiet = 0
     for r in range(max_rounds):
-        tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
-        placed = state.join(tot, "c")
-        near = links.join(placed.select("v", "c", "tot"), "v").select("u", "c", "tot", "w")
-        # Staying is a choice like the others, with the own weight taken out of the total.
-        stay = placed.select(F.col("v").alias("u"), "c", "tot", F.lit(0.0).alias("w"))
-        options = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("kc"), F.max("tot").alias("tot"))
-        rated = options.join(state.select(F.col("v").alias("u"), "k", F.col("c").alias("own")), "u")
-        rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("kc") - F.col("k") * rest / total, 9)
-        # Greatest gain; of equal ones staying first, then the least community id.
-        best = rated.groupBy("u", "k", "own").agg(
-            F.min_by("c", F.struct((-gain).alias("g"), (F.col("c") != F.col("own")).alias("moves"), F.col("c"))).alias("to")
-        )
-        turn = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        moved = best.select(F.col("u").alias("v"), "k", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c"), (turn & (F.col("to") != F.col("own"))).alias("moved"))
-        state = cut_lineage(moved)
-        quiet = quiet + 1 if state.filter("moved").isEmpty() else 0
-        state = state.drop("moved")
-        if quiet == 2:
+        share = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2 << (r // SAME_SHARE)))
+        largest = state.filter("active").groupBy(share.alias("share")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "share").first()
+        if largest is None:
             break
+        turn = share == largest["share"]
+        best = _decided(state, links, total, turn)
+        moved = F.coalesce(F.col("to") != F.col("c"), F.lit(False))
+        after = state.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), (F.col("active") & F.col("to").isNull()).alias("active"), moved.alias("moved"))
+        state = replace_step(state, after)
+        # Neighbours of those that moved, if they are elsewhere, decide again.
+        movers = state.filter("moved").select("v", F.col("c").alias("went"))
+        woken = links.join(movers, "v").select(F.col("u").alias("v"), "went").join(state.select("v", "c"), "v").filter("went <> c").select("v").distinct()
+        woken = woken.withColumn("woken", F.lit(True))
+        state = replace_step(state, state.join(woken, "v", "left").select("v", "k", "c", (F.col("active") | F.coalesce("woken", F.lit(False))).alias("active")))
     # A community is named after its least vertex.
     names = state.groupBy("c").agg(F.min("v").alias("name"))
-    return state.join(names, "c").select("v", F.col("name").alias("c")), quiet == 2
+    return state.join(names, "c").select("v", F.col("name").alias("c")), state.filter("active").isEmpty()
 
 
-def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 4, max_rounds: int = 6, min_gain: float = 1e-6) -> DataFrame:
+def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 30, max_rounds: int = 10 * SAME_SHARE, min_gain: float = 1e-6) -> DataFrame:
     """(vertex, community_id, settled): community ids are the least vertex of the community.
 
-    Vertices of either half move in turn, so two neighbours do not swap places for
-    ever. A level is kept only if it raises modularity; nothing is random. Rounds go on
-    until nobody moves and levels until none helps; ``settled`` is false if a bound was met first.
+    Rounds go on until no vertex wants to decide again, and levels, on the graph of communities, until none raises
+    modularity; nothing is random. The bounds are a guard: ``settled`` is false if one was met.
     """
     base = cut_lineage(_both_ways(edges, src, dst))
     members = cut_lineage(base.select(F.col("u").alias("v")).distinct().withColumn("c", F.col("v")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.session import cut_lineage
+from inquest.session import cut_lineage, replace_step
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     work = cut_lineage(pairs)
     mark = _mark(work)
     for _ in range(max_rounds):
-        work = cut_lineage(_small_star(_large_star(work)))
+        work = replace_step(work, _small_star(_large_star(work)))
         now = _mark(work)
         if now == mark:
             break

@@ -7,6 +7,8 @@ sizes, co-member counts, components, communities, is computed from the hubs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from inquest.functions.scalar import clean_key, stable_id
 from inquest.operators.keyed import top_per_key
 from inquest.operators.relational import employee_account_touches, payment_edges
 from inquest.roles import ColumnRoles
+from inquest.session import cut_lineage
 
 # Sizes of a shared-value group that raise an alert.
 ALERT_HIGH = 10
@@ -77,51 +80,96 @@ def is_account(v: Column) -> Column:
     return ~v.rlike("^(device|address|phone|employee):")
 
 
-#: Groups of shared values up to this size are taken apart into their members when neighbours are counted.
+#: Groups of shared values up to this size are taken apart into pairs of members. It changes the way, not the result.
 EXACT_GROUP = 200
+#: Accounts in up to this many larger groups are counted by subsets of those.
+MAX_SUBSETS = 8
+
+
+def _both_ends(payments: DataFrame) -> DataFrame:
+    """(account, other) of every payment pair, both ways round."""
+    p = undirected_payments(payments)
+    return p.select(F.col("src").alias("account"), F.col("dst").alias("other")).unionByName(p.select(F.col("dst").alias("account"), F.col("src").alias("other")))
+
+
+def _signatures(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (account, gid): (account, class, groups), and per class of accounts with the same groups (class, groups, n)."""
+    per = groups.groupBy("account").agg(F.array_sort(F.collect_list("gid")).alias("groups"))
+    classes = cut_lineage(per.groupBy("groups").agg(F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()))
+    return cut_lineage(per.join(classes.select("class", "groups"), "groups").select("account", "class", "groups")), classes
 
 
-def account_degrees(spokes: DataFrame, payments: DataFrame | None = None, touches: DataFrame | None = None, exact_group: int = EXACT_GROUP) -> DataFrame:
-    """(account, degree, degree_exact): distinct neighbours by shared values, payments and staff links.
+def _union_sizes(classes: DataFrame, max_subsets: int) -> DataFrame:
+    """(class, members): accounts in any group of the class.
+
+    Among the classes of few groups, inclusion and exclusion: the number of accounts in all groups of a subset, counted
+    for the subsets that occur, with alternating sign. That takes 2^k rows for a class of k groups, however large those are. Classes of more
+    groups are few; each meets once the classes that share a group with it.
+    """
+    few, many = classes.filter(F.size("groups") <= max_subsets), classes.filter(F.size("groups") > max_subsets)
+    chosen = "transform(sequence(1, shiftleft(1, size(groups)) - 1), m -> filter(groups, (g, i) -> shiftright(m, i) % 2 = 1))"
+    subsets = few.select("class", "n", F.explode(F.expr(chosen)).alias("subset"))
+    held = subsets.groupBy("subset").agg(F.sum("n").alias("held"))
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    parts = [subsets.join(held, "subset").select("class", (sign * F.col("held")).alias("part"))]
+    spread = lambda c, name: c.select(F.col("class").alias(name), F.col("n").alias(f"{name}_n"), F.explode("groups").alias("gid"))
+    pairs = spread(many, "one").join(spread(classes, "two"), "gid").select("one", "two", "one_n", "two_n").distinct()
+    pairs = cut_lineage(pairs.join(few.select(F.col("class").alias("two"), F.lit(True).alias("few")), "two", "left"))
+    parts.append(pairs.select(F.col("one").alias("class"), F.col("two_n").alias("part")))
+    parts.append(pairs.filter("few").select(F.col("two").alias("class"), F.col("one_n").alias("part")))
+    return reduce(DataFrame.unionByName, parts).groupBy("class").agg(F.sum("part").alias("members"))
+
+
+def account_degrees(spokes: DataFrame, payments: DataFrame | None = None, touches: DataFrame | None = None, exact_group: int = EXACT_GROUP, max_subsets: int = MAX_SUBSETS) -> DataFrame:
+    """(account, degree): distinct neighbours by shared values, payments and staff links; exact for groups of any size.
 
     Members of a group of at most ``exact_group`` accounts meet pairwise, so n accounts in such groups give at most
-    ``exact_group`` * n rows. Of a larger group each member gets the others by number; there a neighbour that is also one in
-    another way may count twice, and ``degree_exact`` is false.
+    ``exact_group`` * n rows. Larger groups are not taken apart: accounts with the same large groups are one class, and the
+    union of its groups is counted once. Pairs whose ends share a large group are in that union already and are left out.
     """
-    small, large = spokes.filter(F.col("group_size") <= exact_group), spokes.filter(F.col("group_size") > exact_group)
-    here = small.select("kind", "value", "account")
+    here = spokes.filter(F.col("group_size") <= exact_group).select("kind", "value", "account")
     near = [here.join(here.withColumnRenamed("account", "other"), ["kind", "value"]).filter("account <> other").select("account", "other")]
     if payments is not None:
-        p = undirected_payments(payments)
-        near += [p.select(F.col("src").alias("account"), F.col("dst").alias("other")), p.select(F.col("dst").alias("account"), F.col("src").alias("other"))]
+        near.append(_both_ends(payments))
     if touches is not None:
         near.append(touches.select(F.col("account_id").alias("account"), F.concat(F.lit("employee:"), F.col("employee_id").cast("string")).alias("other")))
-    pairs = near[0]
-    for p in near[1:]:
-        pairs = pairs.unionByName(p)
-    one = pairs.distinct().groupBy("account").agg(F.count("*").alias("d")).withColumn("exact", F.lit(True))
-    more = large.groupBy("account").agg(F.sum(F.col("group_size") - 1).alias("d")).withColumn("exact", F.lit(False))
-    return one.unionByName(more).groupBy("account").agg(F.sum("d").alias("degree"), F.every("exact").alias("degree_exact"))
+    pairs = reduce(DataFrame.unionByName, near).distinct()
+    large = spokes.filter(F.col("group_size") > exact_group).select("kind", "value", "account")
+    named = cut_lineage(large.select("kind", "value").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    accounts, classes = _signatures(large.join(named, ["kind", "value"]).select("account", "gid"))
+    sizes = _union_sizes(classes, max_subsets)
+    by_value = accounts.join(sizes, "class").select("account", (F.col("members") - 1).alias("d"))
+    ends = pairs.join(accounts.select("account", F.col("groups").alias("own")), "account", "left").join(accounts.select(F.col("account").alias("other"), "groups"), "other", "left")
+    beside = ends.filter(~F.coalesce(F.arrays_overlap("own", "groups"), F.lit(False))).groupBy("account").agg(F.count("*").alias("d"))
+    return by_value.unionByName(beside).groupBy("account").agg(F.sum("d").alias("degree"))
 
 
 def neighbor_communities(spokes: DataFrame, payments: DataFrame | None, communities: DataFrame) -> DataFrame:
-    """(account, communities_near): communities among the neighbours, exact up to 2, 3 for "three and more".
+    """(account, communities_near): distinct communities among the neighbours by shared values and payments.
 
-    The bridge rule asks for two. Per hub three communities are enough to decide it,
-    whatever the number of members, so a hub with n members gives at most 3 n rows.
+    Accounts with the same shared values are one class, whose communities are gathered once. The own community is among
+    them only if another member of one of the values, or a payment partner, has it.
     """
     c = communities.select("account", "community_id")
-    in_hub = spokes.select("kind", "value", "account").join(c, "account")
-    per_hub = in_hub.groupBy("kind", "value", "community_id").agg(F.count("*").alias("n"))
-    few = top_per_key(per_hub, ["kind", "value"], [F.col("community_id")], 3, "_r").select("kind", "value", F.col("community_id").alias("near"))
-    own = in_hub.join(per_hub, ["kind", "value", "community_id"])
-    by_hub = own.join(few, ["kind", "value"]).filter((F.col("near") != F.col("community_id")) | (F.col("n") > 1)).select("account", "near")
-    near = by_hub
+    named = cut_lineage(spokes.select("kind", "value").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    members = spokes.join(named, ["kind", "value"]).select("account", "gid")
+    accounts, classes = _signatures(members)
+    in_hub = cut_lineage(members.join(c, "account"))
+    per_hub = in_hub.groupBy("gid", "community_id").agg(F.count("*").alias("n"))
+    around = cut_lineage(classes.select("class", F.explode("groups").alias("gid")).join(per_hub, "gid").select("class", F.col("community_id").alias("near")).distinct())
+    counts = around.groupBy("class").agg(F.count("*").alias("known"))
+    # Alone in all its values with its community.
+    alone = in_hub.join(per_hub, ["gid", "community_id"]).groupBy("account", "community_id").agg((F.max("n") == 1).alias("alone"))
+    by_value = accounts.select("account", "class").join(counts, "class").join(alone, "account", "left")
+    by_value = cut_lineage(by_value.withColumn("alone", F.coalesce("alone", F.lit(False))))
+    found = by_value.select("account", (F.col("known") - F.col("alone").cast("int")).alias("d"))
     if payments is not None:
-        p = undirected_payments(payments)
-        both = p.select(F.col("src").alias("account"), F.col("dst").alias("other")).unionByName(p.select(F.col("dst").alias("account"), F.col("src").alias("other")))
-        near = near.unionByName(both.join(c.toDF("other", "near"), "other").select("account", "near"))
-    return near.groupBy("account").agg(F.least(F.count_distinct("near"), F.lit(3)).alias("communities_near"))
+        paid = _both_ends(payments).join(c.toDF("other", "near"), "other").select("account", "near").distinct()
+        paid = paid.join(by_value.select("account", "class", F.when(F.col("alone"), F.col("community_id")).alias("own")), "account", "left")
+        known = around.withColumn("seen", F.lit(True))
+        new = paid.join(known, ["class", "near"], "left").filter("seen IS NULL OR near <=> own")
+        found = found.unionByName(new.groupBy("account").agg(F.count("*").alias("d")))
+    return found.groupBy("account").agg(F.sum("d").alias("communities_near")).filter("communities_near > 0")
 
 
 # Limits of the role rules.
@@ -144,24 +192,27 @@ def hub_threshold(degrees: DataFrame) -> Column:
     return cut.select(F.greatest(F.lit(HUB_MIN_DEGREE).cast("long"), F.coalesce("d", F.lit(HUB_MIN_DEGREE).cast("long")))).scalar()
 
 
-def account_roles(degrees: DataFrame, near: DataFrame, cycle_counts: DataFrame | None = None, touches: DataFrame | None = None) -> DataFrame:
-    """(account, role, degree, communities_near, cycles, touch_weight): bridge, hub, mule or peripheral."""
+def account_roles(degrees: DataFrame, near: DataFrame, cyclic: DataFrame | None = None, touches: DataFrame | None = None) -> DataFrame:
+    """(account, role, degree, communities_near, on_cycle, touch_weight): bridge, hub, mule or peripheral.
+
+    ``cyclic`` has the accounts that lie on a payment cycle of any length.
+    """
     out = degrees.join(near, "account", "left")
-    if cycle_counts is not None:
-        out = out.join(cycle_counts, "account", "left")
+    if cyclic is not None:
+        out = out.join(cyclic.select("account", F.lit(True).alias("on_cycle")), "account", "left")
     else:
-        out = out.withColumn("cycles", F.lit(None).cast("long"))
+        out = out.withColumn("on_cycle", F.lit(False))
     if touches is not None:
         weight = F.when(F.col("total_amount") != 0, F.col("total_amount")).otherwise(F.col("touch_count"))
         out = out.join(touches.groupBy(F.col("account_id").alias("account")).agg(F.sum(weight).alias("touch_weight")), "account", "left")
     else:
         out = out.withColumn("touch_weight", F.lit(None).cast("double"))
-    out = out.fillna(0, ["communities_near", "cycles", "touch_weight"]).withColumn("_hub", hub_threshold(degrees))
+    out = out.fillna(0, ["communities_near", "touch_weight"]).fillna(False, ["on_cycle"]).withColumn("_hub", hub_threshold(degrees))
     d = F.col("degree")
     role = (
         F.when(F.col("communities_near") >= BRIDGE_MIN, "bridge")
         .when(d >= F.col("_hub"), "hub")
-        .when((F.col("cycles") >= 1) & (d <= MULE_CYCLE_DEGREE), "mule")
+        .when(F.col("on_cycle") & (d <= MULE_CYCLE_DEGREE), "mule")
         .when((d <= MULE_TOUCH_DEGREE) & (F.col("touch_weight") > 0), "mule")
         .otherwise("peripheral")
     )

@@ -32,7 +32,7 @@ def _payments(t):
 
 
 def _degrees(t):
-    return G.account_degrees(_spokes(t), _payments(t)).select("account", "degree")
+    return G.account_degrees(_spokes(t), _payments(t))
 
 
 HUB = "replace(kind, 'shared_', '') || ':d:' || substr(sha256('d:' || value), 1, 14)"
@@ -66,16 +66,35 @@ def _(t):
     return _payments(t).withColumn("total_amount", F.round("total_amount", 4))
 
 
+ON_CYCLE = """e AS (SELECT DISTINCT payer AS src, payee AS dst FROM pe WHERE payer <> payee),
+reach AS (SELECT src AS v, dst AS r FROM e UNION SELECT reach.v, e.dst FROM reach JOIN e ON e.src = reach.r),
+inner_e AS (SELECT e.* FROM e JOIN reach ON reach.v = e.dst AND reach.r = e.src)"""
+#: Longest cycles that the query lists; their number grows about tenfold with each step on the test tables.
+CYCLE_LENGTH = 4
+
+
 @query(
     "graph_circular_payments",
-    f"""WITH RECURSIVE {EDGES}, e AS (SELECT payer AS src, payee AS dst FROM pe WHERE payer <> payee),
-p AS (SELECT src AS start, dst AS last, [src, dst] AS accounts, 1 AS hops FROM e WHERE dst > src
- UNION ALL SELECT p.start, e.dst, list_append(p.accounts, e.dst), p.hops + 1 FROM p JOIN e ON e.src = p.last WHERE p.hops < 3 AND e.dst > p.start AND NOT list_contains(p.accounts, e.dst))
-SELECT CAST(hops + 1 AS INT) AS cycle_length, array_to_string(list_append(accounts, start), ' → ') AS path FROM p JOIN e ON e.src = p.last AND e.dst = p.start""",
+    f"""WITH RECURSIVE {EDGES}, {ON_CYCLE},
+p AS (SELECT src AS start, dst AS last, [src, dst] AS accounts, 1 AS hops FROM inner_e WHERE dst > src
+ UNION ALL SELECT p.start, e.dst, list_append(p.accounts, e.dst), p.hops + 1 FROM p JOIN inner_e e ON e.src = p.last WHERE p.hops < {CYCLE_LENGTH} AND e.dst > p.start AND NOT list_contains(p.accounts, e.dst))
+SELECT CAST(hops + 1 AS INT) AS cycle_length, array_to_string(list_append(accounts, start), ' → ') AS path, (SELECT count(*) > 0 FROM p WHERE hops = {CYCLE_LENGTH}) AS truncated
+FROM p JOIN inner_e e ON e.src = p.last AND e.dst = p.start WHERE hops < {CYCLE_LENGTH}""",
+    PAY,
+)
+def _(t):
+    return Y.circular_payments(_payments(t), max_len=CYCLE_LENGTH).select("cycle_length", "path", "truncated")
+
+
+@query(
+    "graph_payment_cores",
+    f"""WITH RECURSIVE {EDGES}, {ON_CYCLE},
+pairs AS (SELECT a.v, a.r FROM reach a JOIN reach b ON a.v = b.r AND a.r = b.v)
+SELECT v AS account, min(r) AS component, count(DISTINCT r) AS size FROM pairs GROUP BY v HAVING count(DISTINCT r) > 1""",
     PAY,
 )
 def _(t):
-    return Y.circular_payments(_payments(t), max_len=4).select("cycle_length", "path")
+    return Y.strongly_connected(_payments(t))
 
 
 @query(
@@ -106,7 +125,7 @@ def _(t):
 
 def _communities(t):
     found = L.louvain(G.ring_edges(_spokes(t), _payments(t)))
-    return found.filter(G.is_account(F.col("vertex"))).select(F.col("vertex").alias("account"), "community_id")
+    return found.filter(G.is_account(F.col("vertex"))).select(F.col("vertex").alias("account"), "community_id", "settled")
 
 
 @query("graph_communities")
@@ -122,8 +141,7 @@ def _(t):
 def _roles(t):
     degrees = _degrees(t)
     near = G.neighbor_communities(_spokes(t), _payments(t), _communities(t))
-    cycles = Y.cycles_per_account(Y.circular_payments(_payments(t), max_len=3))
-    return cut_lineage(G.account_roles(degrees, near, cycles))
+    return cut_lineage(G.account_roles(degrees, near, Y.strongly_connected(_payments(t))))
 
 
 @query("graph_roles")

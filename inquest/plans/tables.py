@@ -50,7 +50,7 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer}
     "v_payments": """
 SELECT user_id AS payer, {K} AS payee, value AS amount, ts FROM {events} WHERE event_type = 'purchase'""",
     "v_links": """
-SELECT acc_id AS account_id, hardware_id AS device_id, 'addr ' || CAST(event_id % 400 AS VARCHAR(20)) AS address,
+SELECT acc_id AS account_id, CASE WHEN event_id % 11 = 0 THEN 'hw_shared_' || CAST(event_id % 53 AS VARCHAR(20)) ELSE hardware_id END AS device_id, 'addr ' || CAST(event_id % 400 AS VARCHAR(20)) AS address,
  'tel ' || CAST(event_id % 1100 AS VARCHAR(20)) AS phone FROM {v_sessions}""",
     "v_case_rows": """
 SELECT 'case_' || CAST(EXTRACT(DAY FROM ts) % 7 AS VARCHAR(20)) AS source_case_id, event_id AS row_index, ts AS upload_timestamp, 'U_' || CAST(user_id AS VARCHAR(20)) AS user_id, '10.9.' || CAST({K} AS VARCHAR(20)) || '.1' AS ip_address, event_type, value AS amount FROM {events}""",

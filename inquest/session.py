@@ -56,10 +56,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = shared_scratch(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step._step_folder = path
+    return step
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a scratch folder that nothing reads any more, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace_step(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new``, written as by ``cut_lineage``; then ``old``, a step of its own that ``new`` was made from and nothing else reads, goes."""
+    done = cut_lineage(new)
+    remove_folder(old.sparkSession, old._step_folder)
+    return done

@@ -66,6 +66,75 @@ def test_cycles(spark):
     assert got == brute_cycles(edges, 5) and got
     few = Y.circular_payments(df, max_len=5, max_cycles=2).collect()
     assert len(few) == 2 and all(r.truncated == (len(got) > 2) for r in few)
+    whole = Y.circular_payments(df, max_len=12).collect()
+    assert {tuple(r.accounts) for r in whole} == brute_cycles(edges, 12) and not any(r.truncated for r in whole)
+    assert len(whole) > len(got) and all(r.truncated for r in Y.circular_payments(df, max_len=3).collect())
+
+
+def brute_strong(edges):
+    succ = {}
+    for a, b in edges:
+        succ.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for n in succ.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    after = {a: reach(a) for a in succ}
+    out = {a: min(b for b in after[a] if a in after.get(b, ())) for a in succ if a in after[a]}
+    return {a: c for a, c in out.items() if sum(c == d for d in out.values()) > 1}
+
+
+@pytest.mark.parametrize("seed", [3, 6])
+def test_strong_components(spark, seed):
+    """A long ring, rings with tails and bridges between them, self payments, and random edges."""
+    rnd = random.Random(seed)
+    edges = [(f"r{i:02d}", f"r{(i + 1) % 17:02d}") for i in range(17)]
+    edges += [("m0", "m1"), ("m1", "m2"), ("m2", "m0"), ("m1", "r03"), ("a", "m0"), ("r05", "z"), ("z", "z"), ("z", "y")]
+    edges += [(f"n{rnd.randrange(40):02d}", f"n{rnd.randrange(40):02d}") for _ in range(48)]
+    got = {r.account: r.component for r in Y.strongly_connected(spark.createDataFrame(edges, "payer string, payee string")).collect()}
+    assert got == brute_strong([(a, b) for a, b in edges if a != b])
+    assert got["r16"] == "r00" and got["m2"] == "m0" and "z" not in got
+    assert Y.strongly_connected(spark.createDataFrame([("a", "b"), ("b", "b")], "payer string, payee string")).count() == 0
+
+
+def brute_degrees(pairs, payments, touches):
+    near = {}
+    for a, b in payments:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for e, a in touches:
+        near.setdefault(a, set()).add(("employee", e))
+    groups = {}
+    for v, a in pairs:
+        groups.setdefault(v, set()).add(a)
+    for members in groups.values():
+        for a in members:
+            near.setdefault(a, set()).update(members - {a})
+    return {a: len(n) for a, n in near.items() if n}
+
+
+@pytest.mark.parametrize("exact_group, max_subsets", [(200, 8), (3, 8), (3, 2), (3, 0), (10_000, 8)])
+def test_degrees_are_exact_for_groups_of_any_size(spark, exact_group, max_subsets):
+    """One value on a third of all accounts, two more large ones that overlap it, small ones, payments inside and across."""
+    rnd = random.Random(7)
+    n = 900
+    pairs = {("hot", i) for i in range(0, n, 3)} | {("big", i) for i in range(250)} | {("wide", i) for i in range(200, 520)}
+    pairs |= {(f"v{rnd.randrange(120)}", rnd.randrange(n)) for _ in range(500)}
+    payments = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(300)]
+    touches = [("e1", 5), ("e1", 880), ("e2", 5)]
+    df = spark.createDataFrame([(f"a{a:03d}", v) for v, a in pairs], "acc string, phone string")
+    pay = spark.createDataFrame([(f"a{a:03d}", f"a{b:03d}", 1) for a, b in payments], "payer string, payee string, transfer_count int")
+    touch = spark.createDataFrame([(e, f"a{a:03d}") for e, a in touches], "employee_id string, account_id string")
+    spokes = G.shared_values(df, "acc", {"shared_phone": "phone"})
+    got = G.account_degrees(spokes, pay, touch, exact_group=exact_group, max_subsets=max_subsets)
+    assert {int(r.account[1:]): r.degree for r in got.collect()} == brute_degrees(pairs, payments, touches)
 
 
 def test_planted_communities(spark):
@@ -80,6 +149,59 @@ def test_planted_communities(spark):
     good = spark.createDataFrame([(r.vertex, r.community_id) for r in found], "v string, c string")
     whole = good.withColumn("c", F.lit("x"))
     assert L.modularity(base, good) > 0.5 > L.modularity(base, whole)
+    assert all(r.settled for r in found)
+
+
+def plain_louvain(edges):
+    """Vertex by vertex, level by level; modularity of what comes out."""
+    weight = {}
+    for a, b in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+        weight[a, b] = weight[b, a] = 1.0
+    total, level, member = sum(weight.values()), dict(weight), {v: v for e in weight for v in e}
+
+    def quality(of):
+        tot, inside = {}, 0.0
+        for (a, b), w in weight.items():
+            tot[of[a]] = tot.get(of[a], 0.0) + w
+            inside += w * (of[a] == of[b])
+        return inside / total - sum(x * x for x in tot.values()) / total**2
+
+    while True:
+        nodes = sorted({v for e in level for v in e})
+        k = {v: sum(w for (a, _), w in level.items() if a == v) for v in nodes}
+        own, tot, moved = {v: v for v in nodes}, dict(k), True
+        while moved:
+            moved = False
+            for v in nodes:
+                tot[own[v]] -= k[v]
+                near = {own[v]: 0.0}
+                for (a, b), w in level.items():
+                    if a == v and b != v:
+                        near[own[b]] = near.get(own[b], 0.0) + w
+                best = max(sorted(near), key=lambda c: (round(near[c] - k[v] * tot[c] / total, 9), c == own[v]))
+                moved, own[v] = moved or best != own[v], best
+                tot[best] += k[v]
+        merged = {v: own[c] for v, c in member.items()}
+        if quality(merged) <= quality(member) + 1e-6:
+            return quality(member)
+        member, new = merged, {}
+        for (a, b), w in level.items():
+            new[own[a], own[b]] = new.get((own[a], own[b]), 0.0) + w
+        level = new
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_communities_rest_near_a_plain_run(spark, seed):
+    """Planted groups with many links between them: no bound is met, and modularity is that of a plain run, or near it."""
+    rnd = random.Random(seed)
+    edges = [(f"{g}{rnd.randrange(12):02d}", f"{g}{rnd.randrange(12):02d}") for g in "abcde" for _ in range(40)]
+    edges += [(f"{rnd.choice('abcde')}{rnd.randrange(12):02d}", f"{rnd.choice('abcde')}{rnd.randrange(12):02d}") for _ in range(30)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    found = L.louvain(df).collect()
+    assert all(r.settled for r in found)
+    base = L._both_ways(df, "src", "dst")
+    got = L.modularity(base, spark.createDataFrame([(r.vertex, r.community_id) for r in found], "v string, c string"))
+    assert got >= plain_louvain(edges) - 0.02
 
 
 def test_neighbor_communities_against_pairs(spark):
@@ -91,7 +213,7 @@ def test_neighbor_communities_against_pairs(spark):
     got = {r.account: r.communities_near for r in G.neighbor_communities(spokes, None, spark.createDataFrame(list(comm.items()), "account string, community_id string")).collect()}
     for a in comm:
         near = {comm[b] for _, v, x in pairs if x == a for _, w, b in pairs if w == v and b != a}
-        assert got.get(a, 0) == min(3, len(near))
+        assert got.get(a, 0) == len(near)
 
 
 def test_three_hop_counts_match_the_folded_paths(spark):
