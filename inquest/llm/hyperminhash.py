@@ -134,8 +134,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
     return bottom * common >= top * (len(a) + len(b) - common)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time: sets are as large as their texts."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         digests = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
         regs = [registers(s).tobytes() if len(s) else None for s in sets]
@@ -149,7 +156,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         nums, out = batch.column(0).to_numpy(), [bands(r) for r in _regs(batch.column(1))]
         if out:
             yield pa.RecordBatch.from_arrays(
@@ -213,16 +220,17 @@ def _likely_pairs(similarity):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in place of texts; rows that repeat a text of the task go."""
+    """Shingles and registers in place of texts; rows that repeat a text of the task go."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in _slices(batches):
         nums, sets = [], []
         for num, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if num not in seen:
                 seen.add(num)
                 nums.append(num)
-                sets.append(shingle_set(text).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(sets, pa.binary())], ["num", "shingles"])
+                sets.append(shingle_set(text))
+        columns = [pa.array(nums, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["num", "size", "regs", "shingles"])
 
 
 def _followers(similarity):
@@ -347,7 +355,7 @@ def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chun
     kind = rows.schema["key"].dataType.simpleString()
     keyed = rows.select(F.struct("key", "a", "b").alias("key"), "text")
     marked = land(keyed.mapInArrow(_sketched, f"key struct<key:{kind},a:long,b:long>, digest binary, size long, regs binary"), f"{folder}/marked")
-    prints = marked.filter("size > 0").groupBy("digest").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("regs").alias("regs"))
+    prints = marked.filter("size > 0").groupBy("digest").agg(F.min("key").alias("least"), F.first("regs").alias("regs"))
     prints = land(prints.withColumn("num", F.monotonically_increasing_id()), f"{folder}/prints")
 
     # Texts that share a band, and the leader of the band.
@@ -357,14 +365,17 @@ def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chun
     # A text follows the leader of most of its bands.
     votes = shared.filter("num <> leader").groupBy("num", "leader").agg(F.count("*").alias("n"))
     stars = votes.groupBy("num").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader")))["leader"].alias("leader")).select("num", (-F.col("leader")).alias("leader"))
-    sketches = prints.select("num", "size", "regs")
-    pairs = land(stars, f"{folder}/stars").join(sketches, "num").join(sketches.toDF("leader", "l_size", "l_regs"), "leader")
-    stars = land(pairs.mapInArrow(_likely_pairs(similarity), "num long, leader long"), f"{folder}/likely")
+    stars = land(stars, f"{folder}/stars")
 
+    # Full sets of all texts with a candidate. The texts meet the list of those by a shuffle at any size of the list.
     wanted = shared.select("num").distinct().join(prints.select("num", F.col("least.a").alias("w_a"), F.col("least.b").alias("w_b")), "num")
-    texts = rows.select("a", "b", "text").join(land(wanted, f"{folder}/wanted"), (F.col("a") == F.col("w_a")) & (F.col("b") == F.col("w_b")))
-    sets = land(texts.select("num", "text").mapInArrow(_sets, "num long, shingles binary"), f"{folder}/sets")
+    wanted = land(wanted, f"{folder}/wanted").hint("merge")
+    texts = rows.select("a", "b", "text").join(wanted, (F.col("a") == F.col("w_a")) & (F.col("b") == F.col("w_b")))
+    held = land(texts.select("num", "text").mapInArrow(_sets, "num long, size long, regs binary, shingles binary"), f"{folder}/sets")
+    sets, sketches = held.select("num", "shingles"), held.select("num", "size", "regs")
 
+    pairs = stars.join(sketches, "num").join(sketches.toDF("leader", "l_size", "l_regs"), "leader")
+    stars = land(pairs.mapInArrow(_likely_pairs(similarity), "num long, leader long"), f"{folder}/likely")
     # Followers meet their leader, each leader once per chunk of followers.
     fans = stars.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     dealt = land(stars.join(fans, "leader").select("num", "leader", F.pmod(F.xxhash64("num"), F.col("chunks")).alias("part")), f"{folder}/dealt")
