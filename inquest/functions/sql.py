@@ -1,14 +1,19 @@
 """The scalar functions for SQL users, and read-only SQL on one case table.
 
-They are SQL functions, so the optimizer puts their bodies in place; nothing runs
-in Python.
+The scalar ones are SQL functions, so the optimizer puts their bodies in place; nothing
+runs in Python. Table functions run in Python, a row of the table at a time.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from inquest.functions.scalar import DISPOSABLE_DOMAINS, EARTH_RADIUS_MILES, HOSTING_PATTERN
+from inquest.functions.text import CHUNK_BREAK
 
 _DOMAINS = ", ".join(f"'{d}'" for d in DISPOSABLE_DOMAINS)
 _HOSTING = HOSTING_PATTERN.replace("\\", "\\\\")
@@ -33,11 +38,44 @@ SQL_FUNCTIONS = {
 }
 
 
+_BLANKS = " \t\n\f\r"
+
+
+@udtf(returnType="chunk_index int, text string")
+class ChunkText:
+    """``chunk_text(body, max_chars, overlap)``: the chunks of a text as rows, as ``chunk_table`` makes them.
+
+    A null text has none, and neither has one of white space alone.
+    """
+
+    def eval(self, body: str, max_chars: int, overlap: int) -> Iterator[tuple[int, str]]:
+        held, index = "", 0
+        for part in re.split(CHUNK_BREAK, (body or "").strip(_BLANKS)):
+            part = part.strip(_BLANKS)
+            for piece in (part[i : i + max_chars] for i in range(0, len(part), max_chars)):
+                if len(held) + len(piece) + 2 <= max_chars:
+                    held = f"{held}\n\n{piece}".strip(_BLANKS) if held else piece
+                    continue
+                if held:
+                    yield index, held
+                    index += 1
+                    # Slices from the end need a length above 0.
+                    held = held[len(held) - overlap :] if len(held) > overlap else held
+                held = f"{held}\n\n{piece}".strip(_BLANKS) if held else piece
+        if held:
+            yield index, held
+
+
+TABLE_FUNCTIONS = {"chunk_text": ChunkText}
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Make the functions known in the session; returns their names."""
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [h.split("(")[0] for h in SQL_FUNCTIONS]
+    for name, function in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, function)
+    return [*(h.split("(")[0] for h in SQL_FUNCTIONS), *TABLE_FUNCTIONS]
 
 
 def run_select(dataset: DataFrame, sql: str, limit: int | None = None) -> DataFrame:

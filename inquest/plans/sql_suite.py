@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inquest.functions.sql import register_functions, run_select
+from inquest.plans.functions_suite import CHUNK_SQL
 from inquest.plans.registry import query
 
 SESSIONS, TXN = ("v_sessions",), ("v_txn",)
@@ -30,3 +31,13 @@ CASE_SQL = """SELECT status, count(*) AS n, round(sum(amount), 2) AS total FROM
 @query("sql_dataset", CASE_SQL.replace("{dataset}", "v_txn"), TXN)
 def _(t):
     return run_select(t.v_txn, CASE_SQL)
+
+
+@query("sql_chunk_table", f"WITH {CHUNK_SQL} SELECT doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, sha256(string_agg(text, '|' ORDER BY chunk_index)) AS digest FROM chunk_rows GROUP BY doc_id")
+def _(t):
+    register_functions(t.spark)
+    return t.sql(
+        """SELECT doc_id, count(*) AS chunks, sum(length(text)) AS chars, sha2(array_join(transform(array_sort(collect_list(struct(chunk_index, text))), x -> x.text), '|'), 256) AS digest
+ FROM (SELECT d.doc_id, c.chunk_index, c.text FROM {d} d, LATERAL chunk_text(d.text, 900, 150) c) GROUP BY doc_id""",
+        d=t.documents,
+    )
