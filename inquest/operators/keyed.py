@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inquest.functions.scalar import epoch_us
+from inquest.session import cut_lineage
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -35,31 +36,58 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, span_us: int) -> Dat
     return counted.select(*keys, ts, "n", "in_window")
 
 
+#: A key with more rows is cut by quantiles of its times, not by days alone.
+BUSY_ROWS = 100_000
+#: Quantiles of a busy key; a bucket has about so small a part of its rows.
+BUSY_CUTS = 1000
+
+
+def with_time_buckets(df: DataFrame, keys: list[str], us: str, bucket_us: int = DAY_US, busy_rows: int = BUSY_ROWS, cuts: int = BUSY_CUTS) -> DataFrame:
+    """Adds ``_slot`` and ``_sub``, which rise with the time ``us`` within a key: the day, and in a busy key the quantile in it.
+
+    Equal times of a key are in one bucket. Keys are counted first; only for the busy ones a sketch of their times is
+    made, and written, so that every use of the result agrees on it. Rows without a key must not come here.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > busy_rows).select(*keys)
+    busy = df.select(*keys, us).join(cut_lineage(sizes), keys, "left_semi")
+    marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    found = busy.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(us, marks, F.lit(SKETCH))).alias("_cuts"))
+    # Cuts are joined by day, so a row looks through those of its day alone.
+    day = F.floor(F.col("_cut") / bucket_us)
+    by_day = cut_lineage(found.select(*keys, F.explode("_cuts").alias("_cut")).groupBy(*keys, day.alias("_slot")).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")))
+    placed = df.withColumn("_slot", F.floor(F.col(us) / bucket_us)).join(by_day, [*keys, "_slot"], "left")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(us)))
+    return placed.withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+
+
 def previous_row(
-    df: DataFrame, keys: list[str], ts: str, payload: list[str], tie: str, bucket_us: int = DAY_US, name: str = "previous", usable: Column | None = None
+    df: DataFrame, keys: list[str], ts: str, payload: list[str], tie: str, bucket_us: int = DAY_US, name: str = "previous", usable: Column | None = None, busy_rows: int = BUSY_ROWS
 ) -> DataFrame:
     """Adds struct ``name`` with ``ts``, ``tie`` and ``payload`` of the latest row strictly before.
 
     Rows where ``usable`` is false get an answer but are never one. Rows of one
-    instant do not see each other. A row without a key gets no answer and is none;
-    such rows are spread by their ``tie``, however many there are.
+    instant do not see each other. A row without a key gets no answer and is none; it takes part in nothing.
+    A key's rows are worked on in buckets of time, one day at most, and smaller ones where a key has many rows.
     """
     ok, keyed = usable if usable is not None else F.lit(True), F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
-    ok = ok & keyed
     seen = F.when(ok, F.struct(F.col("_us").alias("us"), F.col(tie).alias(tie), F.col(ts).alias(ts), *[F.col(c).alias(c) for c in payload]))
-    rows = df.withColumn("_us", epoch_us(F.col(ts))).withColumn("_slot", F.when(keyed, F.floor(F.col("_us") / bucket_us)).otherwise(F.xxhash64(tie))).withColumn("_seen", seen)
-    inside = W.partitionBy(*keys, "_slot").orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
+    timed = df.withColumn("_us", epoch_us(F.col(ts)))
+    known = keyed & F.col("_us").isNotNull()
+    rows = with_time_buckets(timed.filter(known), keys, "_us", bucket_us, busy_rows).withColumn("_seen", seen)
+    inside = W.partitionBy(*keys, "_slot", "_sub").orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.max("_seen").over(inside))
     # One row per key and bucket: the last usable row of all earlier buckets.
-    heads = rows.groupBy(*keys, "_slot").agg(F.max("_seen").alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    heads = rows.groupBy(*keys, "_slot", "_sub").agg(F.max("_seen").alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_slot", "_sub").rowsBetween(W.unboundedPreceding, -1)
     carry = heads.withColumn("_carry", F.max("_last").over(before)).drop("_last")
-    joined = local.join(carry, [*keys, "_slot"], "left")
+    joined = local.join(carry, [*keys, "_slot", "_sub"], "left")
     prev = F.coalesce("_local", "_carry")
     packed = F.when(prev.isNotNull(), F.struct(prev[ts].alias(ts), prev[tie].alias(tie), *[prev[c].alias(c) for c in payload]))
-    return joined.withColumn(name, packed).drop("_us", "_slot", "_seen", "_local", "_carry")
+    found = joined.withColumn(name, packed).select(*df.columns, name)
+    none = timed.filter(~F.coalesce(known, F.lit(False))).select(*df.columns, F.lit(None).cast(found.schema[name].dataType).alias(name))
+    return found.unionByName(none)
 
 
 #: Rank error of the sketch is one in so many rows; keys of fewer rows are ranked whole.

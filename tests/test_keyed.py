@@ -47,6 +47,29 @@ def test_previous_row(frame, rows):
             assert (got[i].id, got[i].v) == (want[0], want[3])
 
 
+def test_previous_row_of_a_key_with_most_rows_in_one_day(spark):
+    """19 of 20 rows are one key's on one day: the result is that of a plain window, and no bucket has more than a few hundredths."""
+    rnd = random.Random(3)
+    data = [(i, "hot" if i % 20 else f"k{i % 3}", T0 + dt.timedelta(seconds=rnd.randrange(86_400)), float(rnd.randrange(50))) for i in range(4000)]
+    data += [(4000 + i, "hot", T0 + dt.timedelta(days=i + 1), 20.0) for i in range(5)] + [(5000, "hot", None, 1.0), (5001, None, T0, 1.0)]
+    df = spark.createDataFrame(data, "id long, key string, ts timestamp_ntz, v double")
+    got = {r.id: r.previous for r in K.previous_row(df, ["key"], "ts", ["v"], "id", usable=F.col("v") >= 10, busy_rows=1000).collect()}
+    assert len(got) == len(data) and got[5000] is None and got[5001] is None
+    by_key = {}
+    for i, key, ts, v in data:
+        if key and ts:
+            by_key.setdefault(key, []).append((ts, i, v))
+    for rows_ in by_key.values():
+        last, at, rows_ = None, 0, sorted(rows_)
+        for ts, i, v in rows_:
+            while at < len(rows_) and rows_[at][0] < ts:
+                last, at = rows_[at] if rows_[at][2] >= 10 else last, at + 1
+            assert (got[i] is None) == (last is None) and (last is None or (got[i].id, got[i].v) == (last[1], last[2]))
+    timed = df.dropna(subset=["key", "ts"]).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    sizes = K.with_time_buckets(timed, ["key"], "_us", busy_rows=1000).groupBy("key", "_slot", "_sub").count()
+    assert sizes.agg(F.max("count")).first()[0] < 0.03 * len(data)
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.85, 1.0])
 def test_quantile_by_key(frame, rows, q):
     got = {r.key: r.quantile for r in K.quantile_by_key(frame, ["key"], "v", q).collect()}
