@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from inquest.functions import scalar as S
 from inquest.operators.relational import consecutive_suffixes, share_of_total, window_counts, with_membership
 from inquest.roles import ColumnRoles
+from inquest.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -155,18 +156,21 @@ def _sized(entries: DataFrame, roles: ColumnRoles, p: BotParams) -> DataFrame:
 
 
 def members(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), rules: tuple[str, ...] = RULES) -> DataFrame:
-    """(cluster_type, cluster_key, account_id) of every qualified cluster."""
-    entries = facets(df, roles, p, rules)
+    """(cluster_type, cluster_key, account_id) of every qualified cluster. The table is read once; its facets are written."""
+    return _members(cut_lineage(facets(df, roles, p, rules)), roles, p)
+
+
+def _members(entries: DataFrame, roles: ColumnRoles, p: BotParams) -> DataFrame:
     accounts = entries.filter("facet = 'account'").select(*KEY, F.col("value").alias("account_id"))
     return accounts.join(_sized(entries, roles, p).select(*KEY), KEY, "left_semi")
 
 
 def clusters(df: DataFrame, roles: ColumnRoles, p: BotParams = BotParams(), rules: tuple[str, ...] = RULES) -> DataFrame:
-    """One row per cluster: type, key, size, signals, and the counts behind them."""
-    sized = _sized(facets(df, roles, p, rules), roles, p)
+    """One row per cluster: type, key, size, signals, and the counts behind them. The table is read once; its facets are written."""
+    entries = cut_lineage(facets(df, roles, p, rules))
+    sized = _sized(entries, roles, p)
     if "time_burst" in rules:
-        # The handles of burst members need the account and time columns only.
-        bursts = members(df, roles, p, ("time_burst",))
+        bursts = _members(entries.filter("cluster_type = 'time_burst'"), roles, p)
         runs = consecutive_suffixes(bursts, "account_id", KEY).select(*KEY).distinct().withColumn("sequential", F.lit(True))
         marked = sized.join(runs, KEY, "left").withColumn("sequential", F.coalesce("sequential", F.lit(False)))
     else:
@@ -231,11 +235,13 @@ def hardware_spoofing(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 def hardware_forensics(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     """One row on the dominant fingerprint: addresses, accounts, verdict, and whether to pin it."""
-    top = canvas_distribution(df, roles, 1)
-    n_prints = df.agg(F.count_distinct(roles.fingerprint)).scalar()
-    n_rows = df.agg(F.count("*")).scalar()
-    on_top = df.join(F.broadcast(top.select(F.col("fingerprint").alias(roles.fingerprint))), roles.fingerprint, "left_semi")
-    accounts = on_top.agg(F.count_distinct(roles.user)).scalar() if roles.user else F.col("row_count")
+    # One pass over the table, then one row per fingerprint; rows without one count among all rows.
+    user = F.count_distinct(roles.user) if roles.user else F.count("*")
+    per = df.groupBy(S.text(F.col(roles.fingerprint)).alias("fingerprint")).agg(F.count("*").alias("row_count"), F.count_distinct(roles.ip).alias("distinct_ips"), user.alias("accounts"))
+    per = cut_lineage(per)
+    n_rows, n_prints = per.agg(F.sum("row_count")).scalar(), per.agg(F.count("fingerprint")).scalar()
+    top = per.filter("fingerprint IS NOT NULL").orderBy(F.col("row_count").desc(), "fingerprint").limit(1)
+    top, accounts = top.withColumn("share_pct", 100.0 * F.col("row_count") / n_rows), F.col("accounts")
     spoofed = _diverse(95.0, 5, 0.45) & (F.col("row_count") >= 5)
     critical = (F.col("share_pct") >= 99.5) | ((n_prints == 1) & (F.col("row_count") >= 0.99 * n_rows))
     pin = spoofed | _diverse(90.0, 5, 0.0) & (F.col("distinct_ips") >= F.greatest(F.lit(3), F.floor(0.15 * F.col("row_count"))))
