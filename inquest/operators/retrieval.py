@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inquest.functions.scalar import cosine
 from inquest.operators.keyed import top_per_key
+from inquest.session import cut_lineage
 
 # Hits kept per ranking, fusion constant, BM25 constants, least idf, prototype floor.
 HITS = 20
@@ -94,11 +96,10 @@ def words(body: Column) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
-    """(query_id, id, score, rank): best texts per query, any word of three letters and more counts.
+def bm25_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, term, part) of all asked words in all texts, and (query_id, term, df, idf, bound), both written.
 
-    ``docs`` has (id, text), ``queries`` has (query_id, text). Only words that some
-    query asks for leave the text scan, already counted per text.
+    ``part`` is a word's score in a text before its weight, ``bound`` the most that the word can add to a text's score.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) > 2))).alias("term"))
     asked = terms.select("term").distinct()
@@ -106,12 +107,50 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
     stats = tokens.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean")).alias("st")).scalar()
     hits = tokens.select("id", F.size("_w").alias("len"), F.explode("_w").alias("term")).join(asked, "term", "left_semi")
     tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    # Counting by value keeps the column, so both uses of the counts share one shuffle.
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    parts = cut_lineage(tf.select("id", "term", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / stats["mean"]))).alias("part")))
+    per = parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     raw = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").withColumn("idf", F.when(raw > 0, raw).otherwise(MIN_IDF)).select("query_id", "term", "idf")
-    part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / stats["mean"]))
-    scored = tf.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    weighed = terms.join(per, "term").withColumn("idf", F.when(raw > 0, raw).otherwise(MIN_IDF))
+    return parts, cut_lineage(weighed.select("query_id", "term", "df", "idf", (F.col("idf") * F.col("most")).alias("bound")))
+
+
+#: Texts with a selective word that are scored first, per wanted hit; they set the threshold of a query.
+FIRST_TEXTS = 20
+
+
+def split_terms(parts: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``weights`` with ``floor`` and ``essential``: the least score among the best ``k`` is no lower than the floor, and a text
+    with no essential word of the query cannot reach it.
+
+    The floor is the ``k``-th best score by the rarest words alone. The words that add least are not essential as long as
+    their bounds together stay below it.
+    """
+    rising = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    rare = weights.withColumn("before", F.coalesce(F.sum("df").over(rising), F.lit(0))).filter(F.col("before") < FIRST_TEXTS * k)
+    first = parts.join(rare.select("query_id", "term", "idf"), "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+    best = top_per_key(first, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    # Scores are compared after rounding, so the floor gives way by more than that.
+    floors = best.filter(F.col("rank") == k).select(F.col("query_id").alias("f_id"), (F.col("score") - 1e-5).alias("floor"))
+    joined = weights.join(floors, F.col("query_id") == F.col("f_id"), "left").drop("f_id").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    least = W.partitionBy("query_id").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn("essential", F.sum("bound").over(least) >= F.col("floor"))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
+    """(query_id, id, score, rank): best texts per query, any word of three letters and more counts.
+
+    ``docs`` has (id, text), ``queries`` has (query_id, text). Only words that some query asks for leave the text scan,
+    already counted per text. Exact top ``k`` by bounds: texts are gathered by a query's essential words; those that could
+    not reach the floor with all the other words go, and only for the rest are the common words looked up.
+    """
+    parts, weights = bm25_weights(docs, queries)
+    split = cut_lineage(split_terms(parts, weights, k))
+    found = parts.join(split.filter("essential").select("query_id", "term", "idf"), "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+    limits = split.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    held = cut_lineage(found.join(limits, "query_id").filter(F.col("score") + F.col("rest") >= F.col("floor")).select("query_id", "id", "score"))
+    common = split.filter(~F.col("essential")).select("query_id", "term", "idf")
+    more = held.select("query_id", "id").join(common, "query_id").join(parts, ["id", "term"]).select("query_id", "id", (F.col("idf") * F.col("part")).alias("score"))
+    scored = held.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     # Equal texts have equal scores up to the order of the sum; rounding keeps their order by id.
     best = top_per_key(scored, ["query_id"], [F.round("score", 6).desc(), F.col("id")], k)
     return best.withColumn("rank", F.col("rank") - 1)
