@@ -15,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inquest.llm.common import ascii_lower, land, scratch
+from inquest.llm.common import ascii_lower, land, row_keys, scratch
 
 WINDOW = 10
+#: A proximity match: so many consecutive words hold so large a share of a window's distinct terms.
+SPAN, SHARE = 20, (4, 5)
 #: Runs of characters below U+0080 that are neither digits nor a-z separate words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -106,26 +108,45 @@ def exact_matches(index: Index, window: int = WINDOW) -> DataFrame:
     return runs.select("row", "item", "item_id", F.col("first").alias("begin"), F.col("last").alias("end"))
 
 
-def proximity_matches(index: Index, window: int = WINDOW, span: int = 20) -> DataFrame:
-    """(row, item_id, begin): places where the two rarest terms of an item's window stand at most ``span`` words apart.
+def _windows_of(index: Index, window: int) -> DataFrame:
+    """(item, start, tids): the distinct terms of each window of each item, rarest first, those that no document has before all."""
+    items = index.items.join(index.frequency, "tid", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    first, last = F.greatest(F.lit(0), F.col("off") - window + 1), F.greatest(F.lit(0), F.least("off", F.col("n") - window))
+    terms = items.withColumn("start", F.explode(F.sequence(first, last)))
+    return terms.groupBy("item", "start").agg(F.sort_array(F.collect_set(F.struct("df", "tid")))["tid"].alias("tids"))
+
+
+def proximity_matches(index: Index, window: int = WINDOW, span: int = SPAN, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(row, item): documents in which ``span`` consecutive words hold at least ``share`` of the distinct terms of a window of the item.
 
-    ``begin`` is the position of the rarer one. Windows of one term alone have no second one and are left to ``exact_matches``.
+    Order and repeats do not count. Windows of one distinct term have no such match. Of the distinct terms of a window a
+    match lacks at most n - need, so it has two of the n - need + 2 rarest: only where two different ones of an item's
+    stand within a span are the other terms looked up, position by position.
     """
-    items = index.items.join(index.frequency, "tid")
-    first, last = F.greatest(F.lit(0), F.col("off") - window + 1), F.greatest(F.lit(0), F.least("off", F.col("n") - window))
-    terms = items.withColumn("start", F.explode(F.sequence(first, last))).select("item", "item_id", "start", "tid", "df").distinct()
-    ranked = terms.withColumn("k", F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "tid"))).filter("k <= 2")
-    pairs = ranked.groupBy("item", "item_id", "start").agg(F.min(F.when(F.col("k") == 1, F.col("tid"))).alias("t1"), F.min(F.when(F.col("k") == 2, F.col("tid"))).alias("t2"))
-    pairs = pairs.filter("t2 IS NOT NULL").select("item_id", "t1", "t2").distinct()
+    top, bottom = share
+    size = F.size("tids")
+    need = F.ceil(size * top / bottom).cast("int")
+    windows = land(_windows_of(index, window).withColumn("need", need).filter("need >= 2").withColumn("win", F.monotonically_increasing_id()), f"{index.folder}/windows")
+    rare = land(windows.select("item", F.explode(F.slice("tids", 1, size - F.col("need") + 2)).alias("tid")).distinct(), f"{index.folder}/rare-terms")
     postings = index.postings.filter("tid IS NOT NULL").select("row", "pos", "tid")
-    seen = postings.join(pairs, F.col("tid") == F.col("t1")).select("item_id", "row", F.col("pos").alias("begin"), "t2")
-    other = postings.select(F.col("row").alias("o_row"), F.col("pos").alias("o_pos"), F.col("tid").alias("o_tid"))
-    close = (F.col("row") == F.col("o_row")) & (F.col("t2") == F.col("o_tid")) & (F.abs(F.col("begin") - F.col("o_pos")) <= span)
-    return seen.join(other, close, "left_semi").select("row", "item_id", "begin").distinct()
+    seen = postings.join(rare, "tid")
+    line = Window.partitionBy("row", "item").orderBy("pos")
+    apart = F.lead("pos").over(line) - F.col("pos")
+    beside = seen.withColumns({"apart": apart, "other": F.lead("tid").over(line)}).filter(F.col("apart") < span).filter("other <> tid")
+    # Every span that holds both of the two words begins and ends less than a span away.
+    zones = beside.select("row", "item", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") + F.col("apart") - span + 1), F.col("pos") + span - 1)).alias("pos")).distinct()
+    zones = land(zones, f"{index.folder}/zones")
+    near = land(postings.join(land(zones.select("row").distinct(), f"{index.folder}/zone-rows"), "row", "left_semi"), f"{index.folder}/zone-postings")
+    spots = near.join(zones, ["row", "pos"])
+    terms = windows.select("item", "win", "need", F.explode("tids").alias("tid"))
+    spots = spots.join(terms, ["item", "tid"]).select("row", "item", "win", "need", "pos", "tid")
+    inside = Window.partitionBy("row", "win").orderBy("pos").rangeBetween(0, span - 1)
+    return spots.withColumn("held", F.size(F.collect_set("tid").over(inside))).filter("held >= need").select("row", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **columns: str) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, n_words, n_hit (words inside matches), item_ids (sorted, as strings).
+    """One row per row of ``docs``: row, doc_id, n_words, n_hit (words inside exact matches), item_ids (of those, sorted, as
+    strings) and n_near (items with a proximity match, by id; an exact match of two distinct terms and more is one).
 
     ``row`` is a number that is unique in the result. Null and empty texts have no words and no hits. An empty
     benchmark finds nothing; an empty table gives an empty result. A null item id is written as the empty string.
@@ -141,14 +162,29 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **col
     ids = found.select("row", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id")).distinct()
     ids = ids.groupBy("row").agg(F.sort_array(F.collect_list("id")).alias("item_ids"))
     heads = index.postings.filter("pos IS NULL OR pos = 0").select("row", "doc_id", "n_words")
-    return heads.join(hit.join(ids, "row"), "row", "left").select(
+    names = index.items.select("item", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id")).distinct()
+    near = proximity_matches(index, window).join(names, "item").select("row", "id").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+    near = land(near, f"{index.folder}/near-items")
+    return heads.join(hit.join(ids, "row"), "row", "left").join(near, "row", "left").select(
         "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents with no match, with their own columns. Rows that share an id stay or go together; a null id is one id."""
-    found = contamination(docs, items, doc_id=doc_id, **options).filter("n_hit > 0").select(F.col("doc_id").alias("found_id")).distinct()
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with no match, with their own columns.
+
+    Each row is judged by its own text: rows that share an id, or have none, stay or go apart from each other; rows that are
+    equal in id and text stay or go together.
+    """
+    names = ["".join(docs.columns) + x for x in ("_a", "_b")]
+    first, second = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    keyed = docs.select(F.struct(first.alias("a"), second.alias("b")).alias("key"), F.col(f"`{text}`").alias("text"))
+    window, columns = options.pop("window", WINDOW), options
+    index = build_index(keyed, items, doc_id="key", text="text", **columns)
+    heads = index.postings.filter("pos = 0").select("row", F.col("doc_id.a").alias("found_a"), F.col("doc_id.b").alias("found_b"))
+    found = heads.join(exact_matches(index, window).select("row").distinct(), "row", "left_semi").select("found_a", "found_b").distinct()
     found = land(found, scratch(docs.sparkSession, "contaminated"))
-    return docs.join(found, docs[f"`{doc_id}`"].eqNullSafe(found["found_id"]), "left_anti")
+    rows = docs.withColumns({names[0]: first, names[1]: second})
+    same = (rows[names[0]] == found["found_a"]) & (rows[names[1]] == found["found_b"])
+    return rows.join(found, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -121,8 +121,8 @@ def _ratios(m: Column) -> dict[str, Column]:
     }
 
 
-def broken_rules(m: Column, rules: tuple[Rule, ...]) -> Column:
-    """Names of the rules that a document breaks, in the order of the table."""
+def broken_rules(m: Column, rules: tuple[Rule, ...], listed: Column | None = None) -> Column:
+    """Names of the rules that a document breaks, in the order of the table; the stop-word rule holds where ``listed`` is not true."""
     values, marks = _ratios(m), []
     for rule in rules:
         value = values[rule.measure]
@@ -131,6 +131,8 @@ def broken_rules(m: Column, rules: tuple[Rule, ...]) -> Column:
             bad = bad | (value < F.lit(rule.low))
         if rule.high is not None:
             bad = bad | (value > F.lit(rule.high))
+        if rule.measure == "stop_share" and listed is not None:
+            bad = bad & listed
         marks.append(F.when(bad, F.lit(rule.measure)))
     return F.array_compact(F.array(*marks))
 
@@ -141,10 +143,12 @@ def quality_report(
     base: tuple[Rule, ...] = BASE_RULES,
     ratios: tuple[Rule, ...] = RATIO_RULES,
     prefix: str = "q_",
+    lang: str = "lang",
 ) -> DataFrame:
     """All columns of ``docs`` and, named with ``prefix``, the counts, ``reasons``, ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged one by one.
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged one by one. The stop-word rule
+    judges rows whose language, in the column ``lang``, has a list, and rows without a language or without that column.
     An empty table gives an empty result. Columns of ``docs`` stay as they are; choose another ``prefix``
     if one of them has a name of the report (ValueError).
     """
@@ -153,9 +157,11 @@ def quality_report(
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
 
+    listed = F.col(f"`{lang}`").isNull() | F.col(f"`{lang}`").isin(list(STOP_WORDS)) if lang in docs.columns else F.lit(True)
+
     def report(m: Column) -> Column:
         failed = F.size(broken_rules(m, base)) > 0
-        reasons = broken_rules(m, base + ratios)
+        reasons = broken_rules(m, base + ratios, listed)
         flat = {"n_words": m["w"]["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"], "n_dup_lines": m["l"]["n_dup_lines"], "n_repeat_words": m["w"]["n_repeat_words"], "n_lines": m["l"]["n_lines"], "n_stops": m["w"]["n_stops"], "n_letter_words": m["w"]["n_letter_words"]}
         return F.struct(*(v.alias(k) for k, v in flat.items()), reasons.alias("reasons"), failed.alias("base_failed"), (F.size(reasons) == 0).alias("kept"))
 

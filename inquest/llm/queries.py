@@ -30,9 +30,10 @@ def _quality_sql() -> str:
     from inquest.llm.quality import STOP_WORDS
 
     stops = ", ".join("'" + x + "'" for x in sorted({x for group in STOP_WORDS.values() for x in group}))
+    langs = ", ".join(f"'{x}'" for x in STOP_WORDS)
     return rf"""
 WITH base AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS_SQL} AS w,
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {_WORDS_SQL} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 grams AS (
@@ -40,14 +41,14 @@ grams AS (
 cover AS (
   SELECT r, sum(least(3, coalesce(nxt - i, 3))) AS k FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM grams WHERE n > 1) GROUP BY r),
 counts AS (
-  SELECT b.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  SELECT b.r, doc_id, lang IS NULL OR lang IN ({langs}) AS listed, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(k, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
     len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stops, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letters
   FROM base b LEFT JOIN cover c ON b.r = c.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars / greatest(n_words, 1) NOT BETWEEN 1.5 AND 20
-    OR n_symbols / greatest(n_words, 1) > 0.3 OR n_stops / greatest(n_words, 1) < 0.02
+    OR n_symbols / greatest(n_words, 1) > 0.3 OR (listed AND n_stops / greatest(n_words, 1) < 0.02)
     OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR n_letters / greatest(n_words, 1) < 0.6) AS kept
 FROM counts"""
 
@@ -58,7 +59,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inquest.llm.quality import quality_report
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    report = quality_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    report = quality_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return report.select("doc_id", *(F.col(f"q_{x}").alias(x) for x in names))
 
 
@@ -173,9 +174,16 @@ spots AS (
   SELECT r, i, k, w[i:i + k - 1] AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wins))),
 found AS (SELECT r, i, k, item_id FROM spots JOIN wins USING (k, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
-ids AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM found GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)"""
+ids AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM found GROUP BY r),
+loose AS (SELECT item_id, row_number() OVER () AS win, list_distinct(g) AS terms, ceil(len(list_distinct(g)) * 4 / 5)::INT AS need FROM wins WHERE len(list_distinct(g)) > 1),
+places AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS p FROM docs),
+met AS (SELECT r, win, item_id, need, p, term FROM places JOIN (SELECT win, item_id, need, unnest(terms) AS term FROM loose) USING (term)),
+enough AS (SELECT r, win FROM met GROUP BY r, win, need HAVING count(DISTINCT term) >= need),
+held AS (
+  SELECT r, item_id, need, count(DISTINCT term) OVER (PARTITION BY r, win ORDER BY p RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM met SEMI JOIN enough USING (r, win)),
+near AS (SELECT r, count(DISTINCT item_id) AS n FROM held WHERE k >= need GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r) LEFT JOIN near USING (r)"""
 
 
 @corpus_query("op10_benchmark_decontamination", _DECONTAM_SQL)
@@ -185,7 +193,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
     rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ","), 256)
-    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 @corpus_query("op1_simhash_near_dedup")

@@ -1,13 +1,15 @@
 """Quality rules, URL filters and benchmark decontamination against plain loops."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
 
-from inquest.llm.decontam import build_index, contamination, drop_contaminated, proximity_matches
+from inquest.llm.decontam import contamination, drop_contaminated
 from inquest.llm.quality import quality_filter, quality_report
+from inquest.llm.queries import QUERIES
 from inquest.llm.urlrules import judge_urls
 from tests.llm.cases import empty, frame, prose, rows, split_words
 
@@ -106,8 +108,9 @@ def test_contamination(spark):
     assert len({r.row for r in found}) == len(data)
     kept = drop_contaminated(frame(spark, data), bench)
     assert kept.columns == empty(spark).columns
-    bad = {x[0] for x in data if plain_contamination(x[1], items)[1]}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(x[0]) for x in data if x[0] not in bad)
+    # Each row by its own text: of the rows without an id some go and some stay.
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str((x[0], x[1])) for x in data if not plain_contamination(x[1], items)[1])
+    assert any(x[0] is None for x in data)
 
 
 def test_contamination_of_empty_tables(spark):
@@ -117,13 +120,47 @@ def test_contamination_of_empty_tables(spark):
     assert len(none) == len(rows()) and all(r.n_hit == 0 and r.item_ids == [] for r in none)
 
 
-def test_proximity_finds_reordered_words(spark):
-    docs = spark.createDataFrame([(1, "alpha one two beta three gamma four"), (2, "beta x alpha y z gamma"), (3, "alpha " + "f " * 40 + "beta gamma")], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")
-    index = build_index(docs, bench)
-    near = proximity_matches(index, span=5).join(index.postings.select("row", "doc_id").distinct(), "row")
-    assert sorted({r.doc_id for r in near.collect()}) == [1, 2]
-
-
-def test_digest_of_no_items_is_that_of_the_empty_string(spark):
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def plain_near(text, items, window=10, span=20):
+    """Ids of items of which some window has four fifths of its distinct words in a span of the text."""
+    w, out = plain_words(text), set()
+    for item, body in items:
+        t = plain_words(body)
+        for i in range(max(1, len(t) - window + 1)):
+            terms = set(t[i : i + window])
+            if len(terms) > 1 and any(5 * len(terms & set(w[p : p + span])) >= 4 * len(terms) for p in range(len(w))):
+                out.add("" if item is None else str(item))
+    return out
+
+
+def test_proximity_against_every_span(spark):
+    """Passages reordered, spread out, with words replaced, beyond the span, and unrelated texts with many of the words."""
+    r = random.Random(12)
+    words = [f"t{i}" for i in range(60)] + ["the", "of", "and"] * 3
+    passages = [[r.choice(words) for _ in range(k)] for k in (10, 14, 25, 3, 2, 1, 40)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice((5, 30, 200)))) for _ in range(40)]
+    for p in passages:
+        for lost, filler in ((0, 0), (1, 1), (2, 0), (3, 0), (0, 1), (0, 2)):
+            some = r.sample(p, max(1, min(10, len(p)) - lost))
+            mixed = [x for y in some for x in [y] + ["f%d" % r.randrange(10**6)] * filler]
+            texts.append(" ".join(["lead"] * r.randint(0, 30) + mixed + ["tail"] * r.randint(0, 30)))
+    texts += [None, "", " ".join(passages[0]), " ".join(passages[2])]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(2, "another the of t1 t2 t3"), (None, "t5 t6 t7 nowhere t8"), (9, None)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_near for x in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: len(plain_near(t, items)) for i, t in enumerate(texts)}
+    assert got == want and sum(n > 0 for n in want.values()) > 20 and 0 in want.values()
+
+
+def test_digest_of_no_items_is_that_of_the_empty_string(spark, tmp_path):
+    frame(spark, rows()).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["op10_benchmark_decontamination"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows()) and {r.items_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_stop_words_judge_only_languages_with_a_list(spark):
+    text = " ".join(f"kata{i} {'di' if i % 3 else 'yang'}" for i in range(60))
+    data = [(i, text, lang, "s", 0, 0, "", 0.5, "") for i, lang in enumerate(("id", "en", None, "fr", "xx"))]
+    kept = {r.doc_id: r.q_kept for r in quality_report(frame(spark, data).drop("q_kept")).collect()}
+    assert kept == {0: True, 1: False, 2: False, 3: False, 4: True}
+    assert not any(r.q_kept for r in quality_report(frame(spark, data).drop("q_kept", "lang")).collect())
