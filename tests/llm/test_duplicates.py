@@ -6,7 +6,7 @@ import random
 import numpy as np
 import xxhash
 
-from inquest.llm.simhash import fingerprint, keep_one_each, links, near_duplicates
+from inquest.llm.simhash import fingerprint, links, near_duplicates
 from inquest.llm.substring import remove_repeats
 from tests.llm.cases import empty, frame, prose, rows, split_words
 
@@ -43,10 +43,7 @@ def test_classes(spark):
     least = {g: min((x[0] for x, h in zip(data, group) if h == g and x[0] is not None), default=None) for g in set(group)}
     want = sorted((str(x[0]), p, str(least[g])) for x, p, g in zip(data, prints, group))
     assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in got) == want
-    kept = keep_one_each(frame(spark, data))
-    assert kept.columns == empty(spark).columns
-    assert kept.count() == len(set(group))
-    assert near_duplicates(empty(spark)).count() == 0 and keep_one_each(empty(spark)).count() == 0
+    assert near_duplicates(empty(spark)).count() == 0
 
 
 def test_links_find_every_pair_within_three_bits(spark):
