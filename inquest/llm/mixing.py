@@ -24,6 +24,9 @@ MOST = 2
 #: Steps of the ladder on which a draw finds its source.
 LADDER = 4096
 DRAW_DIGITS = 13
+#: Rests of a document's share are counted in so many parts of one.
+REST_BITS = 30
+RESTS = 1 << REST_BITS
 
 
 @dataclass(frozen=True)
@@ -180,18 +183,34 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 def mixed_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
     """The documents that the mix takes, each as often as its words are taken, in whole documents.
 
-    A document of which a share is taken comes in with that chance, decided by a hash of its id and text, so each source
-    keeps its number of words. Rows that are equal in id and text come equally often. Columns are those of ``docs``. The mix
-    is drawn without the texts, which meet the counts in one join.
+    The documents of a source stand in line by size. Each comes as often as its share says, rounded down, and once
+    more where the running total of the rests passes a whole number. As sizes rise along the line, the words of a source's
+    copies differ from the words taken by no more than the size of its longest document (rows that are equal in id and text count as one), and
+    no document comes more often than its words may be taken. Rows that are equal in id and text come equally often.
+    Columns are those of ``docs``. The mix is drawn without the texts, which meet the counts in one join.
     """
     first, second = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     slim = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("m_size"), first.alias("m_a"), second.alias("m_b")
     )
     mix = mix_documents(slim, source="source", order=("doc_id", "m_a", "m_b"), seed=seed, **options)
-    taken = mix.docs.join(mix.taken(), "m_row").groupBy("m_a", "m_b").agg((F.sum("taken") / F.sum("m_size")).alias("share"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "m_a", "m_b"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = taken.select("m_a", "m_b", F.floor(F.col("share") + chance).cast("int").alias("m_copies")).filter("m_copies > 0")
-    copies = land(copies, scratch(docs.sparkSession, "copies"))
+    folder = scratch(docs.sparkSession, "copies")
+    taken = mix.docs.join(mix.taken(), "m_row").groupBy("m_a", "m_b").agg(
+        F.max(F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0"))).alias("m_line"), F.sum("m_size").alias("m_size"), F.sum("taken").alias("taken")
+    )
+    order = ["m_line", "m_size", "m_a", "m_b"]
+    dealt = taken.repartitionByRange(*order).sortWithinPartitions(*order)
+    rest = F.floor((F.col("taken") % F.col("m_size")) * F.lit(RESTS) / F.col("m_size")).cast("long")
+    dealt = land(dealt.withColumns({"m_part": F.spark_partition_id(), "m_place": F.monotonically_increasing_id(), "m_rest": rest}), f"{folder}/line")
+    # Rests before a document: those of earlier parts of its line, then those of earlier rows of its part.
+    parts = dealt.groupBy("m_line", "m_part").agg(F.sum("m_rest").alias("n"))
+    earlier = Window.partitionBy("m_line").orderBy("m_part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.pmod(F.xxhash64(F.lit(seed), "m_line"), F.lit(RESTS))
+    parts = parts.select("m_line", "m_part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + begin).alias("m_before"))
+    within = Window.partitionBy("m_part", "m_line").orderBy("m_place")
+    total = dealt.withColumn("m_total", F.sum("m_rest").over(within)).join(parts, ["m_line", "m_part"]).withColumn("m_total", F.col("m_total") + F.col("m_before"))
+    passed = F.shiftright("m_total", REST_BITS) - F.shiftright(F.col("m_total") - F.col("m_rest"), REST_BITS)
+    copies = total.select("m_a", "m_b", (F.floor(F.col("taken") / F.col("m_size")) + passed).cast("int").alias("m_copies")).filter("m_copies > 0")
+    copies = land(copies, f"{folder}/copies")
     rows = docs.withColumns({"m_a": first, "m_b": second}).join(copies, ["m_a", "m_b"])
     return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -103,6 +103,23 @@ def test_mix_parts(spark):
     assert mix_report(empty(spark)).count() == 0 and mixed_copies(empty(spark)).count() == 0
 
 
+def test_copies_keep_the_words_of_a_source(spark):
+    """One text has most words of its source, one source has a single text: copies are within a longest text of what is taken."""
+    r = random.Random(6)
+    data = [(i, " ".join(["w"] * r.randint(1, 300)), "en", "src" + str(i % 3), 0, i, "", 0.5, "") for i in range(400)]
+    data += [(500, "long " * 20_000, "en", "src1", 0, 0, "", 0.5, ""), (501, "lone " * 3000, "en", "src9", 0, 0, "", 0.5, ""), (502, "none " * 50, "en", None, 0, 0, "", 0.5, "")]
+    words_of = {x[0]: len(split_words(x[1])) for x in data}
+    taken = {x.doc_id: x.taken for x in mix_report(frame(spark, data), order=("doc_id",)).collect()}
+    copies = Counter(x.doc_id for x in mixed_copies(frame(spark, data)).collect())
+    for source in {x[3] for x in data}:
+        own = [x[0] for x in data if x[3] == source]
+        want, got = sum(taken[i] for i in own), sum(copies[i] * words_of[i] for i in own)
+        assert abs(want - got) <= max(words_of[i] for i in own)
+        assert all(copies[i] <= 2 for i in own)
+    total = sum(copies[i] * words_of[i] for i in copies)
+    assert abs(total - sum(taken.values())) <= 20_000 + 3000 + 300 * 3
+
+
 def test_codes():
     r = random.Random(2)
     for rows_ in ([], [0], [1, 4, 5, 0, 3], [1000]):
