@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquest.llm.common import land, scratch
+from inquest.session import remove_folder
 
 WINDOW = 20
 #: Words whose hashes a task holds at a time (one document is never cut).
@@ -242,20 +243,27 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _shortened(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows with x = 0 where their id has one text only: the id alone names the document in everything that is shuffled."""
+    return rows.join(shared, F.col("o") == F.col("shared_o"), "left").withColumn("x", F.when(F.col("shared_o").isNotNull(), F.col("x")).otherwise(F.lit(0)).cast("long")).drop("shared_o")
+
+
 def _positions(places: DataFrame) -> DataFrame:
     """Places of a document as one list, no longer than the document."""
     return places.groupBy("o", "x").agg(F.collect_list("pos").alias("places")).withColumnsRenamed({"o": "p_o", "x": "p_x"})
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(firsts, places): the document of each distinct text that comes first; where windows begin that begin earlier too.
-
-    Both are by the keys o and x of ``_keyed``. Later copies of a whole text have no places: all of their windows repeat.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, firsts, places): the rows with their keys o and x; the document of each distinct text that comes first; where
+    windows begin that begin earlier too. Later copies of a whole text have no places: all of their windows repeat.
     """
-    folder = scratch(docs.sparkSession, "substring")
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "substring")
     keyed = _keyed(docs, doc_id, text)
-    firsts = keyed.groupBy("x", "y").agg(F.min("o").alias("o")).select(F.col("o").alias("f_o"), F.col("x").alias("f_x")).distinct()
+    keys = land(keyed.select("o", "x", "y").distinct(), f"{folder}/keys")
+    shared = land(keys.groupBy("o").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("o").alias("shared_o")), f"{folder}/shared")
+    firsts = _shortened(keys.groupBy("x", "y").agg(F.min("o").alias("o")), shared).select(F.col("o").alias("f_o"), F.col("x").alias("f_x")).distinct()
     firsts = land(firsts, f"{folder}/firsts")
+    keyed = _shortened(keyed, shared).select("doc_id", "o", "x", "text")
 
     # Level 1 over all documents.
     seeds = keyed.select("o", "x", "text").mapInArrow(_seed_rows(window), SEED_ROWS)
@@ -266,7 +274,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
     texts = texts.join(alive, (F.col("o") == F.col("p_o")) & (F.col("x") == F.col("p_x"))).select("o", "x", "text", "places")
     windows = texts.mapInArrow(_window_rows(window), WINDOW_ROWS)
     windows = windows.repartition("grp").sortWithinPartitions("kind", "grp", "chk", "o", "x", "pos")
-    return firsts, land(windows.mapInArrow(_later_windows, PLACES), f"{folder}/windows")
+    places = land(windows.mapInArrow(_later_windows, PLACES), f"{folder}/windows")
+    for step in ("keys", "seeds"):
+        remove_folder(spark, f"{folder}/{step}")
+    return keyed, firsts, places
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,8 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     same one. Null and empty texts have no words. Rows that are equal in id and text get the same result each. Texts
     shorter than the window stay whole. Empty tables give empty results. ``kept`` is the rest, UTF-8, words joined by one space.
     """
-    firsts, places = repeated_windows(docs, window, doc_id, text)
-    keyed = _keyed(docs, doc_id, text).select("doc_id", "o", "x", "text")
+    keyed, firsts, places = repeated_windows(docs, window, doc_id, text)
     rows = keyed.join(firsts, (F.col("o") == F.col("f_o")) & (F.col("x") == F.col("f_x")), "left")
     rows = rows.join(_positions(places), (F.col("o") == F.col("p_o")) & (F.col("x") == F.col("p_x")), "left")
     kind = docs.schema[doc_id].dataType.simpleString()
