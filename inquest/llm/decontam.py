@@ -144,9 +144,10 @@ def proximity_matches(index: Index, window: int = WINDOW, span: int = SPAN, shar
     return spots.withColumn("held", F.size(F.collect_set("tid").over(inside))).filter("held >= need").select("row", "item").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **columns: str) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, proximity: bool = False, **columns: str) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_words, n_hit (words inside exact matches), item_ids (of those, sorted, as
-    strings) and n_near (items with a proximity match, by id; an exact match of two distinct terms and more is one).
+    strings) and, with ``proximity``, n_near (items with a proximity match, by id; an exact match of two distinct terms and
+    more is one). Proximity matches read many times as many postings as exact ones.
 
     ``row`` is a number that is unique in the result. Null and empty texts have no words and no hits. An empty
     benchmark finds nothing; an empty table gives an empty result. A null item id is written as the empty string.
@@ -162,13 +163,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **col
     ids = found.select("row", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id")).distinct()
     ids = ids.groupBy("row").agg(F.sort_array(F.collect_list("id")).alias("item_ids"))
     heads = index.postings.filter("pos IS NULL OR pos = 0").select("row", "doc_id", "n_words")
+    out = heads.join(hit.join(ids, "row"), "row", "left").select(
+        "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
+    if not proximity:
+        return out
     names = index.items.select("item", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id")).distinct()
     near = proximity_matches(index, window).join(names, "item").select("row", "id").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
     near = land(near, f"{index.folder}/near-items")
-    return heads.join(hit.join(ids, "row"), "row", "left").join(near, "row", "left").select(
-        "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-    )
+    return out.join(near, "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

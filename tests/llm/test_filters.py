@@ -146,7 +146,7 @@ def test_proximity_against_every_span(spark):
     texts += [None, "", " ".join(passages[0]), " ".join(passages[2])]
     items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(2, "another the of t1 t2 t3"), (None, "t5 t6 t7 nowhere t8"), (9, None)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.n_near for x in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {x.doc_id: x.n_near for x in contamination(docs, spark.createDataFrame(items, "item_id long, text string"), proximity=True).collect()}
     want = {i: len(plain_near(t, items)) for i, t in enumerate(texts)}
     assert got == want and sum(n > 0 for n in want.values()) > 20 and 0 in want.values()
 
