@@ -24,78 +24,110 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return 0.0 if total == 0 else float(row[1]) / total - float(row[2]) / (total * total)
 
 
-#: Rounds in which a like share of the frontier decides; then half as many vertices decide at a time.
-SAME_SHARE = 24
-
-
-def _decided(state: DataFrame, links: DataFrame, total: float, turn: Column) -> DataFrame:
-    """(v, to): the best community of each vertex of the frontier whose turn it is; of equal ones staying first, then the least."""
-    tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
-    asked = state.filter(F.col("active") & turn).select(F.col("v").alias("u"), "k", F.col("c").alias("own"))
-    placed = state.select("v", "c").join(tot, "c")
-    near = links.join(asked.select("u"), "u").join(placed, "v").select("u", "c", "tot", "w")
-    # Staying is a choice like the others, with the own weight taken out of the total.
-    stay = asked.join(tot, asked["own"] == tot["c"]).select("u", "c", "tot", F.lit(0.0).alias("w"))
-    options = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("kc"), F.max("tot").alias("tot"))
-    rated = options.join(asked, "u")
-    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("kc") - F.col("k") * rest / total, 9)
-    best = F.min_by("c", F.struct((-gain).alias("g"), (F.col("c") != F.col("own")).alias("moves"), F.col("c")))
-    return rated.groupBy(F.col("u").alias("v")).agg(best.alias("to"))
-
-
-def _one_level(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
+#: A round tries to let all willing vertices move, every second, every fourth and so on; the share that raises modularity most does.
+SHARES = tuple(1 << i for i in range(11))
+#: A guard: the rounds of one level.
+MAX_ROUNDS = 240
+
+
+def _decided(state: DataFrame, links: DataFrame, total: float) -> DataFrame:
+    """(v, k, h, c, to, rise): the best community of each vertex of the frontier; of equal ones staying first, then the least.
+
+    The frontier is who wanted to move and was not let, and who has a neighbour that moved to another community than theirs.
+    All others, and those that want to stay, have ``to`` = ``c``.
+    """
+    placed = state.join(state.groupBy("c").agg(F.sum("k").alias("tot")), "c")
+    near = links.join(placed.select("v", "c", "tot", "moved"), "v").groupBy("u", "c").agg(F.sum("w").alias("kc"), F.max("tot").alias("tot"), F.max("moved").alias("moved"))
+    own = placed.select(F.col("v").alias("u"), "k", "active", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
+    mine = F.col("c") == F.col("own")
+    gain = lambda kc, tot: F.round(kc - F.col("k") * tot / total, 9)
+    rated = near.join(own, "u").groupBy("u").agg(
+        F.max(gain(F.when(mine, F.col("kc")).otherwise(0.0), F.col("own_tot") - F.col("k"))).alias("stay"),
+        F.min(F.when(~mine, F.struct((-gain(F.col("kc"), F.col("tot"))).alias("g"), F.col("c").alias("c")))).alias("best"),
+        F.max(F.col("active") | (~mine & F.col("moved"))).alias("asked"),
+    )
+    rise = -F.col("best.g") - F.col("stay")
+    wants = rated.filter(F.col("asked") & (rise > 0)).select(F.col("u").alias("v"), F.col("best.c").alias("to"), rise.alias("rise"))
+    return state.join(wants, "v", "left").select("v", "k", F.xxhash64("h").alias("h"), "c", F.coalesce("to", "c").alias("to"), "rise")
+
+
+def _after(turn: Column) -> Column:
+    """The community of a vertex if those whose turn it is move."""
+    return F.when(turn, F.col("to")).otherwise(F.col("c"))
+
+
+def _ratings(decided: DataFrame, links: DataFrame, total: float, turns: list[Column]) -> tuple[int, list[float]]:
+    """How many vertices want to move, and modularity (but for a constant) after each choice of those that do."""
+    placed = decided.select("v", F.array(*[_after(t) for t in turns]).alias("at"))
+    ends = links.join(placed.withColumnRenamed("at", "to"), "v").join(placed.toDF("u", "from"), "u")
+    inside = ends.agg(*[F.sum(F.when(F.col("from")[i] == F.col("to")[i], F.col("w")).otherwise(0.0)).alias(f"i{i}") for i in range(len(turns))])
+    inside = inside.select(F.posexplode(F.array(*inside.columns)).alias("choice", "part")).withColumn("part", F.coalesce("part", F.lit(0.0)) / total)
+    spread = decided.select("k", F.posexplode(F.array(*[_after(t) for t in turns])).alias("choice", "c")).groupBy("choice", "c").agg(F.sum("k").alias("tot"))
+    spread = spread.groupBy("choice").agg((-F.sum(F.col("tot") * F.col("tot")) / (total * total)).alias("part"))
+    willing = decided.filter("to <> c").agg(F.lit(-1).alias("choice"), F.count("*").cast("double").alias("part"))
+    rows = dict(inside.unionByName(spread).unionByName(willing).groupBy("choice").agg(F.sum("part")).collect())
+    return int(rows[-1]), [rows[i] for i in range(len(turns))]
+
+
+def _one_level(edges: DataFrame, names: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
     """Local moves on one graph: (v, c), and whether they came to rest. ``edges`` has both directions; loops carry inner weight.
 
     Only vertices of the frontier decide: all at first, then those with a neighbour that moved to another community than theirs.
-    In a round a share of the frontier decides, the largest of those that a hash makes which changes from round to round, so
-    neighbours do not swap places for ever; shares are halved every ``SAME_SHARE`` rounds. The end is an empty frontier.
+    In a round a share of those that want to move does, so neighbours do not swap places for ever: the share, of some nested ones
+    that a hash (``h`` of ``names``, hashed again each round) makes, after which modularity is greatest. If it is raised by
+    none of them, the vertex that gains most moves alone. So modularity rises in every round, and the end is that no one wants to.
     """
     weight = edges.groupBy(F.col("u").alias("v")).agg(F.sum("w").alias("k"))
     total = float(weight.agg(F.sum("k")).first()[0])
-    state = cut_lineage(weight.withColumns({"c": F.col("v"), "active": F.lit(True)}))
     links = edges.filter("u <> v")
-    for r in range(max_rounds):
-        share = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2 << (r // SAME_SHARE)))
-        largest = state.filter("active").groupBy(share.alias("share")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "share").first()
-        if largest is None:
+    state = weight.join(names.select("v", "h"), "v").withColumns({"c": F.col("v"), "moved": F.lit(False), "active": F.lit(True)})
+    step = cut_lineage(_decided(state, links, total))
+    turns = [F.lit(False), *[F.pmod("h", F.lit(n)) == 0 for n in SHARES]]
+    for _ in range(max_rounds):
+        willing, rated = _ratings(step, links, total, turns)
+        if not willing:
             break
-        turn = share == largest["share"]
-        best = _decided(state, links, total, turn)
-        moved = F.coalesce(F.col("to") != F.col("c"), F.lit(False))
-        after = state.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), (F.col("active") & F.col("to").isNull()).alias("active"), moved.alias("moved"))
-        state = replace_step(state, after)
-        # Neighbours of those that moved, if they are elsewhere, decide again.
-        movers = state.filter("moved").select("v", F.col("c").alias("went"))
-        woken = links.join(movers, "v").select(F.col("u").alias("v"), "went").join(state.select("v", "c"), "v").filter("went <> c").select("v").distinct()
-        woken = woken.withColumn("woken", F.lit(True))
-        state = replace_step(state, state.join(woken, "v", "left").select("v", "k", "c", (F.col("active") | F.coalesce("woken", F.lit(False))).alias("active")))
+        best = max(range(len(turns)), key=lambda i: (rated[i], -i))
+        if best:
+            turn = turns[best]
+        else:
+            turn = F.col("v") == step.filter("to <> c").orderBy(F.desc("rise"), "v").first()["v"]
+        moves = turn & (F.col("to") != F.col("c"))
+        state = step.select("v", "k", "h", _after(moves).alias("c"), moves.alias("moved"), (~moves & (F.col("to") != F.col("c"))).alias("active"))
+        step = replace_step(step, _decided(state, links, total))
     # A community is named after its least vertex.
-    names = state.groupBy("c").agg(F.min("v").alias("name"))
-    return state.join(names, "c").select("v", F.col("name").alias("c")), state.filter("active").isEmpty()
+    least = step.groupBy("c").agg(F.min("v").alias("name"))
+    return step.join(least, "c").select("v", F.col("name").alias("c")), step.filter("to <> c").isEmpty()
 
 
-def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 30, max_rounds: int = 10 * SAME_SHARE, min_gain: float = 1e-6) -> DataFrame:
+def louvain(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 30, max_rounds: int = MAX_ROUNDS, min_gain: float = 1e-6) -> DataFrame:
     """(vertex, community_id, settled): community ids are the least vertex of the community.
 
     Rounds go on until no vertex wants to decide again, and levels, on the graph of communities, until none raises
     modularity; nothing is random. The bounds are a guard: ``settled`` is false if one was met.
     """
-    base = cut_lineage(_both_ways(edges, src, dst))
-    members = cut_lineage(base.select(F.col("u").alias("v")).distinct().withColumn("c", F.col("v")))
-    if members.isEmpty():
-        return members.toDF("vertex", "community_id").withColumn("settled", F.lit(True))
+    named = cut_lineage(_both_ways(edges, src, dst))
+    # Numbers in the order of the names stand for vertices.
+    names = named.select(F.col("u").alias("name")).distinct().orderBy("name")
+    names = cut_lineage(names.select(F.monotonically_increasing_id().alias("v"), "name", F.xxhash64("name").alias("h")))
+    if names.isEmpty():
+        return named.select(F.col("u").alias("vertex"), F.col("v").alias("community_id"), F.lit(True).alias("settled"))
+    number = lambda df, end: df.withColumnRenamed(end, "name").join(names.select("name", F.col("v").alias(f"n_{end}")), "name").drop("name")
+    # A vertex's links lie together, so a task adds them up before they are sent.
+    base = replace_step(named, number(number(named, "u"), "v").select(F.col("n_u").alias("u"), F.col("n_v").alias("v"), "w").repartition("u"))
+    members = cut_lineage(names.select("v", F.col("v").alias("c")))
     quality, level, settled = modularity(base, members), base, True
     for _ in range(max_levels):
-        moved, rest = _one_level(level, max_rounds)
+        moved, rest = _one_level(level, names, max_rounds)
         settled, moved = settled and rest, cut_lineage(moved)
         merged = cut_lineage(members.withColumnRenamed("c", "old").join(moved.toDF("old", "c"), "old").select("v", "c"))
         better = modularity(base, merged)
         if better <= quality + min_gain:
             break
         quality, members = better, merged
-        named = level.join(moved.toDF("u", "cu"), "u").join(moved.toDF("v", "cv"), "v")
-        level = cut_lineage(named.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        tagged = level.join(moved.toDF("u", "cu"), "u").join(moved.toDF("v", "cv"), "v")
+        level = cut_lineage(tagged.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
     else:
         settled = False
-    return members.toDF("vertex", "community_id").withColumn("settled", F.lit(settled))
+    out = members.join(names.select("v", F.col("name").alias("vertex")), "v").join(names.select(F.col("v").alias("c"), F.col("name").alias("community_id")), "c")
+    return out.select("vertex", "community_id", F.lit(settled).alias("settled"))

@@ -204,6 +204,19 @@ def test_communities_rest_near_a_plain_run(spark, seed):
     assert got >= plain_louvain(edges) - 0.02
 
 
+def test_communities_of_a_dense_graph_come_to_rest(spark):
+    """Accounts with values drawn at random, no groups in them: moves of a fixed share swing back and forth (51 rounds before)."""
+    rnd = random.Random(4)
+    edges = sorted({(f"a{i:03d}", f"v{rnd.randrange(60):02d}") for i in range(300) for _ in range(30)})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    found = L.louvain(df, max_rounds=30).collect()
+    assert len(found) == len({v for e in edges for v in e}) and all(r.settled for r in found)
+    base = L._both_ways(df, "src", "dst")
+    got = L.modularity(base, spark.createDataFrame([(r.vertex, r.community_id) for r in found], "v string, c string"))
+    assert got > 0.08  # 0.067 before
+    assert all(r.community_id == min(x.vertex for x in found if x.community_id == r.community_id) for r in found)
+
+
 def test_neighbor_communities_against_pairs(spark):
     rnd = random.Random(9)
     pairs = {("phone", f"p{rnd.randrange(8)}", f"a{rnd.randrange(14):02d}") for _ in range(40)}
