@@ -10,6 +10,7 @@ from inquest.operators import communities as L
 from inquest.operators import components as N
 from inquest.operators import cycles as Y
 from inquest.operators import graph as G
+from inquest.operators.neighbours import neighbour_counts
 
 
 def brute_components(edges):
@@ -137,6 +138,18 @@ def test_degrees_are_exact_for_groups_of_any_size(spark, exact_group, max_subset
     assert {int(r.account[1:]): r.degree for r in got.collect()} == brute_degrees(pairs, payments, touches)
 
 
+def test_neighbours_over_slices_and_blocks(spark):
+    """Several slices and blocks, lists and bitmaps in one slice, partners in groups and in none."""
+    rnd = random.Random(11)
+    pairs = {("hot", i) for i in range(0, 400, 2)} | {(f"v{rnd.randrange(40)}", rnd.randrange(400)) for _ in range(300)}
+    direct = {(rnd.randrange(450), rnd.randrange(450)) for _ in range(300)}
+    direct = {(a, b) for a, b in direct | {(b, a) for a, b in direct} if a != b}
+    members = spark.createDataFrame([("phone", v, f"a{a:03d}") for v, a in pairs], "kind string, value string, account string")
+    ends = spark.createDataFrame([(f"a{a:03d}", f"a{b:03d}") for a, b in direct], "account string, other string")
+    got = neighbour_counts(members, ends, 20, slice_rows=150, block_accounts=90)
+    assert {int(r.account[1:]): r.n for r in got.collect()} == brute_degrees(pairs, direct, [])
+
+
 def test_planted_communities(spark):
     edges = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i, j in itertools.combinations(range(6), 2)] + [("a0", "b0"), ("b1", "c1")]
     df = spark.createDataFrame(edges, "src string, dst string")
