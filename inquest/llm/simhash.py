@@ -161,7 +161,7 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     sent = prints.mapInArrow(_anchors, "anchor long, fp long, home boolean")
     # An anchor counts if someone is at home there and someone else is there too.
     live = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any").select("anchor", "n")
-    rows = sent.join(live, "anchor").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    rows = sent.join(live.hint("merge"), "anchor").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     # Pair (i, j) of chunks: those of chunk i at home meet all of chunk j.
@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``component_id`` is the least doc_id that links of at most 3 differing bits reach, its own included. Equal
     fingerprints are linked, so copies and texts without words (null or empty, fingerprint 0) come together. Rows without
     a doc_id take part and get the least id of their component, null if it has none. Repeated rows are returned as
-    often as they come. An empty table gives an empty result. Other columns are not read.
+    often as they come. An empty table gives an empty result. Other columns are not read. No join is a broadcast: all sides
+    grow with the input, and the driver holds none of them.
     """
     folder = scratch(docs.sparkSession, "simhash")
     marked = land(with_fingerprints(docs, doc_id, text), f"{folder}/prints")
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = land(links(prints.select("fp")), f"{folder}/links")
     joined = connected_components(found)
     joined = joined.select(F.col("vertex").alias("fp"), F.col("component").alias("set"))
-    sets = land(prints.join(joined, "fp", "left").withColumn("set", F.coalesce("set", "fp")), f"{folder}/sets")
+    sets = land(prints.join(joined.hint("merge"), "fp", "left").withColumn("set", F.coalesce("set", "fp")), f"{folder}/sets")
     least = sets.groupBy("set").agg(F.min("least").alias("component_id"))
-    named = land(sets.join(least, "set").select("fp", "component_id"), f"{folder}/named")
-    return marked.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    named = land(sets.join(least.hint("merge"), "set").select("fp", "component_id"), f"{folder}/named")
+    return marked.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")

@@ -12,13 +12,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a vertex moves to the least vertex near it."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A vertex and its lesser neighbours all move to the least of them; edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", "m")).filter("a <> b").distinct()
 
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(vertex, component): the component is the least vertex of it.
 
     Hot vertices are no trouble: minima combine on the map side, and in the joins
-    the other side has one row per vertex, so AQE can split the hot one.
+    the other side has one row per vertex, so AQE can split the hot one. All joins are
+    by shuffle: both sides grow with the input, and a broadcast in each round goes through the driver.
     """
     pairs = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).filter("a <> b").distinct()
     lone = edges.select(F.col(src).alias("v")).union(edges.select(F.col(dst))).distinct()
@@ -46,4 +47,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     named = work.select(F.col("a").alias("v"), F.col("b").alias("component"))
-    return lone.join(named, "v", "left").select(F.col("v").alias("vertex"), F.coalesce("component", "v").alias("component"))
+    return lone.join(named.hint("merge"), "v", "left").select(F.col("v").alias("vertex"), F.coalesce("component", "v").alias("component"))

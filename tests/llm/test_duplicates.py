@@ -8,6 +8,7 @@ import xxhash
 
 from inquest.llm.simhash import fingerprint, links, near_duplicates
 from inquest.llm.substring import remove_repeats
+from inquest.operators.components import _large_star, _small_star
 from tests.llm.cases import empty, frame, prose, rows, split_words
 
 
@@ -118,3 +119,12 @@ def test_other_window_lengths(spark):
         got = remove_repeats(frame(spark, data), window).collect()
         want = sorted((str(x[0]), n - len(k)) for x, (n, k) in zip(data, plain_removed(data, window)))
         assert sorted((str(x.doc_id), x.n_removed) for x in got) == want
+
+
+def test_no_join_of_the_classes_is_a_broadcast(spark):
+    """The driver would hold one side, which grows with the input, in every join and in every round of the components."""
+    found = near_duplicates(frame(spark, rows()))
+    edges = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "a long, b long")
+    for df in (found, _large_star(edges), _small_star(edges)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
