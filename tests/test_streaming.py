@@ -79,3 +79,34 @@ def test_lead_feed_opens_each_lead_once(spark, tmp_path):
     stream = J.read_table_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
     rows = J.lead_feed(stream, str(tmp_path / "out")).collect()
     assert sorted((r.fingerprint, r.severity) for r in rows) == [("f", 1.0), ("g0", 0.2), ("g1", 0.2)]
+
+
+def _largest_state(stream, folder):
+    """Rows of a job over all files, and the most rows that its state had."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    most = max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").collect(), most
+
+
+def _native_sliding(timed, keys, width, slide):
+    w = F.window("ts", width, slide).alias("w")
+    return timed.groupBy(w, *keys).agg(F.count("*").alias("n")).filter("n >= 2").select(F.col("w.start").alias("window_start"), *keys, "n")
+
+
+@pytest.mark.parametrize("width, slide", [("1 hour", "5 minutes"), ("30 minutes", "30 minutes"), ("50 minutes", "20 minutes")])
+def test_sliding_counts_are_those_of_windows_with_state_by_pane(spark, tmp_path, width, slide):
+    """Rows that come late, null times and keys, and several keys, in three batches; the state has rows by group, not by window."""
+    rnd = random.Random(5)
+    minute = lambda k: D0 + dt.timedelta(seconds=60 * (150 * k + rnd.randrange(-8, 160)) + rnd.randrange(60))
+    late = [(D0 + dt.timedelta(minutes=m), "u0", 0) for m in (95, 130, 131)]
+    schema = "ts timestamp_ntz, user string, kind long"
+    for k in range(3):
+        rows = [(minute(k), rnd.choice(["u0", "u1", 'q"\\é', None]), rnd.choice([0, None, 2**60 + 1])) for _ in range(200)]
+        spark.createDataFrame(rows + late * (k == 1) + [(None, "u0", 0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: J.read_table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    got, most = _largest_state(J.velocity_sliding(read(), "ts", ["user", "kind"], 2, width, slide, groups=3), str(tmp_path / "a"))
+    want, _ = _largest_state(_native_sliding(J.event_time(read(), "ts"), ["user", "kind"], width, slide), str(tmp_path / "b"))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert len(want) > 30 and order(got) == order(want)
+    assert most <= 3
