@@ -149,53 +149,60 @@ def ratio_5m(events: DataFrame, ts: str, user: str, flagged: DataFrame) -> DataF
 
 
 TRAVEL_OUT = "user string, event_id long, previous_event_id long, miles double, hours double"
-TRAVEL_STATE = "us array<long>, event_id array<long>, lat array<double>, lon array<double>"
+TRAVEL_STATE = "user array<string>, us array<long>, event_id array<long>, lat array<double>, lon array<double>"
 
 
-def impossible_travel(events: DataFrame, user: str, ts: str, lat: str, lon: str, event_id: str, mph: float = 500.0, forget: str = "30 days") -> DataFrame:
+def impossible_travel(
+    events: DataFrame, user: str, ts: str, lat: str, lon: str, event_id: str, mph: float = 500.0, forget: str = "30 days", groups: int = GROUPS
+) -> DataFrame:
     """Consecutive positions too far apart, in the order of event time, whatever the order of arrival.
 
-    A row waits in the state of its user until the watermark has passed it, so no row before it can still come; then
-    it is paired with the latest row that is earlier. The state holds the last row that was paired and those that
-    wait, and is dropped when a user is silent for ``forget``. Distances come from the same column function as in
-    batch; Python only pairs rows.
+    A row waits in the state until the watermark has passed it, so no row before it can still come; then it is paired
+    with the latest row of its user that is earlier. Of a user the state holds the last row that was paired and those that
+    wait, and drops them when the user is silent for ``forget``. Users share a state by ``groups``, which bounds the calls
+    to Python; a state is as large as its share of users and waiting rows. Distances come from the same column function as
+    in batch; Python only pairs rows.
     """
     rows = event_time(events, ts).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(ts).isNotNull())
     slim = rows.select(F.col(user).cast("string").alias("user"), ts, F.unix_micros(ts).alias("us"), F.col(event_id).alias("event_id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    slim = slim.filter("user IS NOT NULL")
+    slim = slim.filter("user IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("user"), F.lit(groups)))
     hold_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
-    cols = ["us", "event_id", "lat", "lon"]
+    cols = ["user", "us", "event_id", "lat", "lon"]
 
     def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts = [] if state.hasTimedOut else [f[cols] for f in frames]
         if state.exists:
             parts.insert(0, pd.DataFrame(dict(zip(cols, state.get))))
-        rows = pd.concat(parts, ignore_index=True).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
-        mark = state.getCurrentWatermarkMs()
-        passed = int((rows["us"] // 1000 <= mark).sum())
-        waiting = rows.iloc[passed:]
-        # Of the rows behind the watermark the last stays, for the next one to be paired with.
-        kept = rows.iloc[max(0, passed - 1) :]
-        if waiting.empty and state.hasTimedOut and int(kept["us"].iloc[-1]) // 1000 + hold_ms <= mark:
-            state.remove()
+        rows = pd.concat(parts, ignore_index=True)
+        code = pd.factorize(rows["user"])[0]
+        order = np.lexsort((rows["event_id"], rows["us"], code))
+        rows, code = rows.iloc[order].reset_index(drop=True), code[order]
+        mark, us = state.getCurrentWatermarkMs(), rows["us"].to_numpy()
+        passed = us // 1000 <= mark
+        last = np.append(code[1:] != code[:-1], True)
+        # Of the rows behind the watermark the last of a user stays, for the next one to be paired with.
+        kept = ~passed | last | ~np.append(passed[1:], True)
+        # When the state has to be looked at again: a waiting row is passed, or a user has been silent for long.
+        alarm = np.where(passed, us // 1000 + hold_ms, us // 1000 - 1)
+        kept &= ~(passed & last & (alarm < mark))
+        if kept.any():
+            state.update(tuple(rows.loc[kept, c].tolist() for c in cols))
+            state.setTimeoutTimestamp(max(int(alarm[~passed | (last & kept)].min()), mark))
         else:
-            state.update(tuple(kept[c].tolist() for c in cols))
-            alarm = int(waiting["us"].iloc[0]) // 1000 - 1 if len(waiting) else int(kept["us"].iloc[-1]) // 1000 + hold_ms
-            state.setTimeoutTimestamp(max(alarm, mark))
-        now = rows.iloc[:passed]
-        at = now["us"].searchsorted(now["us"], side="left") - 1
-        # The row that was kept from before was paired then.
-        fresh = at >= 0
-        now, before = now[fresh], now.iloc[at[fresh]].reset_index(drop=True)
-        now = now.reset_index(drop=True)
+            state.remove()
+        # The latest earlier row is the one before the rows of the same time. A row that was kept from before is the first of its user.
+        first = np.append(True, (code[1:] != code[:-1]) | (us[1:] != us[:-1]))
+        at = np.maximum.accumulate(np.where(first, np.arange(len(us)), 0)) - 1
+        fresh = passed & (at >= 0) & (code[at] == code)
+        now, before = rows[fresh].reset_index(drop=True), rows.iloc[at[fresh]].reset_index(drop=True)
         yield pd.DataFrame({
-            "user": key[0], "event_id": now["event_id"].astype("int64"), "previous_event_id": before["event_id"].astype("int64"),
+            "user": now["user"], "event_id": now["event_id"].astype("int64"), "previous_event_id": before["event_id"].astype("int64"),
             "us": now["us"].astype("int64"), "us0": before["us"].astype("int64"),
             "lat": now["lat"], "lon": now["lon"], "lat0": before["lat"], "lon0": before["lon"],
         })
 
     pairs_schema = "user string, event_id long, previous_event_id long, us long, us0 long, lat double, lon double, lat0 double, lon0 double"
-    pairs = slim.groupBy("user").applyInPandasWithState(pair, pairs_schema, TRAVEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    pairs = slim.groupBy("part").applyInPandasWithState(pair, pairs_schema, TRAVEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     miles = S.haversine_miles(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     out = pairs.select("user", "event_id", "previous_event_id", miles.alias("miles"), (F.abs(F.col("us") - F.col("us0")) / 3.6e9).alias("hours"))
     return out.filter((F.col("hours") > 1e-6) & (F.col("miles") / F.col("hours") > mph))

@@ -110,3 +110,12 @@ def test_sliding_counts_are_those_of_windows_with_state_by_pane(spark, tmp_path,
     order = lambda rows: sorted(map(tuple, rows), key=str)
     assert len(want) > 30 and order(got) == order(want)
     assert most <= 3
+
+
+def test_travel_state_is_shared_by_users(spark, parts, tmp_path):
+    folder, all_rows = parts
+    make = lambda groups: J.impossible_travel(J.read_table_stream(spark, folder, all_rows.schema, files_per_trigger=1), "user", "ts", "lat", "lon", "event_id", forget="3 hours", groups=groups)
+    got, most = _largest_state(make(2), str(tmp_path / "few"))
+    apart, _ = _largest_state(make(4096), str(tmp_path / "many"))
+    assert len(got) > 50 and sorted(got) == sorted(apart)
+    assert most <= 2
