@@ -237,11 +237,11 @@ def manifests(df: DataFrame, r: ColumnRoles) -> DataFrame:
     )
 
 
-def manifest_summary(m: DataFrame) -> DataFrame:
-    """(transaction_id, manifest, sections): the JSON text and how many sections are filled."""
+def manifest_summary(m: DataFrame, *more: Column) -> DataFrame:
+    """(transaction_id, manifest, sections, ...): the JSON text and how many sections are filled; then further columns made of ``m``."""
     filled = [F.col("service.ip_logs"), F.col("service.logins"), F.col("service.digital_access"), F.col("delivery.shipping"), F.col("policy"), F.col("authentication"), F.col("communication")]
     return m.select(
-        "transaction_id", F.to_json(F.struct("*")).alias("manifest"), sum((c.isNotNull().cast("int") for c in filled), F.lit(0)).alias("sections")
+        "transaction_id", F.to_json(F.struct("*")).alias("manifest"), sum((c.isNotNull().cast("int") for c in filled), F.lit(0)).alias("sections"), *more
     )
 
 

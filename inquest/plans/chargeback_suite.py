@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inquest.operators import chargeback as C
 from inquest.plans.registry import query
-from inquest.session import shared_scratch
+from inquest.session import cut_lineage, shared_scratch
 from inquest.sources.sinks import sink_evidence_packages
 
 TXN = ("v_txn",)
@@ -135,12 +135,25 @@ def _(t):
     )
 
 
+def evidence_rows(txn, roles):
+    """Manifests with their bucket, one row per bucket of the transaction id.
+
+    A row has its own bucket at hand, so wide rows meet no other rows by a shuffle unless an id comes with several buckets.
+    """
+    bucket = lambda c: (F.col(c) % 10).alias("bucket")
+    rows = C.manifest_summary(C.manifests(txn, roles), bucket("source_row.user_id")).filter("transaction_id IS NOT NULL")
+    pairs = txn.filter("disputed").select("transaction_id", bucket("user_id"))
+    kinds = pairs.groupBy("transaction_id").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.count("bucket").alias("filled"), F.count("*").alias("n"))
+    several = cut_lineage(kinds.filter("low <> high OR filled > 0 AND filled < n").select("transaction_id"))
+    if several.isEmpty():
+        return rows
+    all_of = pairs.join(several, "transaction_id", "left_semi").distinct()
+    return rows.join(several, "transaction_id", "left_anti").unionByName(rows.drop("bucket").join(all_of, "transaction_id"))
+
+
 @query("sink_evidence_packages", "SELECT transaction_id, user_id % 10 AS bucket, 4 + CASE WHEN access_ts IS NOT NULL THEN 1 ELSE 0 END AS sections FROM v_txn WHERE disputed", TXN)
 def _(t):
-    m = C.manifests(t.v_txn, t.txn_roles)
-    rows = C.manifest_summary(m.select("*")).join(
-        t.v_txn.filter("disputed").select("transaction_id", (F.col("user_id") % 10).alias("bucket")).distinct(), "transaction_id"
-    )
+    rows = evidence_rows(t.v_txn, t.txn_roles)
     back = sink_evidence_packages(rows, shared_scratch(t.spark, "evidence"), "bucket")
     return back.select("transaction_id", "bucket", "sections")
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from inquest.operators.graph import graph_tables
 from inquest.sources import external, files
@@ -70,3 +71,31 @@ def test_a_late_byte_sets_the_encoding(spark, tmp_path):
     data = "\n".join(["name|n", *(f"plain|{i}" for i in range(500)), "Zoë|500"]).encode("cp1252")
     rows, _ = files.scan_csv_tolerant(spark, put(tmp_path, "e.csv", data))
     assert rows.filter("n = 500").first().name == "Zoë" and rows.count() == 501
+
+
+def test_evidence_rows_have_the_buckets_of_their_transaction_without_a_join_of_wide_rows(spark, tmp_path):
+    """Ids that come twice, with one bucket or several, null ids and users; the files are compressed."""
+    import datetime as dt
+    import glob
+
+    from inquest.operators import chargeback as C
+    from inquest.plans.chargeback_suite import evidence_rows
+    from inquest.roles import ColumnRoles
+    from inquest.sources.sinks import sink_evidence_packages
+
+    schema = "transaction_id string, user_id long, amount double, disputed boolean, login_ts timestamp_ntz"
+    at = dt.datetime(2024, 1, 1)
+    own = [("a", 11, 1.0, True, at), ("a", 21, 2.0, True, None), ("b", 5, 3.0, True, at), (None, 7, 4.0, True, at), ("c", None, 5.0, True, at), ("d", 9, 6.0, False, at), ("b", 5, 3.0, True, at)]
+    roles = ColumnRoles(user="user_id", transaction="transaction_id", amount="amount", disputed="disputed", login="login_ts")
+    for data in (own, [*own, ("b", 6, 7.0, True, at), ("b", None, 8.0, True, at), ("a", 13, 9.0, False, at)]):
+        df = spark.createDataFrame(data, schema)
+        pairs = df.filter("disputed").select("transaction_id", (F.col("user_id") % 10).alias("bucket")).distinct()
+        want = C.manifest_summary(C.manifests(df, roles)).join(pairs, "transaction_id")
+        rows = evidence_rows(df, roles)
+        order = lambda x: sorted(map(tuple, x.select("transaction_id", "bucket", "sections", "manifest").collect()), key=str)
+        assert order(rows) == order(want)
+    plain = evidence_rows(spark.createDataFrame(own, schema), roles)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    folder = str(tmp_path / "out")
+    assert order(sink_evidence_packages(plain, folder, "bucket")) == order(plain)
+    assert len(glob.glob(f"{folder}/bucket=*/*.json.gz")) == len(glob.glob(f"{folder}/*/part-*"))
