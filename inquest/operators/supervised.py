@@ -51,6 +51,13 @@ def scored(model, frame: DataFrame, row_id: str) -> DataFrame:
     return out.select(row_id, "label", vector_to_array("probability")[1].alias("score"))
 
 
+def held_scores(model, frame: DataFrame, row_id: str, held: DataFrame) -> DataFrame:
+    """Scores of ``frame``, written, after which ``held`` is let go: the rows that were kept for the passes of a fit."""
+    scores = cut_lineage(scored(model, frame, row_id))
+    held.unpersist()
+    return scores
+
+
 def importances(model, columns: list[str], spark, top: int = 15) -> DataFrame:
     pairs = [(c, float(w)) for c, w in zip(columns, model.featureImportances.toArray())]
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
@@ -59,24 +66,26 @@ def importances(model, columns: list[str], spark, top: int = 15) -> DataFrame:
 def fit_boosted(df: DataFrame, target: str, row_id: str, p: BoostParams = BoostParams(), seed: int = SEED):
     """(test scores, importances) of gradient-boosted trees on all numeric columns but the target."""
     columns = feature_columns(df, (target, row_id))
-    frame = feature_frame(df, columns, (row_id,), target)
+    # A fit makes many passes; the features are made once, in the order and partitions that they come in.
+    frame = feature_frame(df, columns, (row_id,), target).persist()
     check_classes(frame)
     train, test = split_by_class(frame, row_id, p.test_share, seed)
     model = GBTClassifier(maxIter=p.rounds, maxDepth=p.depth, stepSize=p.step, seed=seed).fit(train)
-    return scored(model, test, row_id), importances(model, columns, df.sparkSession)
+    return held_scores(model, test, row_id, frame), importances(model, columns, df.sparkSession)
 
 
 def fit_forest(df: DataFrame, target: str, row_id: str, p: ForestParams = ForestParams(), seed: int = SEED):
     """(scores on the training rows, importances) of a forest with classes of equal weight."""
     columns = feature_columns(df, (target, row_id))
-    frame = feature_frame(df, columns, (row_id,), target)
+    # As for boosted trees: kept rows have the same partitions, so the trees draw the same samples.
+    frame = feature_frame(df, columns, (row_id,), target).persist()
     check_classes(frame)
     shares = frame.groupBy("label").agg(F.count("*").alias("_n"))
     total = frame.agg(F.count("*")).scalar()
     # Two classes, so the broadcast side has two rows.
     weighted = frame.join(F.broadcast(shares), "label").withColumn("_w", total / (2.0 * F.col("_n")))
     model = RandomForestClassifier(numTrees=p.trees, maxDepth=p.depth, weightCol="_w", seed=seed).fit(weighted)
-    return scored(model, frame, row_id), importances(model, columns, df.sparkSession)
+    return held_scores(model, frame, row_id, frame), importances(model, columns, df.sparkSession)
 
 
 def evaluate(scores: DataFrame) -> DataFrame:

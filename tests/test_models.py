@@ -70,3 +70,18 @@ def test_fingerprint_ignores_order(spark):
     a, b = (M.dataset_fingerprint(d, ["id", "k"]).first() for d in (df, df.orderBy(F.desc("id"))))
     assert a == b
     assert M.dataset_fingerprint(df.withColumn("k", F.col("k") + 1), ["id", "k"]).first().row_digest != a.row_digest
+
+
+@pytest.mark.parametrize("fit", [lambda df: V.fit_forest(df, "y", "id", V.ForestParams(trees=3, depth=3)), lambda df: V.fit_boosted(df, "y", "id", V.BoostParams(rounds=2))])
+def test_a_fit_makes_its_features_once(spark, fit):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(i):
+        made.add(1)
+        return float(i % 7)
+
+    df = spark.range(0, 400, 1, 3).select("id", (F.col("id") % 2).alias("y")).withColumn("x", feature.asNondeterministic()("id"))
+    scores, _ = fit(df)
+    scores.count()
+    assert made.value == 400
