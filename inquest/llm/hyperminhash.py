@@ -119,11 +119,16 @@ def likely(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity
     """Pairs that can be similar: by their sizes, and by an estimate that is not far below the limit."""
     top, bottom = similarity
     limit = top / bottom
+    equal, size_a, size_b = np.broadcast_arrays(equal, size_a, size_b)
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     # Of a small set many buckets are empty, and only the others are samples.
     samples = np.maximum(1.0, REGISTERS * -np.expm1(-large / REGISTERS))
-    margin = 0.02 + SIGMAS * np.sqrt(limit * (1 - limit) / samples)
-    return (bottom * small >= top * large) & (estimate(equal, size_a, size_b) >= limit - margin)
+    least = limit - 0.02 - SIGMAS * np.sqrt(limit * (1 - limit) / samples)
+    # Chance only lowers an estimate, so it is reckoned where the bare share of equal registers is enough.
+    out = (bottom * small >= top * large) & (equal / REGISTERS >= least - 1e-9)
+    if out.any():
+        out[out] = estimate(equal[out], size_a[out], size_b[out]) >= least[out]
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
@@ -274,18 +279,28 @@ def _candidates(batch: pa.RecordBatch, regs: np.ndarray, similarity) -> Iterator
     """Pairs of rows of a group that this group has to settle: row, and the rows that it is likely similar to."""
     b, num, comp, size = (batch.column(c).to_numpy() for c in ("b", "num", "comp", "size"))
     home, away, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "away", "outside"))
+    top, bottom = similarity
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
     for x in np.flatnonzero(home):
         # Two that are both outside the leader's component meet once, from the greater one.
         ask = np.flatnonzero(away & (comp != comp[x]) & (~outside | (num < num[x])))
         if not len(ask):
             continue
+        ask = ask[bottom * np.minimum(size[ask], size[x]) >= top * np.maximum(size[ask], size[x])]
         same = regs[ask] == regs[x]
-        ok = likely(same.sum(axis=1), size[ask], np.full(len(ask), size[x]), similarity)
-        ask, same = ask[ok], same[ok]
         first = same[:, : BANDS * ROWS].reshape(len(ask), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        ask = ask[first == b[x]]
-        if len(ask):
-            yield x, ask
+        here = first == b[x]
+        if here.any():
+            found.append((x, ask[here], same[here].sum(axis=1)))
+    if not found:
+        return
+    # One estimate for all pairs of the group: its cost is by call, not by pair.
+    counts = [len(ask) for _, ask, _ in found]
+    every = np.concatenate([ask for _, ask, _ in found])
+    ok = likely(np.concatenate([equal for *_, equal in found]), size[every], np.repeat(size[[x for x, *_ in found]], counts), similarity)
+    for (x, ask, _), keep in zip(found, np.split(ok, np.cumsum(counts)[:-1])):
+        if keep.any():
+            yield x, ask[keep]
 
 
 def _asked(similarity):

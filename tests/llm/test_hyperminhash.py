@@ -114,3 +114,38 @@ def test_bands_of_one_text_go(size):
     want = [(int(b), 0, int(i), int(num[band == b].min())) for b, i in zip(band, num) if (band == b).sum() > 1]
     assert sorted(got) == sorted(want)
     assert BANDS * ROWS <= REGISTERS
+
+
+def test_pairs_of_a_group_are_estimated_in_one_call(monkeypatch):
+    """As many as there are, and the same as one by one; the estimate's cost is by call."""
+    import pyarrow as pa
+
+    from inquest.llm import hyperminhash as H
+
+    r = np.random.RandomState(3)
+    base = np.unique(r.randint(0, 1 << 62, 900).astype(np.uint64) * np.uint64(4))
+    sets = [np.unique(np.r_[base[: 900 - 12 * i], r.randint(0, 1 << 62, 12 * i).astype(np.uint64) * np.uint64(4)]) for i in range(24)]
+    regs = np.stack([H.registers(s) for s in sets])
+    n, size = len(sets), np.array([len(s) for s in sets])
+    firsts = lambda x, y: np.flatnonzero((regs[x] == regs[y])[: H.BANDS * H.ROWS].reshape(H.BANDS, H.ROWS).all(axis=1))
+    calls = []
+    monkeypatch.setattr(H, "chance_equal", lambda *a, keep=H.chance_equal: calls.append(1) or keep(*a))
+    found = 0
+    for band in range(H.BANDS):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (np.full(n, band, np.int8), np.arange(n), np.arange(n), size, np.full(n, True), np.full(n, True), np.full(n, True))],
+            ["b", "num", "comp", "size", "home", "away", "outside"],
+        )
+        del calls[:]
+        got = {(x, int(y)) for x, ask in H._candidates(batch, regs, (85, 100)) for y in ask}
+        assert len(calls) <= 1
+        equal = lambda x, y: np.array([(regs[x] == regs[y]).sum()])
+        want = set()
+        for x in range(n):
+            for y in range(x):
+                shared = firsts(x, y)
+                if (shared[0] if len(shared) else 0) == band and H.likely(equal(x, y), size[[x]], size[[y]], (85, 100))[0]:
+                    want.add((x, y))
+        assert got == want
+        found += len(got)
+    assert found > 20

@@ -255,3 +255,17 @@ def test_bridges_are_counted_from_spokes(spark):
     df = spark.createDataFrame([("a", "d1"), ("b", "d1"), ("c", "d2")], "acc string, dev string")
     spokes = G.shared_values(df, "acc", {"shared_device": "dev"})
     assert G.device_bridges(spokes, G.account_degrees(spokes)).first().bridges == 1
+
+
+def test_components_stop_when_all_are_stars(spark, monkeypatch):
+    """No further round to see that nothing changes; chains, stars that share a leaf, loops and repeated edges come out as by hand."""
+    from inquest.operators import components as N
+
+    rounds = []
+    monkeypatch.setattr(N, "replace_step", lambda *a, keep=N.replace_step: rounds.append(1) or keep(*a))
+    stars = [(i, i % 5) for i in range(5, 60)] + [(7, 2), (70, 70)]
+    got = {r.vertex: r.component for r in N.connected_components(spark.createDataFrame(stars, "src long, dst long")).collect()}
+    assert got == {**{i: i % 5 for i in range(60)}, 70: 70} and not rounds
+    chain = [(i, i + 1) for i in range(100, 140)] + [(1, 9), (2, 9), (2, 8), (None, 3)]
+    got = {r.vertex: r.component for r in N.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect() if r.vertex is not None}
+    assert got == {**{i: 100 for i in range(100, 141)}, 1: 1, 9: 1, 2: 1, 8: 1, 3: 3} and rounds
