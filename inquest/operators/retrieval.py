@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ MIN_IDF = 1e-6
 ROUTE_FLOOR = 0.15
 # Queries that travel with a task at a time; more of them go in blocks of about this size, each a pass over the vectors.
 BLOCK_QUERIES = 1000
+# Asked words that travel with a task at a time, likewise.
+BLOCK_WORDS = 200_000
 
 
 def replace_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
@@ -96,6 +100,46 @@ def words(body: Column) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _counted(shared, texts: bool):
+    """(id, len, term, tf) of the asked words of each text; with ``texts`` also one row per text with no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(shared.value, pa.string())
+        for batch in batches:
+            found = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(1)), value_set=asked), -1).to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False)
+            pairs, tf = np.unique(row[found >= 0].astype("int64") * len(asked) + found[found >= 0], return_counts=True)
+            row, term = np.divmod(pairs, max(1, len(asked)))
+            none = np.arange(batch.num_rows if texts else 0)
+            rows = pa.array(np.concatenate([row, none]))
+            terms = pa.concat_arrays([asked.take(pa.array(term)), pa.nulls(len(none), pa.string())])
+            counts = pa.array(np.concatenate([tf, np.ones(len(none), "int64")]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pc.list_value_length(batch.column(1)).take(rows), terms, counts], ["id", "len", "term", "tf"])
+
+    return run
+
+
+def asked_counts(docs: DataFrame, asked: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(id, len, term, tf) of the words ``asked`` (term) in all texts, and (id, len) of every text; rows of equal id and len are one text.
+
+    A block of the words goes to every executor, where each text's words are counted as they are split: a text is split once per
+    block. Only texts whose id comes again meet in a shuffle.
+    """
+    body = docs.select("id", words(F.col("text")).alias("_w"))
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, len int, term string, tf long"
+    out = None
+    for part in query_blocks(asked, "term", block):
+        shared = docs.sparkSession.sparkContext.broadcast([r["term"] for r in part.collect()])
+        rows = body.mapInArrow(_counted(shared, out is None), kind)
+        out = rows if out is None else out.unionByName(rows)
+    flat = cut_lineage(out)
+    texts, counts = flat.filter("term IS NULL").select("id", "len"), flat.filter("term IS NOT NULL")
+    again = cut_lineage(texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("again")))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    merged = cut_lineage(counts.join(again, same, "left_semi").groupBy("id", "len", "term").agg(F.sum("tf").alias("tf")))
+    return counts.join(again, same, "left_anti").unionByName(merged), texts
+
+
 def bm25_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, term, part) of all asked words in all texts, and (query_id, term, df, idf, bound), both written.
 
@@ -103,10 +147,8 @@ def bm25_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFr
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) > 2))).alias("term"))
     asked = terms.select("term").distinct()
-    tokens = docs.select("id", words(F.col("text")).alias("_w"))
-    stats = tokens.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean")).alias("st")).scalar()
-    hits = tokens.select("id", F.size("_w").alias("len"), F.explode("_w").alias("term")).join(asked, "term", "left_semi")
-    tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    tf, texts = asked_counts(docs, asked)
+    stats = texts.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean")).alias("st")).scalar()
     parts = cut_lineage(tf.select("id", "term", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / stats["mean"]))).alias("part")))
     per = parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     raw = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -140,13 +182,16 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
     """(query_id, id, score, rank): best texts per query, any word of three letters and more counts.
 
     ``docs`` has (id, text), ``queries`` has (query_id, text). Only words that some query asks for leave the text scan,
-    already counted per text. Exact top ``k`` by bounds: texts are gathered by a query's essential words; those that could
-    not reach the floor with all the other words go, and only for the rest are the common words looked up.
+    already counted per text. Exact top ``k`` by bounds: texts are gathered by a query's essential words; those that with all
+    the other words could not reach the ``k``-th best of them go, and only for the rest are the common words looked up.
     """
     parts, weights = bm25_weights(docs, queries)
     split = cut_lineage(split_terms(parts, weights, k))
-    found = parts.join(split.filter("essential").select("query_id", "term", "idf"), "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+    found = cut_lineage(parts.join(split.filter("essential").select("query_id", "term", "idf"), "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("part")).alias("score")))
+    # Common words only add, so the best k by essential words raise the floor before any common word is looked up.
+    raised = top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("id")], k).filter(F.col("rank") == k).select("query_id", (F.col("score") - 1e-5).alias("raised"))
     limits = split.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    limits = limits.join(raised, "query_id", "left").withColumn("floor", F.greatest("floor", "raised"))
     held = cut_lineage(found.join(limits, "query_id").filter(F.col("score") + F.col("rest") >= F.col("floor")).select("query_id", "id", "score"))
     common = split.filter(~F.col("essential")).select("query_id", "term", "idf")
     more = held.select("query_id", "id").join(common, "query_id").join(parts, ["id", "term"]).select("query_id", "id", (F.col("idf") * F.col("part")).alias("score"))

@@ -55,3 +55,33 @@ def test_common_words_gather_no_texts(spark):
     groups = lambda w: parts.join(w.select("query_id", "term"), "term").select("query_id", "id").distinct().count()
     assert groups(split.filter("essential")) < 0.5 * groups(weights)
     assert split.groupBy("query_id").agg(F.count_if("essential").alias("n")).filter("n = 0").isEmpty()
+
+
+def test_words_are_counted_in_one_pass_over_the_texts(spark):
+    """Without a shuffle of words, in any number of blocks, and rows that share id and length count as one text."""
+    docs = [(1, "Alpha beta alpha, gamma"), (1, "alpha alpha alpha beta"), (1, "alpha"), (2, "BETA delta"), (3, None), (4, ""), (None, "beta beta"), (None, "beta alpha"), (5, "none of them")]
+    d, asked = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([("alpha",), ("beta",), ("nowhere",)], "term string")
+    want = [(1, 1, "alpha", 1), (1, 4, "alpha", 5), (1, 4, "beta", 2), (2, 2, "beta", 1), (None, 2, "alpha", 1), (None, 2, "beta", 3)]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for block in (1, 100):
+        counts, texts = P.asked_counts(d, asked, block)
+        assert order(counts.collect()) == order(want)
+        assert order(texts.collect()) == order([(i, None if t is None else len([w for w in t.replace(",", "").split()])) for i, t in docs])
+    assert P.asked_counts(d, asked.limit(0))[0].isEmpty()
+
+
+def test_few_texts_have_their_common_words_looked_up(spark, monkeypatch):
+    """Texts that the best by essential words leave behind are out before common words are joined."""
+    r = random.Random(4)
+    fill = lambda n: [f"fill{r.randrange(5000)}" for _ in range(n)]
+    # The rare word stands in long texts, so it alone gives a low floor; five of those have the other word too.
+    docs = [(i, " ".join(fill(60) + ["rare"] + ["middle"] * 3 * (i < 5) + ["common"] * (i % 2))) for i in range(30)]
+    docs += [(i, " ".join(fill(r.randint(5, 10)) + ["middle"] * (i < 300) + ["common"] * (i % 5 < 2))) for i in range(30, 1000)]
+    queries = [(0, "rare middle common")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    steps = []
+    monkeypatch.setattr(P, "cut_lineage", lambda df, cut=P.cut_lineage: steps.append(cut(df)) or steps[-1])
+    got = [tuple(x) for x in P.bm25_topk(d, q, 1).select("query_id", "rank", "id").collect()]
+    assert got == [x[:3] for x in plain_bm25(docs, queries, 1)]
+    sizes = [x.count() for x in steps if x.columns == ["query_id", "id", "score"]]
+    assert sizes[-1] <= 30 < 300 <= sizes[0]
