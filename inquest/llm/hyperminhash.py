@@ -16,6 +16,9 @@ more comparison. Only bands that still hold texts of different components go on:
 components counts, once, in the first band that it shares. Texts outside the leader's component meet all others in pairs
 of chunks, first by registers alone; full sets are sent only of texts that have a likely partner. Links between
 components come out spanning, not as pairs.
+
+A caller may ask for the links of method 1 as well: SimHash fingerprints that differ in few bits, found by anchors. They are
+confirmed on full sets beside those of the leaders, before any band is looked at for more.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inquest.llm import simhash
 from inquest.llm.common import land, row_keys, scratch
 from inquest.operators.components import connected_components
 
@@ -146,14 +150,22 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        digests = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
-        regs = [registers(s).tobytes() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], ["key", "digest", "size", "regs"]
-        )
+def _sketched(fingerprints):
+    """Digest, size and registers of the sets; with ``fingerprints`` also the texts' SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            digests = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
+            regs = [registers(s).tobytes() if len(s) else None for s in sets]
+            columns, names = [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], ["key", "digest", "size", "regs"]
+            if fingerprints:
+                prints = np.fromiter((simhash.fingerprint(t) for t in texts), np.uint64, len(texts))
+                columns, names = [*columns, pa.array(prints.view(np.int64))], [*names, "fp"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -361,15 +373,31 @@ class Classes:
     named: DataFrame
 
 
-def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK) -> Classes:
+def _fingerprint_links(marked: DataFrame, prints: DataFrame, folder: str) -> DataFrame:
+    """(num, leader): pairs of sets to confirm, from texts whose SimHash fingerprints are linked by method 1 or equal.
+
+    Each fingerprint stands for the least number that has it; its other sets follow that one.
+    """
+    who = marked.filter("size > 0").select("digest", "fp").distinct()
+    who = land(who.join(prints.select("digest", "num").hint("merge"), "digest").select("fp", "num"), f"{folder}/who")
+    heads = land(who.groupBy("fp").agg(F.min("num").alias("head")), f"{folder}/heads")
+    found = land(simhash.links(heads.select("fp")), f"{folder}/near_prints")
+    near = found.join(heads.toDF("src", "num").hint("merge"), "src").join(heads.toDF("dst", "leader").hint("merge"), "dst").select("num", "leader")
+    equal = who.join(heads.hint("merge"), "fp").select("num", F.col("head").alias("leader"))
+    return land(near.unionByName(equal).filter("num <> leader").distinct(), f"{folder}/near")
+
+
+def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, fingerprints: bool = False) -> Classes:
     """Classes of rows (key, a, b, text): what links of at least ``similarity`` connect, named by the least key.
 
-    ``a`` and ``b`` tell rows apart by key and text, the same in every pass.
+    ``a`` and ``b`` tell rows apart by key and text, the same in every pass. With ``fingerprints`` the links of
+    ``simhash.links`` are candidates too.
     """
     folder = scratch(rows.sparkSession, "hyperminhash")
     kind = rows.schema["key"].dataType.simpleString()
     keyed = rows.select(F.struct("key", "a", "b").alias("key"), "text")
-    marked = land(keyed.mapInArrow(_sketched, f"key struct<key:{kind},a:long,b:long>, digest binary, size long, regs binary"), f"{folder}/marked")
+    marks = f"key struct<key:{kind},a:long,b:long>, digest binary, size long, regs binary" + ", fp long" * fingerprints
+    marked = land(keyed.mapInArrow(_sketched(fingerprints), marks), f"{folder}/marked")
     prints = marked.filter("size > 0").groupBy("digest").agg(F.min("key").alias("least"), F.first("regs").alias("regs"))
     prints = land(prints.withColumn("num", F.monotonically_increasing_id()), f"{folder}/prints")
 
@@ -380,10 +408,14 @@ def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chun
     # A text follows the leader of most of its bands.
     votes = shared.filter("num <> leader").groupBy("num", "leader").agg(F.count("*").alias("n"))
     stars = votes.groupBy("num").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader")))["leader"].alias("leader")).select("num", (-F.col("leader")).alias("leader"))
-    stars = land(stars, f"{folder}/stars")
+    stars, able = land(stars, f"{folder}/stars"), shared.select("num")
+    if fingerprints:
+        near = _fingerprint_links(marked, prints, folder)
+        stars = stars.unionByName(near).distinct()
+        able = able.unionByName(near.select("num")).unionByName(near.select("leader").toDF("num"))
 
     # Full sets of all texts with a candidate. The texts meet the list of those by a shuffle at any size of the list.
-    wanted = shared.select("num").distinct().join(prints.select("num", F.col("least.a").alias("w_a"), F.col("least.b").alias("w_b")), "num")
+    wanted = able.distinct().join(prints.select("num", F.col("least.a").alias("w_a"), F.col("least.b").alias("w_b")), "num")
     wanted = land(wanted, f"{folder}/wanted").hint("merge")
     texts = rows.select("a", "b", "text").join(wanted, (F.col("a") == F.col("w_a")) & (F.col("b") == F.col("w_b")))
     held = land(texts.select("num", "text").mapInArrow(_sets, "num long, size long, regs binary, shingles binary"), f"{folder}/sets")
