@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from inquest.operators import communities as L
 from inquest.operators import components as N
 from inquest.operators import cycles as Y
 from inquest.operators import graph as G
+from inquest.operators import neighbours
 from inquest.operators.neighbours import neighbour_counts
 
 
@@ -150,6 +152,43 @@ def test_neighbours_over_slices_and_blocks(spark):
     assert {int(r.account[1:]): r.n for r in got.collect()} == brute_degrees(pairs, direct, [])
 
 
+def test_unions_are_counted_once_per_class_of_accounts_with_equal_groups(spark, monkeypatch, tmp_path):
+    """Before, every account asked for the union of its own groups."""
+    pairs = {(v, i) for i in range(60) for v in (f"g{i % 3}", f"h{i % 3}")} | {("g0", 59), ("solo", 0), ("solo", 3)}
+    direct = [(i, j) for i, j in [(0, 1), (0, 3), (4, 70), (70, 4), (71, 70), (1, 0), (6, 2), (6, 72)]]
+    members = spark.createDataFrame([("phone", v, f"a{a:03d}") for v, a in sorted(pairs)], "kind string, value string, account string")
+    ends = spark.createDataFrame([(f"a{a:03d}", f"a{b:03d}") for a, b in direct], "account string, other string")
+    log, plain = str(tmp_path), neighbours._counter
+
+    def watched(list_size):
+        count = plain(list_size)
+
+        def run(table: pa.Table) -> pa.Table:
+            import uuid
+
+            asked = {r["class"] for r in table.select(["role", "class"]).to_pylist() if r["role"] == neighbours._GROUPS}
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(asked)))
+            return count(table)
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_counter", watched)
+    near = {a: {b for v, x in pairs if x == a for w, b in pairs if w == v and b != a} for _, a in pairs}
+    for a, b in direct:
+        near.setdefault(a, set()).add(b)
+    want = {a: len(x) for a, x in near.items() if x}
+    got = neighbour_counts(members, ends, 5, block_accounts=7)
+    assert {int(r.account[1:]): r.n for r in got.collect()} == want
+    got = neighbour_counts(members, ends, 5)
+    for f in tmp_path.iterdir():
+        f.unlink()
+    assert {int(r.account[1:]): r.n for r in got.collect()} == want
+    got = neighbour_counts(members, ends, 5)
+    # Three sets of groups, one more with the shared "solo", one with a group of each kind: five classes of 60 accounts.
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 5
+
+
 def test_planted_communities(spark):
     edges = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i, j in itertools.combinations(range(6), 2)] + [("a0", "b0"), ("b1", "c1")]
     df = spark.createDataFrame(edges, "src string, dst string")
