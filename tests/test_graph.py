@@ -2,9 +2,11 @@
 
 import itertools
 import random
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inquest.operators import communities as L
@@ -269,6 +271,95 @@ def test_communities_of_a_dense_graph_come_to_rest(spark):
     assert all(r.community_id == min(x.vertex for x in found if x.community_id == r.community_id) for r in found)
 
 
+def replayed_louvain(edges):
+    """The rounds by their rule, in exact numbers: (vertex, community) pairs."""
+    names = sorted({v for e in edges for v in e if e[0] != e[1]})
+    first = {name: xxhash.xxh64_intdigest(name.encode(), 42) for name in names}
+    again = lambda h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+    links = {p for a, b in edges if a != b for p in ((a, b), (b, a))}
+    level, total = {p: 1 for p in links}, len(links)
+
+    def quality(of):
+        tot = {}
+        for (a, _), w in level.items():
+            tot[of[a]] = tot.get(of[a], 0) + w
+        return Fraction(sum(w for (a, b), w in level.items() if of[a] == of[b]), total) - Fraction(sum(x * x for x in tot.values()), total**2)
+
+    member = {v: v for v in names}
+    while True:
+        nodes = sorted({v for e in level for v in e})
+        k = {v: sum(w for (a, _), w in level.items() if a == v) for v in nodes}
+        near = {v: {b: w for (a, b), w in level.items() if a == v != b} for v in nodes}
+        c, h, moved, active = {v: v for v in nodes}, {v: first[v] for v in nodes}, set(), set(nodes)
+        while True:
+            tot, to, rise = {}, {}, {}
+            for v in nodes:
+                tot[c[v]] = tot.get(c[v], 0) + k[v]
+                h[v] = again(h[v])
+            for v in nodes:
+                kc = {}
+                for b, w in near[v].items():
+                    kc[c[b]] = kc.get(c[b], 0) + w
+                gain = {x: Fraction(w) - Fraction(k[v] * tot[x], total) for x, w in kc.items() if x != c[v]}
+                stay = kc.get(c[v], 0) - Fraction(k[v] * (tot[c[v]] - k[v]), total)
+                if gain and (v in active or any(b in moved and c[b] != c[v] for b in near[v])):
+                    best = min(gain, key=lambda x: (-gain[x], x))
+                    if gain[best] > stay:
+                        to[v], rise[v] = best, gain[best] - stay
+            if not to:
+                break
+            rated = []
+            for n in (0, *L.SHARES):
+                go = {v for v in to if n and h[v] % n == 0}
+                rated.append((float(quality({v: to[v] if v in go else c[v] for v in nodes})), go))
+            best, go = max(rated, key=lambda x: x[0])
+            go = go or {min(to, key=lambda v: (-rise[v], v))}
+            c = {v: to[v] if v in go else c[v] for v in nodes}
+            moved, active = go, set(to) - go
+        least = {}
+        for v in nodes:
+            least.setdefault(c[v], v)
+        if quality(c) <= quality({v: v for v in nodes}) + Fraction(1, 10**6):
+            return member
+        member = {v: least[c[x]] for v, x in member.items()}
+        new = {}
+        for (a, b), w in level.items():
+            p = least[c[a]], least[c[b]]
+            new[p] = new.get(p, 0) + w
+        level = new
+
+
+@pytest.mark.parametrize("block, cell", [(1 << 20, 30), (14, 20)])
+def test_rounds_follow_their_rule_in_cells_of_any_size(spark, block, cell):
+    """Several cells, and rows whose links lie in the cells of several blocks."""
+    rnd = random.Random(8)
+    edges = [(f"{g}{rnd.randrange(8)}", f"{g}{rnd.randrange(8)}") for g in "abc" for _ in range(14)]
+    edges += [(f"{rnd.choice('abc')}{rnd.randrange(8)}", "hub") for _ in range(12)] + [("tail", "a1"), ("x", "y"), ("z", "z")]
+    df = spark.createDataFrame([*edges, (None, "a1"), edges[0], edges[0][::-1]], "src string, dst string")
+    found = L.louvain(df, block=block, cell=cell).collect()
+    assert {r.vertex: r.community_id for r in found} == replayed_louvain(edges) and all(r.settled for r in found)
+
+
+def test_a_round_sends_no_links(spark, monkeypatch):
+    """The links of a level stay where they are; before, each round shuffled them several times."""
+    plans = []
+
+    def watched(old, new, plain=L.replace_step):
+        new.write.format("noop").mode("overwrite").save()
+        plans.append(new._jdf.queryExecution().executedPlan().toString())
+        return plain(old, new)
+
+    monkeypatch.setattr(L, "replace_step", watched)
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(f"a{rnd.randrange(9)}", f"v{rnd.randrange(4)}") for _ in range(30)], "src string, dst string")
+    L.louvain(df, cell=10).collect()
+    # The first level; later ones may be a single cell.
+    lines = next(p.splitlines() for p in plans if "FlatMapCoGroupsInArrow" in p)
+    below = next(i for i, x in enumerate(lines) if "FlatMapCoGroupsInArrow" in x)
+    links = next(i for i, x in enumerate(lines) if "InMemoryTableScan" in x)
+    assert links > below and not any("Exchange" in x for x in lines[below:links])
+
+
 def test_neighbor_communities_against_pairs(spark):
     rnd = random.Random(9)
     pairs = {("phone", f"p{rnd.randrange(8)}", f"a{rnd.randrange(14):02d}") for _ in range(40)}
