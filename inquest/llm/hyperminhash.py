@@ -18,7 +18,9 @@ of chunks, first by registers alone; full sets are sent only of texts that have
 components come out spanning, not as pairs.
 
 A caller may ask for the links of method 1 as well: SimHash fingerprints that differ in few bits, found by anchors. They are
-confirmed on full sets beside those of the leaders, before any band is looked at for more.
+confirmed on full sets beside those of the leaders, before any band is looked at for more. They come out spanning, so a pair
+that they connect by way of others is not a link itself, and others are left unconfirmed: texts of different components that
+meet at an anchor count in pairs, as those that share a band.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ BANDS = REGISTERS // ROWS
 #: Texts and shingles of a chunk.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 SIGMAS = 6.0
+#: In place of the number of a band: a group of texts that meet at an anchor of method 1.
+ANCHOR = -1
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _random = np.random.RandomState(SEED)
@@ -300,8 +304,8 @@ def _candidates(batch: pa.RecordBatch, regs: np.ndarray, similarity) -> Iterator
             continue
         ask = ask[bottom * np.minimum(size[ask], size[x]) >= top * np.maximum(size[ask], size[x])]
         same = regs[ask] == regs[x]
-        first = same[:, : BANDS * ROWS].reshape(len(ask), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        here = first == b[x]
+        # At an anchor all count, also those that share no band.
+        here = np.ones(len(ask), bool) if b[x] == ANCHOR else same[:, : BANDS * ROWS].reshape(len(ask), BANDS, ROWS).all(axis=2).argmax(axis=1) == b[x]
         if here.any():
             found.append((x, ask[here], same[here].sum(axis=1)))
     if not found:
@@ -373,10 +377,12 @@ class Classes:
     named: DataFrame
 
 
-def _fingerprint_links(marked: DataFrame, prints: DataFrame, folder: str) -> DataFrame:
-    """(num, leader): pairs of sets to confirm, from texts whose SimHash fingerprints are linked by method 1 or equal.
+def _fingerprint_links(marked: DataFrame, prints: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Sets to confirm, from texts whose SimHash fingerprints are linked by method 1 or equal.
 
-    Each fingerprint stands for the least number that has it; its other sets follow that one.
+    First (num, leader): each fingerprint stands for the least number that has it; its other sets follow that one, and the
+    links between fingerprints are spanning. Then (band, b, num): the sets that have such a link, by the anchors where they meet, all
+    pairs at distance 3 or less among them.
     """
     who = marked.filter("size > 0").select("digest", "fp").distinct()
     who = land(who.join(prints.select("digest", "num").hint("merge"), "digest").select("fp", "num"), f"{folder}/who")
@@ -384,7 +390,13 @@ def _fingerprint_links(marked: DataFrame, prints: DataFrame, folder: str) -> Dat
     found = land(simhash.links(heads.select("fp")), f"{folder}/near_prints")
     near = found.join(heads.toDF("src", "num").hint("merge"), "src").join(heads.toDF("dst", "leader").hint("merge"), "dst").select("num", "leader")
     equal = who.join(heads.hint("merge"), "fp").select("num", F.col("head").alias("leader"))
-    return land(near.unionByName(equal).filter("num <> leader").distinct(), f"{folder}/near")
+    near = land(near.unionByName(equal).filter("num <> leader").distinct(), f"{folder}/near")
+    linked = near.select("num").union(near.select("leader")).distinct()
+    linked = land(who.join(linked.hint("merge"), "num").select("fp", "num"), f"{folder}/linked")
+    sent = simhash.anchors(linked.select("fp").distinct()).join(linked.hint("merge"), "fp")
+    live = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any").select("anchor")
+    met = sent.join(live.hint("merge"), "anchor").select(F.xxhash64("anchor").alias("band"), F.lit(ANCHOR).cast("byte").alias("b"), "num").distinct()
+    return near, land(met, f"{folder}/met")
 
 
 def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, fingerprints: bool = False) -> Classes:
@@ -409,8 +421,10 @@ def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chun
     votes = shared.filter("num <> leader").groupBy("num", "leader").agg(F.count("*").alias("n"))
     stars = votes.groupBy("num").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader")))["leader"].alias("leader")).select("num", (-F.col("leader")).alias("leader"))
     stars, able = land(stars, f"{folder}/stars"), shared.select("num")
+    groups = shared.select("band", "b", "num")
     if fingerprints:
-        near = _fingerprint_links(marked, prints, folder)
+        near, met = _fingerprint_links(marked, prints, folder)
+        groups = groups.unionByName(met)
         stars = stars.unionByName(near).distinct()
         able = able.unionByName(near.select("num")).unionByName(near.select("leader").toDF("num"))
 
@@ -432,8 +446,8 @@ def near_classes(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, chun
     links = land(meet.mapInArrow(_followers(similarity), "src long, dst long"), f"{folder}/links")
     joined = land(_connected(prints.select("num"), links, "comp"), f"{folder}/components")
 
-    # Bands that still hold more than one component.
-    seen = land(shared.join(joined, "num"), f"{folder}/seen")
+    # Bands, and anchors, that still hold more than one component.
+    seen = land(groups.join(joined, "num"), f"{folder}/seen")
     base = seen.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("num", "comp"))["comp"].alias("base"))
     held = seen.join(base.filter("low <> high").select("band", "base"), "band").select("band", "b", "num", "comp", (F.col("comp") != F.col("base")).alias("outside"))
     held = land(held.join(sketches, "num"), f"{folder}/open")

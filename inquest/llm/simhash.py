@@ -156,9 +156,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*held)
 
 
+def anchors(prints: DataFrame) -> DataFrame:
+    """(anchor, fp, home) from a frame of distinct fingerprints ``fp``: two at distance 3 or less meet where one is at home."""
+    return prints.mapInArrow(_anchors, "anchor long, fp long, home boolean")
+
+
 def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(src, dst) from a frame of distinct fingerprints ``fp``: links that connect what pairs at distance 3 or less connect."""
-    sent = prints.mapInArrow(_anchors, "anchor long, fp long, home boolean")
+    sent = anchors(prints)
     # An anchor counts if someone is at home there and someone else is there too.
     live = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any").select("anchor", "n")
     rows = sent.join(live.hint("merge"), "anchor").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))

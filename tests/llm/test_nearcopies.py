@@ -86,3 +86,27 @@ def test_links_of_method_1_are_confirmed_without_any_band(spark, monkeypatch):
     linked = {a for a, _ in alike}
     # Without bands the links that come out spanning, not as pairs, may leave a few of them apart.
     assert len(kept & linked) <= len(linked) // 10
+
+
+def test_all_pairs_of_method_1_are_confirmed_not_only_links_that_span(spark, monkeypatch):
+    """Chains a - b - c within 3 bits, both steps at 0.8 and more, a and c below it: a link of c to a alone would lose c."""
+    r = random.Random(3)
+    shingles = lambda a, b: (plain_shingles(a), plain_shingles(b))
+    alike = lambda a, b: (lambda x, y: 5 * len(x & y) >= 4 * len(x | y))(*shingles(a, b))
+    near = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= simhash.THRESHOLD
+    texts, chains = [], 0
+    while chains < 6:
+        base = " ".join(f"w{r.randrange(3000)}" for _ in range(300))
+        step = next((t for t in (edited(r, base, 6) for _ in range(300)) if near(base, t) and simhash.fingerprint(t) > simhash.fingerprint(base)), None)
+        last = step and next((t for t in (edited(r, step, 6) for _ in range(300)) if near(step, t) and simhash.fingerprint(t) > simhash.fingerprint(base)), None)
+        if last and alike(base, step) and alike(step, last) and not alike(base, last):
+            texts += [last, step, base]
+            chains += 1
+
+    def no_bands(batches):
+        for batch in batches:
+            yield from ()
+
+    monkeypatch.setattr(hyperminhash, "_banded", no_bands)
+    kept = sorted(x.doc_id for x in keep_one_copy(frame(spark, [(i, t, "en", "a", len(t), i, "", 0.5, "") for i, t in enumerate(texts)])).collect())
+    assert kept == list(range(0, len(texts), 3))
